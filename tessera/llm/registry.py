@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec, token_files
+from . import exact_dedup, sentencepiece_codec, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_dedup": exact_dedup.query,
         "op8_token_files": token_files.query,
         "op10_sentencepiece": sentencepiece_codec.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_exact_dedup": exact_dedup.SQL,
+    }
