@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sentencepiece_codec, simhash, token_files
+from . import decontaminate, exact_dedup, sentencepiece_codec, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
         "op3_simhash": simhash.query,
+        "op4_decontaminate": decontaminate.query,
         "op8_token_files": token_files.query,
         "op10_sentencepiece": sentencepiece_codec.query,
     }
