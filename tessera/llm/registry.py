@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, sentencepiece_codec, simhash, token_files
+from . import decontaminate, exact_dedup, quality, sentencepiece_codec, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op2_quality": quality.query,
         "op3_simhash": simhash.query,
         "op4_decontaminate": decontaminate.query,
+        "op5_toxicity": toxicity.query,
         "op8_token_files": token_files.query,
         "op10_sentencepiece": sentencepiece_codec.query,
     }
