@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, quality, sentencepiece_codec, simhash, token_files, toxicity
+from . import decontaminate, exact_dedup, quality, secrets, sentencepiece_codec, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": decontaminate.query,
         "op5_toxicity": toxicity.query,
         "op8_token_files": token_files.query,
+        "op9_secrets": secrets.query,
         "op10_sentencepiece": sentencepiece_codec.query,
     }
 
