@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, quality, repeats, secrets, sentencepiece_codec, simhash, token_files, toxicity
+from . import decontaminate, edit_counts, exact_dedup, quality, repeats, secrets, sentencepiece_codec, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.query,
         "op4_decontaminate": decontaminate.query,
         "op5_toxicity": toxicity.query,
+        "op6_edit_counts": edit_counts.query,
         "op7_repeats": repeats.query,
         "op8_token_files": token_files.query,
         "op9_secrets": secrets.query,
