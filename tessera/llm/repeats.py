@@ -40,7 +40,9 @@ from .common import documents, pieces, save
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # windows that can share an anchor
-HOT, SAMPLE = 20_000, 16
+#: Occurrences of one core that a task can hold with their text (about 200 MB), and the share of documents that tells which cores have more.
+HOT, SAMPLE = 100_000, 16
+ROWS = 4000  # stretches hashed at once
 DUPLICATE, OPEN, MODEL = 1, 2, 3  # an anchor's windows all repeat; some may; stands for a repeated union
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -252,14 +254,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, key, place, kind = (table.column(i).to_numpy() for i in range(4))
         group = np.cumsum(np.r_[True, core[1:] != core[:-1]]) - 1
         cuts = [0]
-        while cuts[-1] < len(core):  # whole groups, about 4,000 rows at once
-            reach = min(cuts[-1] + 4000, len(core))
+        while cuts[-1] < len(core):  # whole groups, ``ROWS`` rows or a little over, or one larger group
+            reach = min(cuts[-1] + ROWS, len(core))
             reach = int(np.searchsorted(group, group[reach - 1], "right"))
             cuts.append(reach)
         column = table.column(4)
         for a, b in zip(cuts, cuts[1:]):
-            names, own = window_names(column.slice(a, b - a).to_pylist(), place[a:b])
-            names = mix(names + (group[a:b, None] + 1).astype("u8") * np.uint64(_BASE))
+            names, own = np.empty((b - a, SPAN), "u8"), np.empty((b - a, SPAN), bool)
+            for at in range(a, b, ROWS):
+                to = min(at + ROWS, b)
+                some, mine = window_names(column.slice(at, to - at).to_pylist(), place[at:to])
+                names[at - a : to - a] = mix(some + (group[at:to, None] + 1).astype("u8") * np.uint64(_BASE))
+                own[at - a : to - a] = mine
             repeated = np.zeros(own.shape, bool)
             for offset in range(SPAN):
                 rows = np.flatnonzero(own[:, offset])
