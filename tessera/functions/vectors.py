@@ -59,7 +59,11 @@ def gram_weight(gram: Column) -> Column:
 def char_grams(text: Column, low: int = 1, high: int = 2) -> Column:
     """All character n-grams of the lower-cased text."""
     t = F.lower(text)
-    parts = [F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in range(low, high + 1)]
+
+    def slices(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
+
+    parts = [slices(n) for n in range(low, high + 1)]
     made = [F.when(F.length(t) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(range(low, high + 1), parts)]
     return F.concat(*made)
 

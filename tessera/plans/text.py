@@ -88,21 +88,21 @@ def message_previews(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.preview(t).alias("line"), T.command(t)["name"].alias("name"), F.length(T.command(t)["args"]).cast("long").alias("n_args"))
 
 
-MD = "'# ' || replace(left(text, 300), '. ', '.' || chr(10) || '> **x** and `y` ~~z~~ [link](http://a) ')"
+MD = "'# ' || replace(text, '. ', '.' || chr(10) || '> **x** and `y` ~~z~~ [link](http://a) ')"
 _PLAIN = MD
 for _p, _t in ((r"(?s)```\w*\n(.*?)```", r"\1"), ("`([^`]+)`", r"\1"), (r"(?m)^#+ ", ""), (r"\*\*(.+?)\*\*", r"\1"), ("__(.+?)__", r"\1"), (r"\*(.+?)\*", r"\1"), ("_(.+?)_", r"\1"), ("~~(.+?)~~", r"\1"), (r"\[([^\]]+)\]\(([^)]+)\)", r"\1 (\2)"), (r"(?m)^> ", ""), (r"(?m)^\s*[-*_]{3,}\s*$", "")):
     _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', '{_t}', 'g')"
 
 
-@query(f"SELECT doc_id, regexp_replace({_PLAIN}, '^\\s+|\\s+$', '', 'g') AS plain FROM documents")
+@query(f"SELECT doc_id, md5(regexp_replace({_PLAIN}, '^\\s+|\\s+$', '', 'g')) AS plain FROM documents")
 def markdown_plain(spark, sf):
-    md = F.concat(F.lit("# "), F.replace(F.left("text", F.lit(300)), F.lit(". "), F.lit(".\n> **x** and `y` ~~z~~ [link](http://a) ")))
-    return table(spark, sf, "documents").select("doc_id", T.markdown_plain(md).alias("plain"))
+    md = F.concat(F.lit("# "), F.replace("text", F.lit(". "), F.lit(".\n> **x** and `y` ~~z~~ [link](http://a) ")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.markdown_plain(md)).alias("plain"))
 
 
-@query("""SELECT doc_id, 'id: ' || doc_id || chr(10) AS head, CAST(doc_id AS VARCHAR) AS id, lang AS kind, 0.25e0 AS importance, md5(trim(left(text, 200), ' ' || chr(10))) AS body FROM documents""")
+@query("""SELECT doc_id, 'id: ' || doc_id || chr(10) AS head, CAST(doc_id AS VARCHAR) AS id, lang AS kind, 0.25e0 AS importance, md5(trim(text, ' ' || chr(10))) AS body FROM documents""")
 def frontmatter_parse(spark, sf):
-    raw = F.concat(F.lit("---\nid: "), F.col("doc_id"), F.lit("\ntype: "), F.col("lang"), F.lit("\nimportance: 0.25\n---\n\n"), F.left("text", F.lit(200)))
+    raw = F.concat(F.lit("---\nid: "), F.col("doc_id"), F.lit("\ntype: "), F.col("lang"), F.lit("\nimportance: 0.25\n---\n\n"), "text")
     m = T.front_matter(raw)
     return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("id: "), m["fields"]["id"], F.lit("\n")).alias("head"), m["fields"]["id"].alias("id"), m["fields"]["type"].alias("kind"), m["fields"]["importance"].cast("double").alias("importance"), F.md5(m["body"]).alias("body"))
 

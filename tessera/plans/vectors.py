@@ -57,9 +57,9 @@ def collection_stats(spark, sf):
     return O.collection_stats(table(spark, sf, "embeddings"), "label", "embedding")
 
 
-@query(f"{SCORED}, c AS (SELECT DISTINCT l_partkey % 700 AS vec_id FROM lineitem WHERE l_orderkey < 200) SELECT c.vec_id, round(coalesce(score, 0), 6) AS score FROM c LEFT JOIN s USING (vec_id) ORDER BY coalesce(s.score, 0) DESC, c.vec_id LIMIT 20")
+@query(f"{SCORED}, c AS (SELECT DISTINCT l_partkey AS vec_id FROM lineitem) SELECT c.vec_id, round(coalesce(score, 0), 6) AS score FROM c LEFT JOIN s USING (vec_id) ORDER BY coalesce(s.score, 0) DESC, c.vec_id LIMIT 20")
 def rerank_candidates(spark, sf):
-    c = table(spark, sf, "lineitem").where("l_orderkey < 200").select((F.col("l_partkey") % 700).alias("vec_id")).distinct()
+    c = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("vec_id")).distinct()
     return _rounded(O.rerank(c, table(spark, sf, "embeddings"), vector_of(spark, sf), 20, "vec_id"))
 
 
