@@ -37,7 +37,7 @@ from .common import documents, fresh_path, pieces
 
 END_ID = 2
 HEADER_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-MEMO_WORDS, MEMO_LENGTH = 250_000, 40
+MEMO_WORDS, MEMO_LENGTH = 500_000, 40
 _encoders: dict[str, Encoder] = {}
 
 
