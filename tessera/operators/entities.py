@@ -26,18 +26,23 @@ def word_mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str,
     return words.groupBy(key, "term").agg(F.count("*").alias("n")).join(dictionary, "term")
 
 
-def contained_terms(texts: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, type) where the text contains the term anywhere (no word limits).
-
-    The terms share few distinct fronts, so texts are first looked up by fronts (an equi-join) and
-    only then tested for containment.
-    """
-    front = dictionary.agg(F.min(F.length("term"))).first()[0] or 1
-    front = min(front, 4)
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - front + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(front))))
-    probes = texts.select(key, text, F.explode(pieces).alias("front"))
+#: Dictionaries of up to this many terms travel as one broadcast row; larger ones are joined by the terms' fronts.
+SMALL_DICTIONARY = 5000
+
+
+def contained_terms(texts: DataFrame, dictionary: DataFrame, key: str, text: str, small: int = SMALL_DICTIONARY) -> DataFrame:
+    """(key, term, type) where the text contains the term anywhere (no word limits)."""
+    facts = dictionary.agg(F.count("*").alias("n"), F.min(F.length("term")).alias("front")).first()
+    if facts.n <= small:
+        whole = dictionary.agg(F.collect_list(F.struct("term", "type")).alias("terms"))  # one row of at most ``small`` terms
+        found = F.filter("terms", lambda t: F.contains(F.col(text), t["term"]))
+        return texts.select(key, text).crossJoin(F.broadcast(whole)).select(key, F.inline(found))
+    front = max(1, min(facts.front, 4))
+    grams = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{front}}}))"), F.lit(1)))
     terms = dictionary.withColumn("front", F.left("term", F.lit(front)))
-    return probes.join(terms, "front").where(F.contains(text, F.col("term"))).select(key, "term", "type")
+    fronts = texts.select(key, F.explode(grams).alias("front")).join(terms, "front").groupBy(key).agg(F.collect_list(F.struct("term", "type")).alias("terms"))
+    found = F.filter("terms", lambda t: F.contains(F.col(text), t["term"]))
+    return texts.select(key, text).join(fronts, key).select(key, F.inline(found))
 
 
 def occurrences(text: Column, term: Column) -> Column:

@@ -9,7 +9,7 @@ from .base import query, table
 from .extraction import mentions
 from .vectors import vector_of
 
-PAIRS = "p AS (SELECT a.l_orderkey AS chunk, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber), e AS (SELECT src, dst, count(*) AS n FROM p GROUP BY src, dst)"
+PAIRS = "i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem), p AS (SELECT a.l_orderkey AS chunk, a.l_partkey AS src, b.l_partkey AS dst FROM i a JOIN i b ON a.l_orderkey = b.l_orderkey AND a.k < b.k WHERE b.k <= 20), e AS (SELECT src, dst, count(*) AS n FROM p GROUP BY src, dst)"
 BOTH = f"{PAIRS}, s AS (SELECT src, dst, n FROM e UNION ALL SELECT dst, src, n FROM e WHERE src <> dst)"
 
 
