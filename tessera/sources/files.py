@@ -36,7 +36,7 @@ def categories(files: DataFrame, root: str) -> DataFrame:
 
 def text_lenient(content: Column) -> Column:
     """UTF-8 with bad bytes dropped."""
-    return F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
 def text_strict(content: Column) -> Column:
