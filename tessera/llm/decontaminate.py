@@ -121,10 +121,10 @@ def item_fingerprints(items: DataFrame) -> DataFrame:
     return rows.select("item", F.inline("found"))
 
 
-def scan(docs: DataFrame, short: list[int], keep: np.ndarray | None, wanted: str | None = None) -> DataFrame:
-    """rid, doc_id, n_words and the fingerprints found of ``docs`` (rid, doc_id, text): those in ``keep`` or in the row's own column ``wanted``; with neither, all of them without words."""
-    columns = [F.col(c) for c in ("rid", "doc_id", "text")] + ([F.col(wanted).alias("wanted")] if wanted else [])
-    schema = f"rid long, doc_id long, n_words long, found {FOUND}"
+def scan(docs: DataFrame, short: list[int], keep: np.ndarray | None, wanted: str | None = None, also: str | None = None) -> DataFrame:
+    """rid, doc_id, n_words and the fingerprints found of ``docs`` (rid, doc_id, text): those in ``keep`` or in the row's own column ``wanted``; with neither, all of them without words. ``also`` names a long column that comes along."""
+    columns = [F.col(c) for c in ("rid", "doc_id", "text")] + ([F.col(wanted).alias("wanted")] if wanted else []) + ([F.col(also)] if also else [])
+    schema = f"rid long, doc_id long, n_words long, found {FOUND}" + (f", {also} long" if also else "")
     struct = pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("off", pa.int32()), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,8 @@ def scan(docs: DataFrame, short: list[int], keep: np.ndarray | None, wanted: str
                         found.append([{"hash": h, "pos": p, "off": o, "words": c} for h, p, o, c in rows])
                     else:
                         found.append([])
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(counts, pa.int64()), pa.array(found, pa.list_(struct))], names=["rid", "doc_id", "n_words", "found"])
+                extra = [piece.column(piece.num_columns - 1)] if also else []
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(counts, pa.int64()), pa.array(found, pa.list_(struct)), *extra], names=["rid", "doc_id", "n_words", "found", *([also] if also else [])])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -173,28 +174,28 @@ def spans(pairs: DataFrame) -> DataFrame:
     return pairs.select("rid", "item", "pos", "off", "words", "item_off", "item_words", "winnowed").mapInArrow(run, "rid long, item string, start int, end int")
 
 
-def hits(docs: DataFrame, items: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def hits(docs: DataFrame, items: DataFrame, limit: int = LIMIT, also: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The scanned rows (rid, doc_id, n_words) and the hit spans (rid, item, start, end) of ``docs`` (rid, doc_id, text)."""
     prints = save(item_fingerprints(items), "items")
     short = sorted(r[0] for r in prints.where("not winnowed").select(F.size("words")).distinct().collect())  # below WINDOW
     keys = prints.select("hash").distinct()
     if keys.limit(limit + 1).count() <= limit:
         keep = np.sort(np.array([r[0] for r in keys.collect()], "i8").view("u8"))
-        scanned = scan(docs, short, keep)
+        scanned = scan(docs, short, keep, also=also)
     else:
         docs = save(docs, "rows")  # both scans must see the same rid
         all_of = scan(docs, short, None).select("rid", F.explode("found.hash").alias("hash"))
         wanted = all_of.join(keys, "hash", "left_semi").groupBy("rid").agg(F.collect_list("hash").alias("wanted"))
-        scanned = scan(docs.join(wanted, "rid", "left"), short, None, "wanted")
+        scanned = scan(docs.join(wanted, "rid", "left"), short, None, "wanted", also)
     scanned = save(scanned, "scanned")
     other = prints.select("hash", "item", F.col("off").alias("item_off"), F.col("words").alias("item_words"), "winnowed")
     pairs = scanned.select("rid", F.inline("found")).join(other, "hash")
     return scanned.drop("found"), spans(pairs)
 
 
-def mark_rows(docs: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
+def mark_rows(docs: DataFrame, items: DataFrame, limit: int = LIMIT, also: str | None = None) -> DataFrame:
     """rid, doc_id, n_words, n_hit, items (sorted ids), contaminated of ``docs`` (rid, doc_id, text)."""
-    scanned, found = hits(docs, items, limit)
+    scanned, found = hits(docs, items, limit, also)
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
     by_doc = found.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item").alias("items"))
     by_doc = by_doc.select("rid", F.size(covered).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
@@ -211,11 +212,17 @@ def mark(docs: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the contaminated rows."""
-    rid = free_name(docs, "rid")
-    held = save(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
-    bad = mark_rows(held.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long"), "text"), items).where("contaminated")
-    return held.join(bad.select(F.col("rid").alias(rid)), rid, "left_anti").select(*docs.columns)
+    """``docs`` with all its columns, without the contaminated rows.
+
+    The verdict follows from the text alone, so rows are found again by doc_id and the text's hash:
+    rows that agree in both share it.
+    """
+    key, name = free_name(docs, "text_key"), "text_key"
+    hashed = lambda df, name: df.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = hashed(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text"), name)
+    bad = mark_rows(rows, items, also=name).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col(name).alias("bad_key")).distinct()
+    same = F.col(key).eqNullSafe(F.col("bad_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id"))
+    return hashed(docs, key).join(bad, same, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
