@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import base, context, extraction, graph, hits, sessions, text, vectors
+from .plans import base, context, extraction, graph, hits, rules, sessions, text, vectors
 
-AREAS = (text, vectors, extraction, graph, hits, context, sessions)
+AREAS = (text, vectors, extraction, graph, hits, context, sessions, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
