@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import any_of, strip
+from .text import any_of, normalize_filename, strip
 
 #: Words that make a message worth remembering.
 MEMORABLE = ("喜欢", "爱好", "兴趣", "讨厌", "不喜欢", "我是", "我是做", "我的工作", "我的职业", "项目", "产品", "公司", "团队", "目标", "计划", "梦想", "愿望", "地址", "城市", "住在", "来自", "年龄", "生日", "出生", "学历", "学校", "专业", "联系方式", "邮箱", "电话")
@@ -130,10 +131,6 @@ def assemble(*layers: tuple[str, Column]) -> Column:
 
 def similar_name(name: Column, other: Column) -> Column:
     """How alike two file names are after normalising: twice the matching characters over all (Ratcliff and Obershelp)."""
-    import pandas as pd
-
-    from .text import normalize_filename
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         import difflib
