@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,3 +50,41 @@ def split_natural(text: Column, size: int) -> Column:
         return texts.map(cut)
 
     return split(text)
+
+
+#: Marks of Markdown, the style each stands for, and what is shown of it.
+_MARKS = re.compile(
+    r"(?ms)```\w*\n(?P<block>.*?)```|`(?P<code>[^`]+)`|\*\*(?P<bold>.+?)\*\*|__(?P<bold2>.+?)__|~~(?P<strikethrough>.+?)~~|\*(?P<italic>[^*\n]+)\*|_(?P<italic2>[^_\n]+)_"
+    r"|\[(?P<underline>[^\]]+)\]\([^)]+\)|^#{1,6} (?P<heading>[^\n]+)\n?|^> (?P<quote>[^\n]+)\n?|^\s*[-*_]{3,}\s*$(?P<rule>)"
+)
+_STYLE = {"code": "bold", "bold": "bold", "bold2": "bold", "italic": "italic", "italic2": "italic", "heading": "bold", "strikethrough": "strikethrough", "underline": "underline"}
+_SHOWN = {"block": "```\n{}\n```\n", "heading": "{}\n", "quote": "> {}\n", "rule": "\n─────────\n"}
+
+
+def _segments(text: str | None) -> list[dict]:
+    """Runs of one style, from left to right; marks that are not closed stay as they are."""
+    runs: list[dict] = []
+
+    def add(t: str, style: str) -> None:
+        if t and runs and runs[-1]["style"] == style:
+            runs[-1]["text"] += t
+        elif t:
+            runs.append({"text": t, "style": style})
+
+    at, text = 0, text or ""
+    for m in _MARKS.finditer(text):
+        add(text[at : m.start()], "")
+        add(_SHOWN.get(m.lastgroup, "{}").format(m.group(m.lastgroup).rstrip("\n")), _STYLE.get(m.lastgroup, ""))
+        at = m.end()
+    add(text[at:], "")
+    return runs
+
+
+def rich_segments(text: Column) -> Column:
+    """Markdown as array of (text, style), neighbours of equal style joined."""
+
+    @F.pandas_udf("array<struct<text:string,style:string>>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(_segments)
+
+    return split(text)

@@ -31,3 +31,11 @@ def test_lookups(spark):
     rel = spark.createDataFrame([(1, 0, "a", "r", "b", "a r b"), (1, 1, "a", "r", "c", "why")], "q int, ord int, src string, relation string, dst string, description string")
     ent = spark.createDataFrame([(1, 0, "n", "t", "d"), (1, 1, "n" * 50, "t", "d")], "q int, ord int, name string, type string, description string")
     assert R.fused_context(ent, rel, "q", 10, 100).first().context == "## 实体信息\n- n (t): d\n\n## 关系信息\n- a r b\n- a r c: why"
+
+
+def test_rich_segments(spark):
+    from tessera.operators.messages import rich_segments
+
+    got = [tuple(x) for x in one(spark, rich_segments(F.col("t")), t="# T\na **b** `c` ~~d~~ [e](u)\n> q\n**open\n```py\nx\n```")]
+    assert got == [("T\n", "bold"), ("a ", ""), ("b", "bold"), (" ", ""), ("c", "bold"), (" ", ""), ("d", "strikethrough"), (" ", ""), ("e", "underline"), ("\n> q\n**open\n```\nx\n```\n", "")]
+    assert one(spark, rich_segments(F.col("t")), t="") == []
