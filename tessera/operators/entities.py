@@ -26,17 +26,54 @@ def word_mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str,
     return words.groupBy(key, "term").agg(F.count("*").alias("n")).join(dictionary, "term")
 
 
-#: Dictionaries of up to this many terms travel as one broadcast row; larger ones are joined by the terms' fronts.
+#: Dictionaries of up to this many terms are compiled into one automaton; larger ones are joined by the terms' fronts.
 SMALL_DICTIONARY = 5000
 
 
+def _automaton(dictionary: DataFrame, small: int):
+    """A vectorised function from texts to the dictionary's occurrences (leftmost of each term, without overlap), or None if there is no automaton or the dictionary is large."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    rows = dictionary.where("term <> ''").select("term", "type").limit(small + 1).collect()
+    if len(rows) > small:
+        return None
+    terms = sorted((r.term, r.type) for r in rows)
+
+    @F.pandas_udf("array<struct<term:string,type:string,start:int,end:int>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = ahocorasick.Automaton()
+        kinds: dict[str, list[str]] = {}
+        for term, kind in terms:
+            kinds.setdefault(term, []).append(kind)
+            machine.add_word(term, term)
+        machine.make_automaton()
+
+        def one(text: str | None) -> list[dict]:
+            out, free = [], {}
+            for last, term in machine.iter(text or "") if terms else ():
+                start = last + 1 - len(term)
+                if start >= free.get(term, 0):
+                    free[term] = last + 1
+                    out += [{"term": term, "type": kind, "start": start, "end": last + 1} for kind in kinds[term]]
+            return out
+
+        for texts in batches:
+            yield texts.map(one)
+
+    return find
+
+
 def contained_terms(texts: DataFrame, dictionary: DataFrame, key: str, text: str, small: int = SMALL_DICTIONARY) -> DataFrame:
     """(key, term, type) where the text contains the term anywhere (no word limits)."""
+    find = _automaton(dictionary, small)
+    if find is not None:
+        own = F.array_distinct(F.transform(find(F.col(text)), lambda m: F.struct(m["term"].alias("term"), m["type"].alias("type"))))
+        return texts.select(key, F.inline(own))
     facts = dictionary.agg(F.count("*").alias("n"), F.min(F.length("term")).alias("front")).first()
-    if facts.n <= small:
-        whole = dictionary.agg(F.collect_list(F.struct("term", "type")).alias("terms"))  # one row of at most ``small`` terms
-        found = F.filter("terms", lambda t: F.contains(F.col(text), t["term"]))
-        return texts.select(key, text).crossJoin(F.broadcast(whole)).select(key, F.inline(found))
+    if not facts.n:
+        return texts.select(key, F.lit("").alias("term"), F.lit("").alias("type")).where("false")
     front = max(1, min(facts.front, 4))
     grams = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{front}}}))"), F.lit(1)))
     terms = dictionary.withColumn("front", F.left("term", F.lit(front)))
@@ -57,9 +94,12 @@ def occurrences(text: Column, term: Column) -> Column:
     return ends
 
 
-def candidates(texts: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
+def candidates(texts: DataFrame, dictionary: DataFrame, key: str, text: str, small: int = SMALL_DICTIONARY) -> DataFrame:
     """(key, term, type, start, end) of every occurrence of every term."""
-    held = contained_terms(texts, dictionary, key, text).join(texts.select(key, text), key)
+    find = _automaton(dictionary, small)
+    if find is not None:
+        return texts.select(key, F.inline(find(F.col(text))))
+    held = contained_terms(texts, dictionary, key, text, small).join(texts.select(key, text), key)
     rows = held.select(key, "term", "type", F.explode(occurrences(F.col(text), F.col("term"))).alias("start"))
     return rows.withColumn("end", F.col("start") + F.length("term"))
 
