@@ -33,16 +33,16 @@ def last_human_message(spark, sf):
     return S.last_of_role(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", "user")
 
 
-@query("SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS mean FROM events")
+@query("SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) + 1e-9, 4) AS mean FROM events")
 def rolling_response_mean(spark, sf):
     rows = S.rolling_mean(table(spark, sf, "events").select("event_id", "ts", "value"), ["ts", "event_id"], "value")
-    return rows.select("event_id", F.round("mean", 4).alias("mean"))
+    return rows.select("event_id", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
 
 
-@query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS mean FROM events")
+@query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 1e-9, 4) AS mean FROM events")
 def speed_window(spark, sf):
     rows = S.rolling_mean(table(spark, sf, "events"), ["ts", "event_id"], "value", 10, ["event_type"])
-    return rows.select("event_type", "event_id", F.round("mean", 4).alias("mean"))
+    return rows.select("event_type", "event_id", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
 
 
 @query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS failures, round((count(*) - count(*) FILTER (event_type = 'error')) / count(*) * 100, 6) AS rate FROM events GROUP BY user_id")
