@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,3 +192,49 @@ def any_of(c: Column, words) -> Column:
     """Whether the text holds any of the words, whatever the case."""
     low = F.lower(c)
     return F.array_contains(F.array(*(F.contains(low, F.lit(w.lower())) for w in words)), True)
+
+
+def meta_description(c: Column) -> Column:
+    """The description in a page's head, '' without one."""
+    return F.regexp_extract(c, r'(?i)<meta\s+name="description"\s+content="([^"]*)"', 1)
+
+
+def day_labels(at: Column) -> Column:
+    """The days that a message sent ``at`` may speak of, as dates, and its weekday."""
+    day = F.to_date(at)
+    dates = (F.date_format(F.date_add(day, n), "yyyy-MM-dd").alias(k) for k, n in (("yesterday", -1), ("today", 0), ("tomorrow", 1), ("day_after", 2)))
+    return F.struct(*dates, F.date_format(day, "EEEE").alias("weekday"))
+
+
+def scoped_query(query: Column, category: Column | None = None, language: Column | None = None) -> Column:
+    """A query limited to a category of a paper index, and to a programming language."""
+    if category is not None:
+        query = F.concat(F.lit("cat:"), category, F.lit(" AND all:"), query)
+    return query if language is None else F.concat(query, F.lit(" language:"), language)
+
+
+def thread_id(channel: Column, user: Column, session: Column) -> Column:
+    return F.concat_ws("_", channel, user, session)
+
+
+def json_text(c: Column) -> Column:
+    """All text of a nested JSON message in order, where a ``text`` field stands for its object; no JSON: the text itself."""
+
+    @F.pandas_udf("string")
+    def texts(values: pd.Series) -> pd.Series:
+        import json
+
+        def inner(x) -> str:
+            if isinstance(x, dict):
+                x = [x["text"]] if "text" in x else list(x.values())
+            return "".join(map(inner, x)) if isinstance(x, list) else x if isinstance(x, str) else ""
+
+        def one(v):
+            try:
+                return None if v is None else inner(json.loads(v))
+            except (ValueError, RecursionError):
+                return v
+
+        return values.map(one)
+
+    return texts(c)

@@ -112,3 +112,10 @@ def add_missing(existing: DataFrame, more: DataFrame, key: str, order: str) -> D
     rank = F.row_number().over(W.partitionBy(F.lower(key)).orderBy(order))
     fresh = more.withColumn("rn", rank).where("rn = 1").drop("rn").join(taken, F.lower(F.col(key)) == F.col("low"), "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
+
+
+def entity_report(mentions: DataFrame, asked: DataFrame, name: str, kind: str, doc: str, order: list[str], status: str = "status", similarity: str = "similarity") -> DataFrame:
+    """(name, type, n_docs, status, similarity) of the entities ``asked`` for: the type and the alignment seen first; unaligned ones are unknown, at 1."""
+    first = F.min_by(F.struct(F.col(kind).alias("type"), F.col(status).alias("status"), F.col(similarity).alias("similarity")), F.struct(*order)).alias("f")
+    rows = mentions.join(asked.select(name).distinct(), name).groupBy(name).agg(F.count_distinct(doc).alias("n_docs"), first)
+    return rows.select(name, "f.type", "n_docs", F.coalesce("f.status", F.lit("unknown")).alias("status"), F.coalesce("f.similarity", F.lit(1.0)).alias("similarity"))

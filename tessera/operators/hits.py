@@ -113,3 +113,11 @@ def engines(spark) -> DataFrame:
 def report_line(place: Column) -> Column:
     """A hit as text."""
     return F.concat_ws("\n", F.format_string("%d. **%s** [%s]", place, F.col("title"), F.col("engine")), F.concat(F.lit("   "), F.col("url")), F.concat(F.lit("   "), F.replace("snippet", F.lit("\n"), F.lit(" "))))
+
+
+def research_report(ranked: DataFrame, topics: DataFrame, key: str = "query_id", most: int = 5) -> DataFrame:
+    """(key, report): a Markdown report for each of ``topics`` (key, topic) on its best ``most`` hits (rank, title, url, snippet); a topic without hits has its title alone."""
+    line = F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(") - "), F.left("snippet", F.lit(100)), F.lit("..."))
+    lines = ranked.where(F.col("rank") <= most).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    return topics.join(lines, key, "left").select(key, F.concat_ws("\n\n", F.concat(F.lit("# "), "topic", F.lit(" 研究报告")), body).alias("report"))

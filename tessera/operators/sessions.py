@@ -134,3 +134,13 @@ def gap_sessions(events: DataFrame, by: str, ts: str, minutes: int = 30) -> Data
     """(by, start, end, n) of runs of events without a longer gap."""
     s = F.session_window(ts, f"{minutes} minutes")
     return events.groupBy(by, s).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def session_list(sessions: DataFrame, by: str, key: str, count: str, seen: str, most: int = 10) -> DataFrame:
+    """(by, listing): the newest sessions of each user as lines, and how many more there are."""
+    rank = F.row_number().over(W.partitionBy(by).orderBy(F.desc(seen), key))
+    line = F.concat(F.left(F.col(key).cast("string"), F.lit(8)), F.lit(": "), F.col(count).cast("string"), F.lit("条消息 | "), F.date_format(seen, "MM-dd HH:mm"))
+    top = sessions.withColumn("_rank", rank).where(F.col("_rank") <= most).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_rank", line.alias("line")))).alias("_lines"))
+    rows = top.join(sessions.groupBy(by).agg(F.count("*").alias("_n")), by)
+    more = F.when(F.col("_n") > most, F.format_string("... 还有 %d 个会话", F.col("_n") - most))
+    return rows.select(by, F.concat_ws("\n", F.transform("_lines", lambda x: x["line"]), more).alias("listing"))

@@ -59,11 +59,11 @@ def enhanced_search(spark, sf):
 
 
 @query("""WITH e AS (SELECT s_name AS src, n_name AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-r AS (SELECT dst AS name FROM e WHERE lower(src) IN ('supplier#1', 'france', 'china') UNION SELECT src FROM e WHERE lower(dst) IN ('supplier#1', 'france', 'china')) SELECT name FROM r WHERE name NOT IN ('supplier#1', 'france', 'china')""")
+r AS (SELECT dst AS name FROM e WHERE lower(src) IN ('supplier#000000001', 'nation_3', 'china') UNION SELECT src FROM e WHERE lower(dst) IN ('supplier#000000001', 'nation_3', 'china')) SELECT name FROM r WHERE name NOT IN ('supplier#000000001', 'nation_3', 'china')""")
 def related_entities(spark, sf):
     supplier, nation = table(spark, sf, "supplier"), table(spark, sf, "nation")
     rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("src"), F.col("n_name").alias("dst"))
-    asked = spark.createDataFrame([("Supplier#1",), ("FRANCE",), ("China",)], "name string")
+    asked = spark.createDataFrame([("SUPPLIER#000000001",), ("Nation_3",), ("China",)], "name string")
     return G.related(rows, asked)
 
 
