@@ -74,7 +74,7 @@ def contained_terms(texts: DataFrame, dictionary: DataFrame, key: str, text: str
     facts = dictionary.agg(F.count("*").alias("n"), F.min(F.length("term")).alias("front")).first()
     if not facts.n:
         return texts.select(key, F.lit("").alias("term"), F.lit("").alias("type")).where("false")
-    front = max(1, min(facts.front, 4))
+    front = max(1, min(facts.front, 8))
     grams = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{front}}}))"), F.lit(1)))
     terms = dictionary.withColumn("front", F.left("term", F.lit(front)))
     fronts = texts.select(key, F.explode(grams).alias("front")).join(terms, "front").groupBy(key).agg(F.collect_list(F.struct("term", "type")).alias("terms"))
@@ -107,10 +107,15 @@ def candidates(texts: DataFrame, dictionary: DataFrame, key: str, text: str, sma
 def resolve(found: DataFrame, key: str) -> DataFrame:
     """Mentions that stand when longer terms claim their characters first, then by term and place.
 
-    ``found``: key, term, type, start, end. A fold over the ordered candidates of one text.
+    ``found``: key, term, type, start, end. A fold over the ordered candidates of one run of
+    overlapping mentions; runs of a text share no characters, so each is settled alone.
     """
     order = F.struct((-F.length("term")).alias("o"), "term", "start", "end", "type")
-    rows = found.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("own"))
+    place = W.partitionBy(key).orderBy("start", "end", "term", "type")
+    before = F.max("end").over(place.rowsBetween(W.unboundedPreceding, -1))
+    runs = found.withColumn("fresh", F.coalesce((F.col("start") >= before).cast("int"), F.lit(0)))
+    runs = runs.withColumn("run", F.sum("fresh").over(place.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = runs.groupBy(key, "run").agg(F.sort_array(F.collect_list(order)).alias("own"))
     free = lambda acc, m: ~F.exists(acc, lambda a: (a["start"] < m["end"]) & (m["start"] < a["end"]))
     start = F.array().cast("array<struct<o:int,term:string,start:int,end:int,type:string>>")
     kept = F.aggregate("own", start, lambda acc, m: F.when(free(acc, m), F.concat(acc, F.array(m))).otherwise(acc))

@@ -11,18 +11,30 @@ from ..operators import entities as E
 from .base import query, table
 
 
-def dictionary(spark, sf):
-    """(term, type): the 200 most frequent of the words of 8 letters or more in 3 to 50 documents; the type is their main language."""
+def _frequencies(spark, sf):
+    """(term, df, type) of the words of 8 letters or more: the documents that hold it and its main language."""
     docs = table(spark, sf, "documents")
     words = docs.select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{8,})"), F.lit(1)))).alias("term"))
     by_lang = words.groupBy("term", "lang").agg(F.count("*").alias("n"))
-    total = by_lang.groupBy("term").agg(F.sum("n").alias("df"), F.min(F.struct((-F.col("n")).alias("m"), "lang"))["lang"].alias("type"))
-    return total.where("df BETWEEN 3 AND 50").orderBy(F.desc("df"), "term").limit(200).select("term", "type")
+    return by_lang.groupBy("term").agg(F.sum("n").alias("df"), F.min(F.struct((-F.col("n")).alias("m"), "lang"))["lang"].alias("type"))
+
+
+def dictionary(spark, sf):
+    """(term, type): the 200 most frequent of the words in 3 to 50 documents, as the SQL twins beside it fix it."""
+    return _frequencies(spark, sf).where("df BETWEEN 3 AND 50").orderBy(F.desc("df"), "term").limit(200).select("term", "type")
+
+
+def whole_dictionary(spark, sf):
+    """(term, type): every word in at least 3 documents."""
+    return _frequencies(spark, sf).where("df >= 3").select("term", "type")
 
 
 DICT = """w AS (SELECT DISTINCT doc_id, lang, term FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[a-z]{8,}')) AS term FROM documents)),
 c AS (SELECT term, count(*) AS df FROM w GROUP BY term HAVING count(*) BETWEEN 3 AND 50 ORDER BY df DESC, term LIMIT 200),
 d AS (SELECT term, lang AS type FROM (SELECT term, lang, row_number() OVER (PARTITION BY term ORDER BY count(*) DESC, lang) AS rn FROM w JOIN c USING (term) GROUP BY term, lang) WHERE rn = 1)"""
+WHOLE_DICT = """w AS (SELECT DISTINCT doc_id, lang, term FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[a-z]{8,}')) AS term FROM documents)),
+c AS (SELECT term FROM w GROUP BY term HAVING count(*) >= 3),
+d AS (SELECT term, lang AS type FROM (SELECT term, lang, row_number() OVER (PARTITION BY term ORDER BY count(*) DESC, lang) AS rn FROM w JOIN c USING (term) GROUP BY term, lang) WHERE rn = 1)"""
 WORDS = "u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{8,}')) AS term FROM documents)"
 
 
@@ -52,10 +64,36 @@ def terms_per_document(spark, sf):
     return E.contained_terms(table(spark, sf, "documents"), dictionary(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {WHOLE_DICT} SELECT type, count(*) AS n FROM d GROUP BY type")
+def dictionary_stats_whole(spark, sf):
+    return whole_dictionary(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WHOLE_DICT}, {WORDS} SELECT doc_id, term, type, count(*) AS n FROM u JOIN d USING (term) GROUP BY ALL")
+def dictionary_candidates_whole(spark, sf):
+    return E.word_mentions(table(spark, sf, "documents"), whole_dictionary(spark, sf), "doc_id", "text").select("doc_id", "term", "type", "n")
+
+
+@query(f"WITH {WHOLE_DICT}, {WORDS} SELECT term, any_value(type) AS type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM u JOIN d USING (term) GROUP BY term")
+def mention_counts_whole(spark, sf):
+    found = E.word_mentions(table(spark, sf, "documents"), whole_dictionary(spark, sf), "doc_id", "text")
+    return found.groupBy("term").agg(F.min("type").alias("type"), F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+
+
+@query()
+def query_entities_whole(spark, sf):
+    return E.contained_terms(table(spark, sf, "benchmark"), whole_dictionary(spark, sf), "item_id", "text")
+
+
+@query()
+def terms_per_document_whole(spark, sf):
+    return E.contained_terms(table(spark, sf, "documents"), whole_dictionary(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query()
 def mentions_resolved(spark, sf):
     """Greedy resolution of overlaps: the longest term claims its characters first."""
-    return E.resolve(E.candidates(table(spark, sf, "documents"), dictionary(spark, sf), "doc_id", "text"), "doc_id")
+    return E.resolve(E.candidates(table(spark, sf, "documents"), whole_dictionary(spark, sf), "doc_id", "text"), "doc_id")
 
 
 @query("SELECT doc_id, CAST(i // 1800 AS INT) AS chunk_index, md5(substr(text, CAST(i + 1 AS INT), 2000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, length(text), 1800)) AS i FROM documents)")
@@ -168,10 +206,19 @@ def dictionary_merge(spark, sf):
     return E.merge_dictionaries(both)
 
 
+@query(f"WITH {WHOLE_DICT}, o AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{{8,}}')) AS term FROM benchmark)), m AS (SELECT term, type, 1 AS priority FROM d UNION ALL SELECT term, 'private', 2 FROM o) SELECT term, arg_max(type, priority) AS type FROM m GROUP BY term")
+def dictionary_merge_whole(spark, sf):
+    """The whole dictionary under one of all words of 8 letters or more in the benchmark."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{8,})"), F.lit(1))).alias("term")).distinct()
+    base = whole_dictionary(spark, sf).select(F.lit("all").alias("dict_name"), "term", "type", F.lit(1).alias("priority"))
+    return E.merge_dictionaries(base.unionByName(words.select(F.lit("own").alias("dict_name"), "term", F.lit("private").alias("type"), F.lit(2).alias("priority"))))
+
+
 @query()
 def overlap_search(spark, sf):
-    """Chunks by the share of a query's terms that they hold."""
-    terms = dictionary(spark, sf).orderBy("term").limit(20)
+    """Chunks by the share of the dictionary's terms that they hold."""
+    terms = whole_dictionary(spark, sf)
     chunks = C.chunk_documents(table(spark, sf, "documents"), kind="windows")
-    found = E.contained_terms(chunks, terms, "chunk_id", "chunk").groupBy("chunk_id").agg((F.count_distinct("term") / 20).alias("score"))
+    found = E.contained_terms(chunks, terms, "chunk_id", "chunk").groupBy("chunk_id").agg(F.count_distinct("term").alias("held"))
+    found = found.crossJoin(F.broadcast(terms.agg(F.count("*").alias("n")))).select("chunk_id", (F.col("held") / F.col("n")).alias("score"))  # one row
     return found.orderBy(F.desc("score"), "chunk_id").limit(10)
