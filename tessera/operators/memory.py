@@ -12,6 +12,6 @@ def new_facts(found: DataFrame, memories: DataFrame, fact: str, order: list[str]
     """Rows of ``found`` whose fact, normalised, no memory of the same ``by`` holds; of equal facts the first by ``order``. NULL is no fact."""
     key = [*by, "_norm"]
     known = memories.select(*by, normalize_fact(F.col(fact)).alias("_norm")).where(F.col("_norm").isNotNull()).distinct()
-    fresh = found.withColumn("_norm", normalize_fact(F.col(fact))).where(F.col("_norm").isNotNull()).join(known, key, "left_anti")
+    fresh = found.withColumn("_norm", normalize_fact(F.col(fact))).where(F.col("_norm").isNotNull())
     firsts = fresh.groupBy(*key).agg(F.min_by(F.struct(*found.columns), F.struct(*order)).alias("_row"))
-    return firsts.select("_row.*")
+    return firsts.join(known, key, "left_anti").select("_row.*")

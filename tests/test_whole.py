@@ -52,3 +52,16 @@ def test_resolution_by_runs(spark, small):
     for r in E.resolve(E.candidates(texts, terms, "doc_id", "text", small), "doc_id").collect():
         found[r.doc_id].append((r.start, r.term))
     assert {d: sorted(v) for d, v in found.items()} == {1: [(0, "abcdefghij"), (11, "abcdefgh")], 2: [(0, "cdefghij"), (8, "abcdefgh")]}
+
+
+def test_reports_facts_and_rewrites_are_whole(spark, tmp_path):
+    long = "find every paper on the containment of terms"
+    talk = [(1, 0, "user", "the first fact"), (1, 1, "assistant", "the third fact"), (1, 2, "user", "the second fact"), (2, 0, "user", "The  third fact"), (2, 1, "user", "the first fact")]
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 21)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(k, k * 100, 1, 1, 1.0, "R", "O", 0.1) for k in range(1, 21)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long, l_extendedprice double, l_returnflag string, l_linestatus string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted((r.conv_id, r.turn) for r in run(spark, "new_facts_whole", tmp_path)) == [(1, 0), (1, 2)]
+    assert [(r.papers, r.code) for r in run(spark, "query_rewrites_whole", tmp_path)] == [(f"cat:cs.CL AND all:{long}", f"{long} language:python")]
+    assert sorted(r.l_partkey for r in run(spark, "verification_report_whole", tmp_path)) == list(range(1, 21))
