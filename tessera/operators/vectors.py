@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +32,68 @@ def top_k_merged(items: DataFrame, query, k: int, by: list[str], id_col: str = "
     return top_k_within(items, query, k, by, id_col, vector).drop("rank").orderBy(F.desc("score"), id_col).limit(k)
 
 
+#: Queries and rows of one block of scores (at most 32 MB), and how far below the k-th score a rounding error may put an equal one.
+BLOCK_QUERIES, BLOCK_ROWS, SLACK = 1024, 4096, 1e-9
+
+
+def _dealt(rows: DataFrame, id_col: str, block: str, size: int) -> tuple[DataFrame, int]:
+    n = max(1, math.ceil(rows.count() / size))
+    return rows.withColumn(block, F.pmod(F.xxhash64(id_col), F.lit(n))), n
+
+
+def top_k_many(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", by: list[str] = (), score: str = "score", product: bool = False) -> DataFrame:
+    """(query_id, id, *by, score, rank): for each row of ``queries`` (query_id, query) its ``k`` best rows, of each ``by``; ties by id.
+
+    Blocks of queries meet blocks of rows. A block pair keeps what may be among the k best of its rows,
+    then the exact scores are ranked. Of equal vectors only the k first ids can count. ``product``: by inner product.
+    """
+    order = F.row_number().over(W.partitionBy(*by, vector).orderBy(id_col))
+    rows = items.select(id_col, *by, vector).where(F.col(vector).isNotNull()).withColumn("_copy", order).where(F.col("_copy") <= k).drop("_copy")
+    left, n_left = _dealt(queries.select("query_id", "query").where("query IS NOT NULL"), "query_id", "_q", BLOCK_QUERIES)
+    right, n_right = _dealt(rows, id_col, "_i", BLOCK_ROWS)
+    left = left.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
+    right = right.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
+    kinds = {f.name: f.dataType.simpleString() for f in [*items.schema, *queries.schema]}
+    group, cos = list(by), not product
+
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = []
+        if len(q) and len(r):
+            a, b = (np.stack([np.asarray(v, "f8") for v in c]) for c in (q["query"], r[vector]))
+            if cos:
+                for m in (a, b):
+                    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                    np.divide(m, length, out=m, where=length > 0)
+            for _, part in r.groupby(group, dropna=False) if group else [(None, r)]:
+                own = r.index.get_indexer(part.index)
+                scores = a @ b[own].T
+                if len(own) > k:
+                    least = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k]
+                    i, j = np.nonzero(scores >= (least - SLACK * np.maximum(1, np.abs(least)))[:, None])
+                else:
+                    i, j = np.divmod(np.arange(scores.size), len(own))
+                out.append(pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "_id": part[id_col].to_numpy()[j]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "_id": pd.Series(dtype="int64")})
+
+    pairs = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(best, f"query_id {kinds['query_id']}, _id {kinds[id_col]}")
+    pairs = pairs.withColumnRenamed("_id", id_col).join(rows, id_col).join(queries.select("query_id", "query"), "query_id")
+    exact = (V.dot if product else V.cosine)(F.col(vector), F.col("query"))
+    scored = pairs.withColumn(score, exact).drop(vector, "query")
+    rank = F.row_number().over(W.partitionBy("query_id", *by).orderBy(F.desc(score), id_col))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def hash_similarity_many(bins: DataFrame, queries: DataFrame, id_col: str, k: int) -> DataFrame:
+    """(query_id, id, score, rank): cosine of sparse hash embeddings to every query's (query_id, bin, weight), the ``k`` best of each."""
+    length = lambda rows, by, name: rows.groupBy(by).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(name))
+    dots = bins.join(queries.select("query_id", "bin", F.col("weight").alias("q")), "bin").groupBy("query_id", id_col).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
+    total = F.col("norm") * F.col("q_norm")
+    scored = dots.join(length(bins, id_col, "norm"), id_col).join(length(queries, "query_id", "q_norm"), "query_id")
+    scored = scored.select("query_id", id_col, F.when(total == 0, 0.0).otherwise(F.col("dot") / total).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def rerank(candidates: DataFrame, vectors: DataFrame, query, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """Candidates by similarity; those without a vector score 0. Without a query all score 1, in order of id."""
     if query is None:
@@ -36,6 +103,16 @@ def rerank(candidates: DataFrame, vectors: DataFrame, query, k: int, id_col: str
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
+def rerank_many(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank): the candidates by similarity to each query; those without a vector score 0, so only their k first ids can count."""
+    held = vectors.select(id_col, vector).where(F.col(vector).isNotNull())
+    found = top_k_many(held.join(candidates, id_col, "left_semi"), queries, k, id_col, vector).drop("rank")
+    bare = candidates.select(id_col).join(held, id_col, "left_anti").orderBy(id_col).limit(k)
+    rest = queries.where("query IS NOT NULL").select("query_id").crossJoin(F.broadcast(bare)).withColumn("score", F.lit(0.0))  # k rows
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return found.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def inner_product_order(items: DataFrame, query, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """By inner product, with the score 1 / (1 + product) that a flat index reports."""
     product = V.dot(F.col(vector), V.literal(query))

@@ -1,7 +1,8 @@
-"""Queries over vectors. The query vector is that of vec_id 0."""
+"""Queries over vectors. The query vector is that of vec_id 0; the forms named _many ask with every vec_id divisible by 20."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -112,3 +113,77 @@ def neighbour_similarity(spark, sf):
     e = table(spark, sf, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("score"))
+
+
+MANY = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, label, list_dot_product(embedding::DOUBLE[], v) AS p, list_dot_product(embedding::DOUBLE[], v) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v, v))) AS score FROM embeddings, q)"""
+
+
+def _best(k: int, where: str = "true", by: str = "query_id", order: str = "score") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order} DESC, vec_id) AS rank FROM s WHERE {where} QUALIFY rank <= {k})"
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _many(spark, sf, k: int, where: str = "true", **how):
+    return O.top_k_many(table(spark, sf, "embeddings").where(where), _asked(spark, sf), k, "vec_id", **how)
+
+
+def _labelled(spark, sf, found):
+    return found.join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"{MANY} SELECT query_id, vec_id, label, round(score, 6) AS score FROM {_best(10)}")
+def vector_topk_many(spark, sf):
+    return _labelled(spark, sf, _many(spark, sf, 10))
+
+
+@query(f"{MANY} SELECT query_id, vec_id, label, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM {_best(5, by='query_id, label')}")
+def vector_topk_per_collection_many(spark, sf):
+    return _rounded(_many(spark, sf, 5, by=["label"])).select("query_id", "vec_id", "label", "score", "rank")
+
+
+@query(f"{MANY} SELECT query_id, vec_id, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM {_best(5, by='query_id, label')}) WHERE r <= 5")
+def vector_topk_merged_many(spark, sf):
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = _many(spark, sf, 5, by=["label"]).withColumn("rank", rank).where("rank <= 5")
+    return _rounded(best).select("query_id", "vec_id", "label", "score")
+
+
+@query(f"{MANY} SELECT query_id, vec_id, label, round(score, 6) AS score FROM {_best(10, 'label IN (1, 3, 5)')}")
+def category_search_many(spark, sf):
+    return _labelled(spark, sf, _many(spark, sf, 10, "label IN (1, 3, 5)"))
+
+
+@query(f"{MANY} SELECT query_id, vec_id, round(1 - (1 - score), 6) AS score, round(1 - score, 6) AS distance FROM {_best(5)}")
+def collection_query_many(spark, sf):
+    return _many(spark, sf, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.round(1 - F.col("score"), 6).alias("distance"))
+
+
+@query(f"{MANY} SELECT query_id, vec_id, round(p, 6) AS product, round(1 / (1 + p), 6) AS score FROM {_best(5, order='p')}")
+def inner_product_search_many(spark, sf):
+    found = _many(spark, sf, 5, score="product", product=True)
+    return found.select("query_id", "vec_id", F.round("product", 6).alias("product"), F.round(1 / (1 + F.col("product")), 6).alias("score"))
+
+
+@query(f"{MANY} SELECT 'chunk' AS kind, query_id, vec_id, round(score, 6) AS score FROM {_best(10, 'label < 4')} UNION ALL SELECT 'entity', query_id, vec_id, round(score, 6) FROM {_best(30, 'label BETWEEN 4 AND 6')} UNION ALL SELECT 'relation', query_id, vec_id, round(score, 6) FROM {_best(30, 'label > 6')}")
+def dual_retrieval_mix_many(spark, sf):
+    parts = []
+    for kind, cond, k in (("chunk", "label < 4", 10), ("entity", "label BETWEEN 4 AND 6", 30), ("relation", "label > 6", 30)):
+        parts.append(_many(spark, sf, k, cond).select(F.lit(kind).alias("kind"), "query_id", "vec_id", F.round("score", 6).alias("score")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"{BINS}, n AS (SELECT item_id, sqrt(sum(weight * weight)) AS norm FROM b GROUP BY item_id), d AS (SELECT q.item_id AS query_id, b.item_id, sum(b.weight * q.weight) AS dot FROM b JOIN b q USING (bin) WHERE q.item_id % 20 = 0 GROUP BY ALL), r AS (SELECT query_id, d.item_id, dot / (n.norm * m.norm) AS score, row_number() OVER (PARTITION BY query_id ORDER BY dot / (n.norm * m.norm) DESC, d.item_id) AS rank FROM d JOIN n USING (item_id) JOIN n m ON m.item_id = query_id) SELECT query_id, item_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def hash_embedding_topk_many(spark, sf):
+    bins = O.hash_bins(table(spark, sf, "benchmark"), "item_id", "text")
+    asked = bins.where(F.col("item_id") % 20 == 0).withColumnRenamed("item_id", "query_id")
+    return _rounded(O.hash_similarity_many(bins, asked, "item_id", 10)).select("query_id", "item_id", "score")
+
+
+@query(f"{MANY}, c AS (SELECT DISTINCT l_partkey AS vec_id FROM lineitem), a AS (SELECT query_id, c.vec_id, coalesce(s.score, 0) AS score FROM c CROSS JOIN (SELECT query_id FROM q) LEFT JOIN s USING (query_id, vec_id)) SELECT query_id, vec_id, round(score, 6) AS score FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY a.score DESC, vec_id) <= 20")
+def rerank_candidates_many(spark, sf):
+    c = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("vec_id")).distinct()
+    return _rounded(O.rerank_many(c, table(spark, sf, "embeddings"), _asked(spark, sf), 20, "vec_id")).select("query_id", "vec_id", "score")

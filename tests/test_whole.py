@@ -1,5 +1,6 @@
 """Queries that cover their whole input, against brute force."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -7,6 +8,7 @@ import pytest
 
 from tessera import registry
 from tessera.operators import entities as E
+from tessera.operators import vectors as O
 
 
 def run(spark, name, sf):
@@ -65,3 +67,25 @@ def test_reports_facts_and_rewrites_are_whole(spark, tmp_path):
     assert sorted((r.conv_id, r.turn) for r in run(spark, "new_facts_whole", tmp_path)) == [(1, 0), (1, 2)]
     assert [(r.papers, r.code) for r in run(spark, "query_rewrites_whole", tmp_path)] == [(f"cat:cs.CL AND all:{long}", f"{long} language:python")]
     assert sorted(r.l_partkey for r in run(spark, "verification_report_whole", tmp_path)) == list(range(1, 21))
+
+
+@pytest.mark.parametrize("by", [[], ["label"]])
+def test_many_queries_against_brute_force(spark, monkeypatch, by):
+    monkeypatch.setattr(O, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(O, "BLOCK_ROWS", 7)
+    rows = [(i, i % 2, [float(x) for x in ((1, 2, 3) if i < 15 else (i % 5, i % 3, i % 7))]) for i in range(45)]
+    items = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    asked = items.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+
+    got = {(r.query_id, r.vec_id) for r in O.top_k_many(items, asked, 4, "vec_id", by=by).collect()}
+    want = set()
+    for q, _, v in rows:
+        for own in [[0], [1]] if by else [[0, 1]]:
+            if q % 20 == 0:
+                want |= {(q, i) for _, i in sorted((-cosine(v, e), i) for i, label, e in rows if label in own)[:4]}
+    assert {q for q, _ in got} == {0, 20, 40}
+    assert got == want
