@@ -11,7 +11,7 @@ edits; both columns may be stored and edited again later. Edits of a row apply i
 the text as the ones before left it: (at, remove, insert) in code points, clamped to the text.
 
 Results for odd inputs: null and empty texts have no segments; null edits leave a row as it is, null
-fields count as 0 or ''; segments may be as long as the text; repeated rows get equal counts.
+fields count as 0 or ''; the literal of an added token is that token (it has no white characters, so it lies in one segment); segments may be as long as the text; repeated rows get equal counts.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ class Counter:
     """Tokens of segments, with a bounded memo."""
 
     def __init__(self, model: str):
-        self.model = encoder(model).model
+        self.model = encoder(model, added=True).model
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
 

@@ -38,7 +38,7 @@ from .common import documents, fresh_path, pieces
 END_ID = 2
 HEADER_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MEMO_WORDS, MEMO_LENGTH = 500_000, 40
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_model() -> str:
@@ -52,17 +52,19 @@ class Encoder:
 
     The pattern of this tokenizer always starts a new pre-token at a space or line end that has
     other characters on both sides, so texts may be cut there; texts with two white characters in a
-    row go to the library whole.
+    row go to the library whole. With ``added`` the literal of an added token is that token, as by
+    the library's default, and texts that hold one go to the library whole; without, it is plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not added
+        self.literals = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.model.no_truncation()
         self.wide = self.model.get_vocab_size() > 1 << 16
         self.type = "<u4" if self.wide else "<u2"
@@ -76,7 +78,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, whole = {}, []
         for i, t in enumerate(texts):
-            if not self.plain or "\0" in t or re.search(r"\s\s", t):
+            if not self.plain or "\0" in t or re.search(r"\s\s", t) or any(x in t for x in self.literals):
                 whole.append(i)
             else:
                 cut[i] = t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -98,10 +100,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 def file_system(path: str):
@@ -183,12 +185,12 @@ class Reader:
         return np.frombuffer(raw, self.kind).astype("<u4")
 
 
-def encode(docs: DataFrame, bounds: list[float], model: str, end_id: int) -> DataFrame:
+def encode(docs: DataFrame, bounds: list[float], model: str, end_id: int, added: bool = False) -> DataFrame:
     """(part, doc_id, ids) of each document: its ids as bytes, and the range of ``bounds`` that its doc_id falls in."""
     edges = np.array(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model)
+        e = encoder(model, added)
         end = np.array([end_id], e.type).tobytes()
         for batch in batches:
             for piece, texts in pieces(batch, 1):
@@ -199,7 +201,7 @@ def encode(docs: DataFrame, bounds: list[float], model: str, end_id: int) -> Dat
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, ids binary")
 
 
-def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = END_ID, files: int | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = END_ID, files: int | None = None, added: bool = False) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) under the shared folder ``path``; returns the manifest (file, n_documents, n_tokens, start), a row a file."""
     spark, model = docs.sparkSession, model or default_model()
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -207,7 +209,7 @@ def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = EN
     bounds = sorted(set(bounds))
     system, where = file_system(path)
     system.create_dir(where, recursive=True)
-    wide = encoder(model).type
+    wide = encoder(model, added).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, part, writer = [], None, None
@@ -223,7 +225,7 @@ def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = EN
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "file", "n_documents", "n_tokens"])
 
-    encoded = encode(docs, bounds, model, end_id)
+    encoded = encode(docs, bounds, model, end_id, added)
     owned = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
     rows = owned.mapInArrow(run, "part int, file string, n_documents long, n_tokens long").collect()  # a row a file
     manifest, start = [], 0
@@ -253,9 +255,9 @@ def read(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
     return manifest.select("file", "start").repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def digests(docs: DataFrame, path: str, model: str | None = None) -> DataFrame:
-    return read(write(docs, path, model)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+def digests(docs: DataFrame, path: str, model: str | None = None, added: bool = False) -> DataFrame:
+    return read(write(docs, path, model, added=added)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir), fresh_path(spark, "ids"))
+    return digests(documents(spark, sf_dir), fresh_path(spark, "ids"), added=True)
