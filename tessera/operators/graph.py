@@ -100,9 +100,10 @@ def merge_descriptions(descriptions) -> F.Column:
 
 
 def merge_entities(entities: DataFrame, by: list[str], source: str = "source_id", order: str = "ord") -> DataFrame:
-    """One row an entity: all its sources, and its descriptions merged in order."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, "description"))), lambda x: x["description"])
-    rows = entities.groupBy(*by).agg(F.sort_array(F.collect_set(source)).alias("sources"), ordered.alias("own"))
+    """One row an entity: all its sources, and its descriptions merged in order. A description that comes again is absorbed, so only its first place travels."""
+    firsts = entities.groupBy(*by, "description").agg(F.min(order).alias("_first"), F.collect_set(source).alias("_sources"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_first", "description"))), lambda x: x["description"])
+    rows = firsts.groupBy(*by).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("sources"), ordered.alias("own"))
     return rows.withColumn("description", merge_descriptions(F.col("own"))).drop("own")
 
 

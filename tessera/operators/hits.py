@@ -38,22 +38,31 @@ def first_by(hits: DataFrame, key: Column, by: list[str], order: str = "seq") ->
 def greedy(hits: DataFrame, by: str = "query_id", order: str = "seq", min_score: float = 0.0) -> DataFrame:
     """Hits in order, without those whose URL or title an accepted hit has. Rejected hits reject nobody.
 
-    Acceptance depends on what was accepted before, so it is a fold over the hits of one query; a
-    hit that repeats the URL and the title of an earlier one can never count and goes beforehand.
+    Acceptance depends on what was accepted before. In rounds, the hits that are first of both their
+    URL and their title among those left are accepted, and with them all that share either go; a
+    round is joins and aggregations, so no task holds the hits of a query.
     """
-    rows = hits.where(effective_score(F.col("score")) >= min_score)
+    rows = hits.where(effective_score(F.col("score")) >= min_score).where(F.col(by).isNotNull())
     rows = rows.withColumns({"u": normalize_url(F.coalesce("url", F.lit(""))), "t": normalize_title(F.coalesce("title", F.lit("")))})
-    rank = F.row_number().over(W.partitionBy(by, "u", "t").orderBy(order))
-    own = rows.withColumn("rn", rank).where("rn = 1").groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "u", "t"))).alias("own"))
-    start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<boolean>")).alias("urls"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<boolean>")).alias("titles"), F.array().cast("array<bigint>").alias("kept"))
+    left = _kept(rows.groupBy(by, "u", "t").agg(F.min(order).alias(order)))
+    place, accepted = F.struct(order, "u", "t"), []
+    while not left.isEmpty():
+        firsts = lambda k: left.groupBy(by, k).agg(F.min(place).alias(f"first_{k}"))  # noqa: E731, B023
+        now = left.join(firsts("u"), [by, "u"]).join(firsts("t"), [by, "t"])
+        now = _kept(now.where((place == F.col("first_u")) & (place == F.col("first_t"))).select(*left.columns))
+        accepted.append(now.select(by, order))
+        left = _kept(left.join(now.select(by, "u"), [by, "u"], "left_anti").join(now.select(by, "t"), [by, "t"], "left_anti").select(*left.columns))
+    if not accepted:
+        return hits.where("false")
+    kept = accepted[0]
+    for more in accepted[1:]:
+        kept = kept.unionByName(more)
+    return hits.join(kept, [by, order], "left_semi")
 
-    def step(acc, h):
-        new = ~F.map_contains_key(acc["urls"], h["u"]) & ~F.map_contains_key(acc["titles"], h["t"])
-        add = lambda m, k: F.when(new, F.map_concat(m, F.create_map(k, F.lit(True)))).otherwise(m)
-        return F.struct(add(acc["urls"], h["u"]).alias("urls"), add(acc["titles"], h["t"]).alias("titles"), F.when(new, F.concat(acc["kept"], F.array(h["o"].cast("long")))).otherwise(acc["kept"]).alias("kept"))
 
-    kept = own.select(by, F.explode(F.aggregate("own", start, step, lambda a: a["kept"])).alias(order))
-    return hits.join(kept, [by, order], "left_semi")
+def _kept(rows: DataFrame) -> DataFrame:
+    """``rows`` worked out once, with a short plan: in the checkpoint folder, where there is one."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
 
 
 def relevance(query: Column, boosted: tuple[str, ...] = ()) -> Column:

@@ -1,6 +1,7 @@
 """Queries that cover their whole input, against brute force."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,6 +9,8 @@ import pytest
 
 from tessera import registry
 from tessera.operators import entities as E
+from tessera.operators import graph as G
+from tessera.operators import hits as H
 from tessera.operators import vectors as O
 
 
@@ -89,3 +92,27 @@ def test_many_queries_against_brute_force(spark, monkeypatch, by):
                 want |= {(q, i) for _, i in sorted((-cosine(v, e), i) for i, label, e in rows if label in own)[:4]}
     assert {q for q, _ in got} == {0, 20, 40}
     assert got == want
+
+
+def test_greedy_in_rounds(spark):
+    rng = random.Random(3)
+    rows = [(i % 2, i, f"http://a.b/{rng.randrange(60)}", f"title {rng.randrange(60)}", 1.0) for i in range(400)]
+    rows += [(2, i, f"http://c.d/{(i + 1) // 2}", f"title {i // 2}", 1.0) for i in range(9)]  # every hit but the first hangs on the one before
+    df = spark.createDataFrame(rows, "query_id long, seq long, url string, title string, score double")
+    want, seen = [], set()
+    for q, i, u, t, _ in rows:
+        if not {(q, u), (q, t)} & seen:
+            seen |= {(q, u), (q, t)}
+            want.append((q, i))
+    out = H.greedy(df)
+    assert sorted((r.query_id, r.seq) for r in out.collect()) == sorted(want)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_equal_descriptions_travel_once(spark):
+    rows = [(1, i, ["red", "green", "red", None][i % 4], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "name long, source_id long, description string, ord long")
+    out = G.merge_entities(df, ["name"])
+    r = out.first()
+    assert r.description == "red；green" and r.sources == list(range(400))
+    assert "min(ord" in out._jdf.queryExecution().optimizedPlan().toString()
