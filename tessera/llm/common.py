@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Characters of text handled at once inside a task.
 CHUNK_CHARS = 2_000_000
+#: The same where all work on it is array passes.
+BATCH_CHARS = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,12 +54,14 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def map_texts(df: DataFrame, text: str, out: list[tuple[str, str]], setup: Callable[[], Callable[[list[str]], list[list]]]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, out: list[tuple[str, str]], setup: Callable[[], Callable[[list[str]], list[list]]], arrow_text: bool = False) -> DataFrame:
     """Add the columns ``out`` (name, Spark type) to ``df``, made from its text column in tasks.
 
-    ``setup`` runs once a task and gives a function from a list of texts (null: '') to a list of
-    columns. Texts come whole, in lists of about ``CHUNK_CHARS`` characters, whatever their length.
+    ``setup`` runs once a task and gives a function from a list of texts (null: ''), or with
+    ``arrow_text`` an Arrow column, to a list of columns. Texts come whole, in runs of about
+    ``CHUNK_CHARS`` characters (``BATCH_CHARS`` in Arrow columns), whatever their length.
     """
+    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in out)])
@@ -68,26 +72,31 @@ def map_texts(df: DataFrame, text: str, out: list[tuple[str, str]], setup: Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
-            for piece, texts in pieces(batch, at):
-                cols = work(texts)
-                made = [pa.array(c, type=f.type) for c, f in zip(cols, new, strict=True)]
+            for piece in slices(batch, at, BATCH_CHARS if arrow_text else CHUNK_CHARS):
+                texts = pc.fill_null(piece.column(at), "")
+                cols = work(texts if arrow_text else texts.to_pylist())
+                made = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, new, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.cast(pa.schema(list(arrow)[: len(piece.schema)])).columns, *made], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """``batch`` cut into runs of rows with about ``CHUNK_CHARS`` bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, at: int, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut into runs of rows with about ``most`` bytes of text (one row at least)."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > CHUNK_CHARS:
-            part = batch.slice(start, i - start)
-            yield part, [t or "" for t in part.column(at).to_pylist()]
+        if i > start and total + n > most:
+            yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
     if start < len(sizes):
-        part = batch.slice(start)
+        yield batch.slice(start)
+
+
+def pieces(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The slices of ``batch``, each with its texts (null: '')."""
+    for part in slices(batch, at):
         yield part, [t or "" for t in part.column(at).to_pylist()]

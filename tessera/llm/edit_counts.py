@@ -1,7 +1,7 @@
 """Edit-aware token counts (operator 6).
 
-A text is cut into segments where the tokenizer always starts a new pre-token: at a single space or
-line end between two other characters. Each document keeps a tree over its segments with the
+A text is cut into segments where the tokenizer always starts a new pre-token: in front of white
+runs and behind single line ends. Each document keeps a tree over its segments with the
 characters and tokens of every subtree. An edit finds the segments it touches by descending the
 tree, takes two more on either side as context (a cut depends on the characters next to it), cuts
 and encodes only that region anew, and updates the sums above it. Everything else keeps its counts.
@@ -21,65 +21,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_texts, pieces
-from .token_files import MEMO_LENGTH, default_model, encoder
+from .segments import array, flat, unit_starts
+from .token_files import default_model, encoder
 
-BLOCK, CONTEXT, MEMO = 64, 2, 500_000
+BLOCK, CONTEXT = 64, 2
 EDITS = "array<struct<at:int,remove:int,insert:string>>"
-_CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
-_counters: dict[str, Counter] = {}
+_CUT = re.compile(r"(?<=\S)[\t-\r ]")
 
 
 def cuts(text: str, low: int = 0, high: int | None = None) -> list[int]:
-    """Places in ``text`` from ``low`` to ``high`` where a segment starts."""
+    """Places in ``text`` from ``low`` to ``high`` where a segment starts (as ``unit_starts`` finds them in bytes)."""
     high = len(text) if high is None else high
     out = [low] if high > low else []
-    for m in _CUT.finditer(text, max(0, low - 1), min(len(text), high + 1)):
-        for at in (m.start(), m.end()) if text[m.start()] == "\n" else (m.start(),):
-            if low < at < high:
-                out.append(at)
+    for m in _CUT.finditer(text, max(0, low - 2), high):
+        lone = text[m.start()] == "\n" and m.end() < len(text) and not text[m.end()].isspace()
+        out += [at for at in ((m.start(), m.end()) if lone else (m.start(),)) if low < at < high]
     return out
 
 
 def segments(text: str) -> list[str]:
-    if not text:
-        return []
-    if "\0" not in text and not re.search(r"\s\s", text) and not text[0].isspace() and not text[-1].isspace():
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     at = cuts(text)
     return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
 
 
 class Counter:
-    """Tokens of segments, with a bounded memo."""
+    """Tokens of segments, by the memo of the model's encoder."""
 
     def __init__(self, model: str):
-        self.model = encoder(model, added=True).model
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        self.encoder = encoder(model)
+        self.size = np.dtype(self.encoder.type).itemsize
 
     def counts(self, parts: list[str]) -> list[int]:
-        known = self.young
-        new = {w for w in parts if w not in known}
-        if new:
-            if len(known) + len(new) > MEMO // 2:
-                self.old, self.young = known, {}
-            again = {w: self.old[w] for w in new if w in self.old}
-            first = [w for w in new if w not in again]
-            again.update(zip(first, [len(e.ids) for e in self.model.encode_batch_fast(first, add_special_tokens=False)], strict=True))
-            out = [known[w] if w in known else again[w] for w in parts]
-            self.young.update((w, n) for w, n in again.items() if len(w) <= MEMO_LENGTH)
-            return out
-        return [known[w] for w in parts]
+        return [len(ids) // self.size for ids in self.encoder.memo([p.encode() for p in parts])]
+
+    def leaves(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Characters and tokens of the segments of each text (no nulls)."""
+        raw, at = flat(texts)
+        starts = unit_starts(raw, at, inner=False)
+        codes, numbers = self.encoder.memo.column(array(raw, starts))
+        tokens = np.asarray(pc.binary_length(codes)) // self.size
+        first = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][starts]  # characters before each segment
+        bounds = pa.array(np.searchsorted(starts, at), pa.int32())
+        return tuple(pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (np.diff(first), tokens[np.asarray(numbers)]))
 
 
 def counter(model: str) -> Counter:
-    if model not in _counters:
-        _counters[model] = Counter(model)
-    return _counters[model]
+    return Counter(model)
 
 
 class Tree:
@@ -181,17 +173,9 @@ def build(df: DataFrame, text: str = "text", sizes: str = "sizes", counts: str =
     path = model or default_model()
 
     def setup():
-        c = counter(path)
-
-        def work(texts):
-            cut = [segments(t) for t in texts]
-            flat = np.array(c.counts([w for parts in cut for w in parts]), "i4")
-            ends = np.cumsum([len(parts) for parts in cut])[:-1]
-            return [[np.fromiter(map(len, parts), "i4", len(parts)) for parts in cut], np.split(flat, ends)]
-
-        return work
+        return counter(path).leaves
 
-    return map_texts(df, text, [(sizes, "array<int>"), (counts, "array<int>")], setup)
+    return map_texts(df, text, [(sizes, "array<int>"), (counts, "array<int>")], setup, arrow_text=True)
 
 
 def apply(df: DataFrame, edits: str = "edits", text: str = "text", sizes: str = "sizes", counts: str = "counts", key: str = "doc_id", state: bool = True, model: str | None = None) -> DataFrame:

@@ -17,28 +17,33 @@ driver, a row for each file. A task that runs again writes under a new name and
 the file that counts.
 
 Results for odd inputs: a null or empty text has just the end id; null doc_ids come first; rows of
-equal doc_id stand side by side in the order of their ids; an empty table gives no file and no rows.
+equal doc_id stand side by side in the order of their ids, or, if they fill several files, of a hash of
+these; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, pieces
+from . import segments
+from .common import BATCH_CHARS, documents, fresh_path, slices
 
 END_ID = 2
+#: Bytes of text that a file holds at most, on average.
+FILE_TEXT = 1 << 30
+#: Where null doc_ids are sorted.
+NULL_ID = -(1 << 63)
 HEADER_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-MEMO_WORDS, MEMO_LENGTH = 500_000, 40
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def default_model() -> str:
@@ -48,62 +53,82 @@ def default_model() -> str:
 
 
 class Encoder:
-    """The library's tokenizer behind a bounded memo of words.
+    """The library's tokenizer behind a bounded memo of segments (``segments.Memo``).
 
-    The pattern of this tokenizer always starts a new pre-token at a space or line end that has
-    other characters on both sides, so texts may be cut there; texts with two white characters in a
-    row go to the library whole. With ``added`` the literal of an added token is that token, as by
-    the library's default, and texts that hold one go to the library whole; without, it is plain text.
+    Texts with the literal of an added token go to the library whole, where it is that token.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = not added
-        self.literals = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.model.no_truncation()
-        self.wide = self.model.get_vocab_size() > 1 << 16
-        self.type = "<u4" if self.wide else "<u2"
-        self.plain = json.loads(self.model.to_str())["normalizer"] is None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, whole = {}, []
-        for i, t in enumerate(texts):
-            if not self.plain or "\0" in t or re.search(r"\s\s", t) or any(x in t for x in self.literals):
-                whole.append(i)
-            else:
-                cut[i] = t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        known, old, here = self.young, self.old, {"": b""}
-        for words in cut.values():
-            for w in words:
-                if w not in known and w not in here:
-                    here[w] = old.get(w)
-        new = [w for w, ids in here.items() if ids is None]
-        here.update(zip(new, self._library(new), strict=True))
-        out: list[bytes] = [b""] * len(texts)
-        for i, words in cut.items():
-            out[i] = b"".join([known[w] if w in known else here[w] for w in words])
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if len(known) + len(here) > MEMO_WORDS:
-            self.old, self.young = known, {}
-        self.young |= {w: ids for w, ids in here.items() if len(w) <= MEMO_LENGTH}
+        self.model.no_padding()
+        self.literals = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.type = "<u4" if self.model.get_vocab_size() > 1 << 16 else "<u2"
+        vocabulary = self.model.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, "i8")
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # one character a byte in this vocabulary
+        for i, token in self.model.get_added_tokens_decoder().items():
+            self.lengths[i] = len(token.content.encode())
+        shape = json.loads(self.model.to_str())
+        before = shape["pre_tokenizer"] or {}
+        if shape["normalizer"] is not None or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+            raise ValueError(f"{path}: segments are those of a byte-level tokenizer that does not normalise")
+        self.memo = segments.Memo(self._library)
+
+    def _library(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each segment. The library takes them in lists of ready-made words; tokens cover the bytes of a list without gaps, so their lengths tell where each word ends."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            (e,) = self.model.encode_batch_fast([[p.decode() for p in some]], is_pretokenized=True, add_special_tokens=False)
+            ids, stops = np.array(e.ids, self.type), np.cumsum([len(p) for p in some])
+            covered = np.cumsum(self.lengths[ids])
+            ends = np.searchsorted(covered, stops, "right")
+            if not np.array_equal(covered[ends - 1], stops):
+                raise ValueError("tokens do not end where words end")
+            raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
-
-def encoder(path: str, added: bool = False) -> Encoder:
-    if (path, added) not in _encoders:
-        _encoders[path, added] = Encoder(path, added)
-    return _encoders[path, added]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def special(self, texts: pa.Array) -> list[int]:
+        """Rows that hold the literal of an added token."""
+        found = np.zeros(len(texts), bool)
+        for literal in self.literals:
+            found |= np.asarray(pc.match_substring(texts, literal))
+        return np.flatnonzero(found).tolist()
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text (no nulls) as bytes of ``type``, with ``end`` behind them."""
+        raw, at = segments.flat(texts)
+        starts = segments.unit_starts(raw, at)
+        codes, numbers = self.memo.column(segments.array(raw, starts))
+        last = np.searchsorted(starts, at)  # the first segment of each text, and the end
+        numbers = np.insert(np.asarray(numbers), last[1:], len(codes))
+        data, places = segments.joined(pa.concat_arrays([codes, pa.array([end], codes.type)]), pa.array(numbers))
+        bounds = places[last + np.arange(len(last))]
+        odd = self.special(texts)
+        if not odd and bounds[-1] < 1 << 31:
+            return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype("i4")), data])
+        view = memoryview(data)
+        out = [view[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in odd:
+            out[i] = self.whole(texts[i].as_py()) + end
+        return pa.array(out, pa.binary())
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def file_system(path: str):
@@ -185,36 +210,57 @@ class Reader:
         return np.frombuffer(raw, self.kind).astype("<u4")
 
 
-def encode(docs: DataFrame, bounds: list[float], model: str, end_id: int, added: bool = False) -> DataFrame:
-    """(part, doc_id, ids) of each document: its ids as bytes, and the range of ``bounds`` that its doc_id falls in."""
+def owners(doc_ids: pa.Array, ids: pa.Array, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the range of ``edges`` it falls in, and its rank among rows of equal doc_id.
+
+    The rank is 0 unless that doc_id fills several ranges (is an edge more than once); its rows are
+    then dealt to these by a hash of their ids.
+    """
+    import xxhash
+
+    key = np.asarray(pc.fill_null(doc_ids, NULL_ID))
+    low, high = np.searchsorted(edges, key, "left"), np.searchsorted(edges, key, "right")
+    rank = np.zeros(len(key), "i8")
+    exact = (key == NULL_ID) | (np.abs(key) < 1 << 53)  # edges are doubles
+    for i in np.flatnonzero((high - low > 1) & exact):
+        rank[i] = xxhash.xxh64_intdigest(ids[i].as_buffer()) >> 1
+        low[i] += int(rank[i]) * int(high[i] - low[i] + 1) >> 63
+    return low, rank
+
+
+def encode(docs: DataFrame, bounds: list[float], model: str, end_id: int) -> DataFrame:
+    """(part, doc_id, rank, ids) of each document: its ids as bytes, and its owner among the ranges of ``bounds``."""
     edges = np.array(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model, added)
+        e = encoder(model)
         end = np.array([end_id], e.type).tobytes()
         for batch in batches:
-            for piece, texts in pieces(batch, 1):
-                ids = [x + end for x in e.encode(texts)]
-                key = np.array([np.iinfo("i8").min if i is None else i for i in piece.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, key, "left"), pa.int32()), piece.column(0), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+            for piece in slices(batch, 1, BATCH_CHARS):
+                ids = e.encode(pc.fill_null(piece.column(1), ""), end)
+                part, rank = owners(piece.column(0), ids, edges)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), piece.column(0), pa.array(rank), ids], names=["part", "doc_id", "rank", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, rank long, ids binary")
 
 
-def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = END_ID, files: int | None = None, added: bool = False) -> DataFrame:
+def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) under the shared folder ``path``; returns the manifest (file, n_documents, n_tokens, start), a row a file."""
     spark, model = docs.sparkSession, model or default_model()
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / files for i in range(1, files)], 1 / (8 * files)) if files > 1 else []
-    bounds = sorted(set(bounds))
+    if not files:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_TEXT))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).cast("double")
+    bounds = docs.select(key.alias("key")).approxQuantile("key", [i / files for i in range(1, files)], max(1e-5, 1 / (8 * files))) if files > 1 else []
+    bounds = sorted(bounds)
     system, where = file_system(path)
     system.create_dir(where, recursive=True)
-    wide = encoder(model, added).type
+    wide = encoder(model).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, part, writer = [], None, None
         for batch in batches:
-            for p, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, doc_id, _, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None or p != part:
                     if writer:
                         done.append((part, *writer.close()))
@@ -225,8 +271,8 @@ def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = EN
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "file", "n_documents", "n_tokens"])
 
-    encoded = encode(docs, bounds, model, end_id, added)
-    owned = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
+    encoded = encode(docs, bounds, model, end_id)
+    owned = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "rank", "ids")
     rows = owned.mapInArrow(run, "part int, file string, n_documents long, n_tokens long").collect()  # a row a file
     manifest, start = [], 0
     for r in sorted(rows):
@@ -255,9 +301,9 @@ def read(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
     return manifest.select("file", "start").repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def digests(docs: DataFrame, path: str, model: str | None = None, added: bool = False) -> DataFrame:
-    return read(write(docs, path, model, added=added)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+def digests(docs: DataFrame, path: str, model: str | None = None) -> DataFrame:
+    return read(write(docs, path, model)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir), fresh_path(spark, "ids"), added=True)
+    return digests(documents(spark, sf_dir), fresh_path(spark, "ids"))

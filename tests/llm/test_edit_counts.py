@@ -10,7 +10,6 @@ from tessera.llm.token_files import default_model
 
 def library():
     tok = Tokenizer.from_file(default_model())
-    tok.encode_special_tokens = True
     return lambda t: len(tok.encode(t, add_special_tokens=False).ids)
 
 

@@ -2,10 +2,12 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from tessera.llm import edit_counts as ec
 from tessera.llm import sentencepiece_codec as sp
 from tessera.llm import token_files as tf
 
@@ -52,7 +54,6 @@ def test_empty_tables(spark, tmp_path):
 
 def test_token_files_round_trip(spark, tmp_path):
     tok = Tokenizer.from_file(tf.default_model())
-    tok.encode_special_tokens = True
     df = frame(spark, TEXTS)
     manifest = tf.write(df, str(tmp_path), files=5)
     rows = tf.read(manifest).collect()
@@ -74,6 +75,15 @@ def test_token_files_round_trip(spark, tmp_path):
     assert crc == {r.start: zlib.crc32(bytes(r.ids)) for r in rows}
 
 
+def test_rows_of_one_doc_id_fill_several_files(spark, tmp_path):
+    rows = [(None if k % 4 == 3 else 7, f"text {k}") for k in range(400)] + [(3, "low"), (9, "high")]
+    manifest = tf.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path), files=8)
+    assert sorted(r.n_documents for r in manifest.collect())[-1] < 100 and manifest.count() >= 6
+    got = sorted(tf.read(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 100 + [3] + [7] * 300 + [9]
+    assert [r.start for r in got[1:]] == [r.start + r.n_tokens for r in got[:-1]]
+
+
 def test_token_files_notice_damage(tmp_path):
     w = tf.Writer(str(tmp_path / "f.zst"), "<u2")
     w.add(5, np.arange(100, dtype="<u2").tobytes())
@@ -86,3 +96,20 @@ def test_token_files_notice_damage(tmp_path):
     (tmp_path / "f.zst").write_bytes(raw)
     with pytest.raises(Exception):  # noqa: B017
         tf.Reader(str(tmp_path / "f.zst")).ids(0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_segments_of_random_strings_give_the_library_ids(seed):
+    tok, e = Tokenizer.from_file(tf.default_model()), tf.encoder(tf.default_model())
+    rng = np.random.default_rng(seed)
+    alphabet = list(" \n\t\r\x1c\x85\u00a0\u2003\u3000abtTнé漢😀…'s,!.(0_9") + ["<|endoftext|>", "'re", "\n\n", "  ", "the", " of"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(2000)]
+    got = e.encode(pa.array(texts)).to_pylist()
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, e.type).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+    sliced = e.encode(pa.array(texts)[7:40], b"\2\0").to_pylist()
+    assert sliced == [ids + b"\2\0" for ids in got[7:40]]
+    chars, tokens = ec.counter(tf.default_model()).leaves(pa.array(texts))
+    for text, c, n, ids in zip(texts, chars.to_pylist(), tokens.to_pylist(), got, strict=True):
+        assert c == [len(p) for p in ec.segments(text)], repr(text)
+        assert sum(n) == len(ids) // 2, repr(text)
