@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,23 +27,27 @@ def word_mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str,
     return words.groupBy(key, "term").agg(F.count("*").alias("n")).join(dictionary, "term")
 
 
-#: Dictionaries of up to this many terms are compiled into one automaton; larger ones are joined by the terms' fronts.
+#: Dictionaries of up to this many rows are compiled into one automaton; larger ones are joined by the terms' fronts, with equal results.
 SMALL_DICTIONARY = 5000
 
 
+def _held(dictionary: DataFrame) -> DataFrame:
+    """Distinct (term, type) of terms that are not empty, worked out once."""
+    rows = dictionary.where("term <> ''").select("term", "type").distinct()
+    return rows.checkpoint() if dictionary.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
+
+
 def _automaton(dictionary: DataFrame, small: int):
-    """A vectorised function from texts to the dictionary's occurrences (leftmost of each term, without overlap), or None if there is no automaton or the dictionary is large."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return None
-    rows = dictionary.where("term <> ''").select("term", "type").limit(small + 1).collect()
+    """A vectorised function from texts to the occurrences of the dictionary (see ``_held``; leftmost of each term, without overlap), or None if it is large."""
+    rows = dictionary.limit(small + 1).collect()
     if len(rows) > small:
         return None
-    terms = sorted((r.term, r.type) for r in rows)
+    terms = sorted(((r.term, r.type) for r in rows), key=lambda t: (t[0], t[1] or ""))
 
     @F.pandas_udf("array<struct<term:string,type:string,start:int,end:int>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
         machine = ahocorasick.Automaton()
         kinds: dict[str, list[str]] = {}
         for term, kind in terms:
@@ -66,8 +71,12 @@ def _automaton(dictionary: DataFrame, small: int):
 
 
 def contained_terms(texts: DataFrame, dictionary: DataFrame, key: str, text: str, small: int = SMALL_DICTIONARY) -> DataFrame:
-    """(key, term, type) where the text contains the term anywhere (no word limits)."""
-    find = _automaton(dictionary, small)
+    """(key, term, type) where the text contains the term anywhere (no word limits), once for each row of ``texts``. Repeated and empty dictionary rows say nothing."""
+    dictionary = _held(dictionary)
+    return _contained(texts, dictionary, key, text, _automaton(dictionary, small))
+
+
+def _contained(texts: DataFrame, dictionary: DataFrame, key: str, text: str, find) -> DataFrame:
     if find is not None:
         own = F.array_distinct(F.transform(find(F.col(text)), lambda m: F.struct(m["term"].alias("term"), m["type"].alias("type"))))
         return texts.select(key, F.inline(own))
@@ -84,7 +93,8 @@ def contained_terms(texts: DataFrame, dictionary: DataFrame, key: str, text: str
 
 def occurrences(text: Column, term: Column) -> Column:
     """array of 0-based starts of the term, left to right, without overlap."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), term, F.lit("\\E")), -1)
+    quoted = F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))  # a pattern's quotes end at \\E
+    parts = F.split(text, F.concat(F.lit("\\Q"), quoted, F.lit("\\E")), -1)
     ends = F.aggregate(
         F.slice(parts, 1, F.size(parts) - 1),
         F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")),
@@ -96,10 +106,11 @@ def occurrences(text: Column, term: Column) -> Column:
 
 def candidates(texts: DataFrame, dictionary: DataFrame, key: str, text: str, small: int = SMALL_DICTIONARY) -> DataFrame:
     """(key, term, type, start, end) of every occurrence of every term."""
+    dictionary = _held(dictionary)
     find = _automaton(dictionary, small)
     if find is not None:
         return texts.select(key, F.inline(find(F.col(text))))
-    held = contained_terms(texts, dictionary, key, text, small).join(texts.select(key, text), key)
+    held = _contained(texts, dictionary, key, text, None).join(texts.select(key, text), key)
     rows = held.select(key, "term", "type", F.explode(occurrences(F.col(text), F.col("term"))).alias("start"))
     return rows.withColumn("end", F.col("start") + F.length("term"))
 
@@ -133,37 +144,50 @@ STOP = "的了在是我有和就不人都一上也很到说要去你会着看好
 MEDICAL = "病症炎痛热寒风汗脉血"
 ORGANISATIONS = ("公司", "集团", "大学", "学院", "研究所", "银行", "医院", "学校", "政府", "部门", "协会", "基金会", "联盟")
 PLACES = tuple("省市区县镇村路街")
+#: What a whole name must look like, as one expression a kind, in the order in which kinds claim characters.
+SHAPES = {
+    "人名": f"^(?=[{SURNAMES}])[^{STOP}]{{1,10}}$",
+    "组织": f"^[^{STOP}{MEDICAL}]{{1,10}}(?<={'|'.join(ORGANISATIONS)})$",
+    "地点": f"^[^{STOP}]{{1,10}}(?<={'|'.join(PLACES)})$",
+}
 
 
-def _pattern_names(text: str, taken: list[tuple[int, int]]):
-    for kind, pattern in PATTERNS.items():
-        for m in re.finditer(pattern, text):
-            name, (start, end) = m.group(), m.span()
-            bad = len(name) > 10 or any(c in STOP for c in name)
-            bad |= kind == "人名" and name[0] not in SURNAMES
-            bad |= kind == "组织" and (any(c in MEDICAL for c in name) or not name.endswith(ORGANISATIONS))
-            bad |= kind == "地点" and not name.endswith(PLACES)
-            if bad or any(a < end and start < b for a, b in taken):
-                continue
-            taken.append((start, end))
-            yield {"term": name, "type": kind, "start": start, "end": end}
+def spans(text: Column, pattern: str) -> Column:
+    """array of (term, start, end) of the matches of ``pattern``, left to right, in characters."""
 
+    @F.pandas_udf("array<struct<term:string,start:int,end:int>>")
+    def find(texts: pd.Series) -> pd.Series:
+        seek = re.compile(pattern).finditer
+        return texts.map(lambda t: [{"term": m[0], "start": m.start(), "end": m.end()} for m in seek(t or "")])
 
-def pattern_mentions(texts: DataFrame, key: str, text: str, claimed: DataFrame | None = None) -> DataFrame:
-    """(key, term, type, start, end) of names by pattern, beside the mentions ``claimed`` (key, start, end)."""
-    kind = "array<struct<term:string,type:string,start:int,end:int>>"
+    return find(text)
 
-    @F.pandas_udf(kind)
-    def find(texts: pd.Series, taken: pd.Series) -> pd.Series:
-        return pd.Series([list(_pattern_names(t or "", [] if c is None else [(x["start"], x["end"]) for x in c])) for t, c in zip(texts, taken, strict=True)])
-
-    rows = texts.select(key, text)
-    if claimed is None:
-        rows = rows.withColumn("taken", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    else:
-        own = claimed.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-        rows = rows.join(own, key, "left")
-    found = rows.select(key, F.inline(find(F.col(text), F.col("taken"))))
+
+def clear_of(found: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """Rows of ``found`` (key, start, end, ...) that share no character with a row of ``taken`` (key, start, end).
+
+    Both lie on one line by place. Of the taken spans that start before a found one ends, the
+    furthest end decides, so a running maximum answers for all of them; no row meets another one.
+    """
+    cols = found.columns
+    asked = found.select("*", F.col("end").alias("_at"), F.lit(0).alias("_turn"), F.lit(None).cast("int").alias("_reach"))
+    walls = taken.select(key, F.col("start").alias("_at"), F.lit(1).alias("_turn"), F.col("end").alias("_reach"))
+    line = W.partitionBy(key).orderBy("_at", "_turn").rowsBetween(W.unboundedPreceding, -1)
+    rows = asked.unionByName(walls, allowMissingColumns=True).withColumn("_furthest", F.max("_reach").over(line))
+    return rows.where("_turn = 0 AND (_furthest IS NULL OR _furthest <= start)").select(*cols)
+
+
+def pattern_mentions(texts: DataFrame, key: str, text: str, claimed: DataFrame | None = None) -> DataFrame:
+    """(key, term, type, start, end) of names by pattern, beside the mentions ``claimed`` (key, start, end). Kinds claim characters in the order of ``SHAPES``."""
+    taken = None if claimed is None else claimed.select(key, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    found = None
+    for kind, shape in SHAPES.items():
+        rows = texts.select(key, F.inline(spans(F.col(text), PATTERNS[kind]))).where(F.col("term").rlike(shape))
+        fresh = rows if taken is None else clear_of(rows, taken, key)
+        fresh = fresh.select(key, "term", F.lit(kind).alias("type"), "start", "end")
+        found = fresh if found is None else found.unionByName(fresh)
+        own = fresh.select(key, "start", "end")
+        taken = own if taken is None else taken.unionByName(own)
     return found.withColumn("confidence", F.lit(0.7)).withColumn("source", F.lit("pattern"))
 
 
@@ -191,41 +215,68 @@ def exact_alignment(mentions: DataFrame, mention: Column, text: Column, at: Colu
     return mentions.withColumn("start", start).withColumn("end", start + F.length(mention))
 
 
+#: What counts as a token, and what is left out of account when only letters matter.
 _TOKEN = re.compile(r"[一-鿿]|\w+")
-
-
-def _plain(s: str) -> str:
-    return re.sub(r"\s+", "", re.sub(r"[^\w一-鿿\s]", "", s.lower()))
+_IGNORED = re.compile(r"[^\w一-鿿]")
+
+
+def _letters(s: str) -> tuple[str, list[int]]:
+    """The letters of ``s`` in lower case, and for each of them its place in ``s``."""
+    kept = [(low, i) for i, c in enumerate(s) if not _IGNORED.match(c) for low in c.lower()]
+    return "".join(c for c, _ in kept), [i for _, i in kept]
+
+
+def _runs(words: list[str], tokens: list[str], most: int) -> list[tuple[float, int, int]]:
+    """(bound, width, first) of every run of ``len(words)`` to ``most`` tokens: no run is more similar to ``words`` than the tokens they share allow."""
+    need, out = Counter(words), []
+    for width in range(len(words), min(most, len(tokens)) + 1):
+        have, shared = Counter(), 0
+        for i, t in enumerate(tokens):
+            have[t] += 1
+            shared += have[t] <= need[t]
+            if i >= width:
+                gone = tokens[i - width]
+                shared -= have[gone] <= need[gone]
+                have[gone] -= 1
+            if i >= width - 1 and shared:
+                out.append((2 * shared / (len(words) + width), width, i - width + 1))
+    return out
+
+
+def _most_similar(words: list[str], tokens: list[str], least: float) -> tuple[float, int, int] | None:
+    """(similarity, width, first) of the best run, the shortest and leftmost of equals; runs are tried from the highest bound down."""
+    best = None
+    for bound, width, first in sorted(_runs(words, tokens, len(words) + 3), key=lambda r: (-r[0], r[1], r[2])):
+        if bound < (least if best is None else best[0]):
+            break
+        ratio = difflib.SequenceMatcher(None, words, tokens[first : first + width]).ratio()
+        if ratio >= least and (best is None or (-ratio, width, first) < (-best[0], *best[1:])):
+            best = ratio, width, first
+    return best
 
 
 def align_one(mention: str, text: str, at: int, threshold: float = 0.75) -> tuple[int, int, str, float] | None:
-    """(start, end, status, similarity): exact, else with case and punctuation ignored, else the most similar run of words."""
-    found = text.find(mention, at)
-    if found >= 0:
-        return found, found + len(mention), "match_exact", 1.0
-    plain, rest = _plain(mention), text[at:]
-    near = _plain(rest).find(plain)
-    if near >= 0:
-        near += at
-        n = len(mention)
-        for i in range(max(0, near - 5), min(len(text), near + len(plain) + 5) - n + 1):
-            if _plain(text[i : i + n]) == plain:
-                return i, i + n, "match_lesser", 0.95
-        return near, min(near + n, len(text)), "match_lesser", 0.95
-    words, spots = _TOKEN.findall(mention), list(_TOKEN.finditer(rest))
-    tokens = [m.group() for m in spots]
-    if not words or not tokens:
+    """(start, end, status, similarity) from ``at`` on: exact, else by letters alone (case and punctuation ignored), else the most similar run of tokens, up to the token behind it."""
+    exact = text.find(mention, at)
+    if exact >= 0:
+        return exact, exact + len(mention), "match_exact", 1.0
+    rest = text[at:]
+    (wanted, _), (held, places) = _letters(mention), _letters(rest)
+    if not wanted:
         return None
-    matcher, best = difflib.SequenceMatcher(), (0.0, 0, 0)
-    for width in range(len(words), min(len(words) + 3, len(tokens)) + 1):
-        for i in range(len(tokens) - width + 1):
-            matcher.set_seqs(words, tokens[i : i + width])
-            if matcher.real_quick_ratio() > best[0] and (ratio := matcher.ratio()) > best[0]:
-                best = (ratio, i, i + width)
-    if best[0] < threshold:
+    same = held.find(wanted)
+    if same >= 0:
+        return at + places[same], at + places[same + len(wanted) - 1] + 1, "match_lesser", 0.95
+    starts, tokens = [], []
+    for m in _TOKEN.finditer(rest):
+        starts.append(m.start())
+        tokens.append(m[0])
+    found = _most_similar(_TOKEN.findall(mention), tokens, threshold)
+    if found is None:
         return None
-    place = lambda k: 0 if k <= 0 else len(rest) if k >= len(spots) else spots[k].start()
-    return at + place(best[1]), at + place(best[2]), "match_fuzzy", best[0]
+    ratio, width, first = found
+    edge = [*starts, len(rest)]
+    return at + (edge[first] if first else 0), at + edge[first + width], "match_fuzzy", ratio
 
 
 def align(mentions: DataFrame, mention: str = "mention", text: str = "text", at: str = "at", threshold: float = 0.75) -> DataFrame:

@@ -9,17 +9,66 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 
-def cooccurrence(mentions: DataFrame, chunk: str, name: str, order: str, cap: int = 20) -> DataFrame:
-    """(chunk, src, dst): ordered pairs of the entities of a chunk.
+def _members(mentions: DataFrame, chunk: str, name: str, order: str | list[str], cap: int) -> DataFrame:
+    """(chunk, own): the first ``cap`` entities of each chunk in ``order``, as an array. More than that never travel from a task (a group limit)."""
+    order = [order] if isinstance(order, str) else list(order)
+    rank = F.row_number().over(W.partitionBy(chunk).orderBy(*order, name))
+    first = mentions.withColumn("_rank", rank).where(F.col("_rank") <= cap)
+    return first.groupBy(chunk).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", name))), lambda x: x[name]).alias("own"))
 
-    A chunk has at most ``cap`` entities (the rule for extraction, in ``order``), so at most
-    ``cap * (cap - 1) / 2`` pairs, made from one array a chunk: the only shuffle is by chunk.
-    """
-    own = mentions.groupBy(chunk).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct(order, name))), 1, cap), lambda x: x[name]).alias("own"))
+
+def _pairs(own: DataFrame, chunk: str) -> DataFrame:
     heads = own.select(chunk, "own", F.posexplode("own").alias("i", "src"))
     return heads.select(chunk, "src", F.explode(F.expr("slice(own, i + 2, size(own))")).alias("dst"))
 
 
+def cooccurrence(mentions: DataFrame, chunk: str, name: str, order: str | list[str], cap: int = 20) -> DataFrame:
+    """(chunk, src, dst): ordered pairs of the entities of a chunk.
+
+    A chunk counts by its first ``cap`` entities in ``order`` (columns of ``mentions`` that say which
+    come first, as ``strongest_first`` does), so it has at most ``cap * (cap - 1) / 2`` pairs. The only
+    shuffle is by chunk.
+    """
+    return _pairs(_members(mentions, chunk, name, order, cap), chunk)
+
+
+def strongest_first(mentions: DataFrame, confidence: str = "confidence", name: str = "name") -> tuple[DataFrame, list[str]]:
+    """``mentions`` with the columns by which extraction picks entities of a chunk: confidence, then the longer name; and their names in order."""
+    return mentions.withColumns({"_weak": -F.col(confidence), "_short": -F.length(name)}), ["_weak", "_short"]
+
+
+def _chunks_of(mentions: DataFrame, entities: DataFrame, chunk: str, name: str, order, cap: int) -> DataFrame:
+    """Members of the chunks that hold any of ``entities`` (name): two joins on keys, whatever the size of the corpus."""
+    asked = entities.select(F.col("name").alias(name)).distinct()
+    chunks = mentions.join(asked, name, "left_semi").select(chunk).distinct()
+    return _members(mentions.join(chunks, chunk, "left_semi"), chunk, name, order, cap)
+
+
+def edges_near(mentions: DataFrame, entities: DataFrame, chunk: str, name: str, order: str | list[str], cap: int = 20) -> DataFrame:
+    """(src, dst, n): the weighted edges of ``cooccurrence`` that touch ``entities`` (name), from their chunks alone."""
+    own = _chunks_of(mentions, entities, chunk, name, order, cap)
+    asked = entities.select("name").distinct()
+    pairs = _pairs(own, chunk)
+    ends = pairs.join(asked.select(F.col("name").alias("src"), F.lit(True).alias("_a")), "src", "left").join(asked.select(F.col("name").alias("dst"), F.lit(True).alias("_b")), "dst", "left")
+    return edge_weights(ends.where(F.coalesce("_a", "_b")).select(chunk, "src", "dst"))
+
+
+def reach(mentions: DataFrame, entities: DataFrame, chunk: str, name: str, order: str | list[str], hops: int = 1, cap: int = 20) -> DataFrame:
+    """(name, hop): what ``expand`` finds over all edges of ``cooccurrence``, chunk by chunk from ``entities`` without making the edges. Lineage is cut after each step."""
+    seen = entities.select("name").distinct().withColumn("hop", F.lit(0))
+    front = seen
+    for hop in range(1, hops + 1):
+        own = _chunks_of(mentions, front, chunk, name, order, cap)
+        near = own.select(chunk, "own", F.explode("own").alias("name")).join(front.select("name"), "name", "left_semi")
+        step = near.select(F.explode("own").alias("name")).distinct()
+        front = step.join(seen, "name", "left_anti").withColumn("hop", F.lit(hop))
+        seen = seen.unionByName(front)
+        if hop < hops and mentions.sparkSession.conf.get("spark.checkpoint.dir", None):
+            seen = seen.checkpoint()
+            front = seen.where(F.col("hop") == hop)
+    return seen
+
+
 def edge_weights(edges: DataFrame) -> DataFrame:
     """(src, dst, n): chunks a pair is in."""
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -72,9 +121,8 @@ def related(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return found.join(asked, F.col("name") == F.col("low"), "left_anti")
 
 
-def search(mentions: DataFrame, edges: DataFrame, entities: DataFrame, vectors: DataFrame, query, k: int, name: str, doc: str, hops: int = 1) -> DataFrame:
-    """The ``k`` best documents of the entities and their neighbours, by similarity to ``query``; without a vector 0."""
-    reached = expand(edges, entities, hops)
+def search(mentions: DataFrame, reached: DataFrame, vectors: DataFrame, query, k: int, name: str, doc: str) -> DataFrame:
+    """The ``k`` best documents of the entities ``reached`` (name; see ``expand`` and ``reach``), by similarity to ``query``; without a vector 0."""
     docs = documents_of(mentions, reached, name, doc)
     scored = docs.join(vectors.select(F.col("id").alias(doc), "embedding"), doc, "left")
     scored = scored.select(doc, F.coalesce(V.cosine(F.col("embedding"), V.literal(query)), F.lit(0.0)).alias("score"))

@@ -13,9 +13,11 @@ PAIRS = "i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_o
 BOTH = f"{PAIRS}, s AS (SELECT src, dst, n FROM e UNION ALL SELECT dst, src, n FROM e WHERE src <> dst)"
 
 
-def edges(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("name"), F.col("l_linenumber").alias("ord"))
-    return G.edge_weights(G.cooccurrence(rows, "chunk", "name", "ord"))
+AT = {"chunk": "chunk", "name": "name", "order": "ord"}
+
+
+def lines(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("name"), F.col("l_linenumber").alias("ord"))
 
 
 def names(spark, *values):
@@ -24,17 +26,18 @@ def names(spark, *values):
 
 @query(f"WITH {PAIRS} SELECT src, dst, n FROM e")
 def cooccurrence_edges(spark, sf):
-    return edges(spark, sf)
+    return G.edge_weights(G.cooccurrence(lines(spark, sf), **AT))
 
 
 @query(f"WITH {BOTH} SELECT src, dst, n FROM s WHERE src IN (1, 7)")
 def neighbors_1hop(spark, sf):
-    return G.neighbours(edges(spark, sf), names(spark, 1, 7))
+    asked = names(spark, 1, 7)
+    return G.neighbours(G.edges_near(lines(spark, sf), asked, **AT), asked)
 
 
 @query(f"WITH {BOTH}, a AS (SELECT DISTINCT dst FROM s WHERE src = 1 AND dst <> 1), b AS (SELECT DISTINCT s.dst FROM s JOIN a ON s.src = a.dst) SELECT CAST(1 AS BIGINT) AS name, 0 AS hop UNION ALL SELECT dst, 1 FROM a UNION ALL SELECT dst, 2 FROM b WHERE dst <> 1 AND dst NOT IN (SELECT dst FROM a)")
 def neighbors_2hop(spark, sf):
-    return G.expand(edges(spark, sf), names(spark, 1), hops=2)
+    return G.reach(lines(spark, sf), names(spark, 1), **AT, hops=2)
 
 
 @query("SELECT DISTINCT l_orderkey AS doc_id FROM lineitem WHERE l_partkey IN (1, 7)")
@@ -44,7 +47,8 @@ def entity_documents(spark, sf):
 
 @query(f"WITH {BOTH} SELECT name, type, n_docs, n_neighbours, CAST(n_edges AS BIGINT) AS n_edges FROM (SELECT l_partkey AS name, min(p_brand) AS type, count(DISTINCT l_orderkey) AS n_docs FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey IN (1, 7, 9) GROUP BY l_partkey) JOIN (SELECT src, count(DISTINCT dst) AS n_neighbours, sum(n) AS n_edges FROM s GROUP BY src) ON name = src")
 def entity_card(spark, sf):
-    return G.entity_card(mentions(spark, sf), edges(spark, sf), names(spark, 1, 7, 9), "name", "type", "doc_id")
+    asked = names(spark, 1, 7, 9)
+    return G.entity_card(mentions(spark, sf), G.edges_near(lines(spark, sf), asked, **AT), asked, "name", "type", "doc_id")
 
 
 @query(f"""WITH {BOTH}, r AS (SELECT 1 AS name UNION SELECT 7 UNION SELECT dst FROM s WHERE src IN (1, 7)), docs AS (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem WHERE l_partkey IN (SELECT name FROM r)),
@@ -54,7 +58,8 @@ SELECT doc_id, round(score, 6) AS score FROM x ORDER BY x.score DESC, doc_id LIM
 def enhanced_search(spark, sf):
     """Documents of two entities and their neighbours, ranked by a query vector."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    found = G.search(mentions(spark, sf), edges(spark, sf), names(spark, 1, 7), vectors, vector_of(spark, sf), 10, "name", "doc_id")
+    reached = G.reach(lines(spark, sf), names(spark, 1, 7), **AT)
+    found = G.search(mentions(spark, sf), reached, vectors, vector_of(spark, sf), 10, "name", "doc_id")
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import markdown as M
 from ..functions import text as T
 from ..functions import tokens as K
 from .base import query, table
@@ -88,16 +89,47 @@ def message_previews(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.preview(t).alias("line"), T.command(t)["name"].alias("name"), F.length(T.command(t)["args"]).cast("long").alias("n_args"))
 
 
-MD = "'# ' || replace(text, '. ', '.' || chr(10) || '> **x** and `y` ~~z~~ [link](http://a) ')"
-_PLAIN = MD
-for _p, _t in ((r"(?s)```\w*\n(.*?)```", r"\1"), ("`([^`]+)`", r"\1"), (r"(?m)^#+ ", ""), (r"\*\*(.+?)\*\*", r"\1"), ("__(.+?)__", r"\1"), (r"\*(.+?)\*", r"\1"), ("_(.+?)_", r"\1"), ("~~(.+?)~~", r"\1"), (r"\[([^\]]+)\]\(([^)]+)\)", r"\1 (\2)"), (r"(?m)^> ", ""), (r"(?m)^\s*[-*_]{3,}\s*$", "")):
-    _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', '{_t}', 'g')"
+#: Every sentence but the last is followed by a marked line; the text itself is cleared of marks first.
+BARE = "regexp_replace(text, '[^\\p{L}\\p{N} .,;!?\\n]', '', 'g')"
 
 
-@query(f"SELECT doc_id, md5(regexp_replace({_PLAIN}, '^\\s+|\\s+$', '', 'g')) AS plain FROM documents")
+def _marked(line: str) -> str:
+    return f"replace({BARE}, '. ', '.' || chr(10) || '{line}')"
+
+
+def _markdown(head: str) -> str:
+    trimmed = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+    plain = trimmed.format(f"'{head} title' || chr(10) || " + _marked("x and y z a b c link (http://a) "))
+    shown = f"'【{head} title】' || chr(10) || " + _marked("> 【x】 and 【y】 [删除:z a] 【b c】 link(http://a) ")
+    return plain, trimmed.format(f"regexp_replace({shown}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_PLAIN, _SHOWN = _markdown("a")
+
+
+def _markdown_text():
+    bare = F.regexp_replace("text", r"[^\p{L}\p{N} .,;!?\n]", "")
+    return F.concat(F.lit("# a title\n"), F.replace(bare, F.lit(". "), F.lit(".\n> **x** and `y` ~~z *a*~~ __b *c*__ [link](http://a) ")))
+
+
+@query(f"SELECT doc_id, md5({_PLAIN}) AS plain FROM documents")
 def markdown_plain(spark, sf):
-    md = F.concat(F.lit("# "), F.replace("text", F.lit(". "), F.lit(".\n> **x** and `y` ~~z~~ [link](http://a) ")))
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.markdown_plain(md)).alias("plain"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(M.markdown_plain(_markdown_text())).alias("plain"))
+
+
+@query(f"SELECT doc_id, md5({_SHOWN}) AS shown FROM documents")
+def markdown_decorated(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(M.markdown_decorated(_markdown_text())).alias("shown"))
+
+
+@query("""SELECT doc_id, 'py' AS language, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS code, 1 AS ord FROM documents WHERE NOT contains(text, '`')
+UNION ALL SELECT doc_id, 'text', md5(CAST(doc_id AS VARCHAR)), 2 FROM documents WHERE NOT contains(text, '`')""")
+def fenced_code(spark, sf):
+    """Texts without backticks in a named fence, and their ids in a second one without name."""
+    docs = table(spark, sf, "documents").where(~F.contains("text", F.lit("`")))
+    marked = F.concat(F.lit("see\n```py\n"), "text", F.lit("\n```\nand\n```\n "), F.col("doc_id").cast("string"), F.lit("\n```"))
+    rows = docs.select("doc_id", F.posexplode(M.code_blocks(marked)).alias("ord", "b"))
+    return rows.select("doc_id", F.col("b.language").alias("language"), F.md5("b.code").alias("code"), (F.col("ord") + 1).alias("ord"))
 
 
 @query("""SELECT doc_id, 'id: ' || doc_id || chr(10) AS head, CAST(doc_id AS VARCHAR) AS id, lang AS kind, 0.25e0 AS importance, md5(trim(text, ' ' || chr(10))) AS body FROM documents""")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions import markdown as MD
 from tessera.functions import text as T
 from tessera.functions import tokens as K
 from tessera.functions import vectors as V
@@ -172,8 +173,8 @@ def test_text_functions(spark):
     assert one(spark, T.jsonp(F.col("s")), s='cb({"s":["a"]});') == '{"s":["a"]}'
     assert tuple(one(spark, T.command(F.col("s")), s="/Help  me now")) == ("/help", "me now")
     assert one(spark, T.tool_reference(F.col("s")), s="mcp://x") is None
-    assert [tuple(x) for x in one(spark, T.code_blocks(F.col("s")), s="a\n```py\nx=1\n```\n")] == [("py", "x=1\n")]
-    assert one(spark, T.markdown_decorated(F.col("s")), s="## T\n\n\n\n- **b**\n> q\n---") == "【T】\n• 【b】\n> q\n\n━━━━━━━━━━━━"
+    assert [tuple(x) for x in one(spark, MD.code_blocks(F.col("s")), s="a\n```py\nx=1\n```\n")] == [("py", "x=1")]
+    assert one(spark, MD.markdown_decorated(F.col("s")), s="## T\n\n\n\n- **b**\n> q\n---") == "【T】\n• 【b】\n> q\n\n━━━━━━━━━━━━"
     assert one(spark, T.byte_size(F.col("n")), n=1280) == "1.2KB"
     assert one(spark, K.by_script(F.col("t")), t="漢字abc") == 4
     assert tuple(one(spark, K.chunk_config(F.col("c")), c=40_000)) == (6000, 600)
