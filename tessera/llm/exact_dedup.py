@@ -2,16 +2,18 @@
 
 Columns and SQL functions only: no Python runs on the executors.
 
-1. Entries: every row leaves (rid, doc_id, hash, digest) in a file of the shared folder.
+1. Entries: every row leaves (rid, doc_id, hash) in a file of the shared folder.
 2. Directory: the key counts of 2^16 hash prefixes (a table of fixed size) decide the depth. It
    starts with one bucket; a bucket over capacity splits by one more bit, and the directory doubles
    when the bucket is as deep as the directory. Buckets end as disjoint ranges of the key.
-3. Owner tasks get contiguous key ranges with their texts, and group by the bytes of the text. Texts
-   that share a key become links of its chain. Keys with very many rows (at most ``HOT_CLASSES`` of
-   them, by definition of the threshold) are combined in the tasks that read them before they travel.
-4. The index (bucket, hash, chain, digest, keep_id, group_size) is written in key order.
-5. Entries look up their link in the index; the few very large classes by a broadcast of at most
-   ``HOT_CLASSES`` rows, so no task gets the rows of one large group.
+3. Owner tasks get contiguous key ranges with their texts and decide there, from the bytes of the
+   text, which rows are equal, which of them stays and how many there are. Different texts of one key
+   become links of its chain. Keys with very many rows are combined in the tasks that read them
+   before they travel; fewer than ``HOT_KEYS`` keys can be as frequent, so their list may be broadcast.
+4. The index (bucket, hash, chain, ...) is written in key order. No digest takes part in a decision.
+5. Entries look up their link through the directory: slot, bucket, hash, and where a key has a chain
+   of several links, the bytes of the text. The few very large classes (fewer than ``LARGE_CLASSES``)
+   are looked up by broadcast, so no task gets the rows of one large group.
 
 Equality is that of the normalised text: A-Z to a-z, nothing else. Null counts as empty. Of equal
 texts the row with the largest doc_id stays, a null doc_id counting as the smallest; if that doc_id
@@ -32,8 +34,11 @@ PREFIX_BITS = 16
 BUCKET_KEYS = 4096
 #: Most buckets that the capacity aims at, whatever the number of keys.
 BUCKETS = 16_384
-#: A class is hot if it holds over a thousandth of all rows (and 1,000 rows), so there are fewer of them than this.
-HOT_CLASSES = 1000
+#: A key is hot if it has over a millionth of all rows (and 1,000 rows), so there are fewer of them than this.
+HOT_KEYS = 1_000_000
+#: A class is large if it holds over a ten-thousandth of all rows (and 1,000 rows), so there are fewer of them than this.
+LARGE_CLASSES = 10_000
+LEAST_ROWS = 1000
 
 
 def normalised(text) -> F.Column:
@@ -63,57 +68,72 @@ def _slot(depth: int) -> F.Column:
     return F.shiftrightunsigned("hash", 64 - depth).cast("int") if depth else F.lit(0)
 
 
+def digest(norm) -> F.Column:
+    return F.sha2(norm, 256)
+
+
 class Index:
     """The index of one table: its files and the way to look rows up."""
 
     def __init__(self, docs: DataFrame, key=F.xxhash64, capacity: int = BUCKET_KEYS):
-        """``docs``: rid (unique), doc_id, text. ``key`` hashes the normalised text to a long."""
+        """``docs``: rid (unique, the same whenever the table is read), doc_id, text. ``key`` hashes the normalised text to a long."""
         spark = docs.sparkSession
-        norm = normalised(F.col("text"))
-        self.entries = save(docs.select("rid", "doc_id", key(norm).alias("hash"), F.sha2(norm, 256).alias("digest")), "entries")
-        order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "rid")
-        links = save(self.entries.groupBy("hash", "digest").agg(F.max(order).alias("top"), F.count("*").alias("group_size")), "links")
-
-        prefixes = links.groupBy(F.shiftrightunsigned("hash", 64 - PREFIX_BITS).cast("int").alias("prefix")).count()
-        counts = {r.prefix: r["count"] for r in prefixes.collect()}  # 2^16 rows at most
-        depth, buckets = directory(counts, max(capacity, sum(counts.values()) // BUCKETS))
-        owners = min(len(buckets), int(spark.conf.get("spark.sql.shuffle.partitions")))
-        slots = [(s, b, b * owners // len(buckets)) for b, (p, d) in enumerate(buckets) for s in range(p << (depth - d), (p + 1) << (depth - d))]
-        self.depth, self.buckets = depth, buckets
-        table = spark.createDataFrame(slots, "slot int, bucket int, owner int")  # 2^16 rows at most
-
-        rows = int(links.agg(F.sum("group_size")).first()[0] or 0)
-        hot = links.where(F.col("group_size") > max(1000, rows // HOT_CLASSES))
-        hot_keys = F.broadcast(hot.select("hash", F.lit(True).alias("hot")).distinct())
-
-        texts = docs.select(norm.alias("norm")).select("norm", key(F.col("norm")).alias("hash"))
-        texts = texts.join(hot_keys, "hash", "left").join(F.broadcast(table), _slot(depth) == F.col("slot"))
-        class_of = ["bucket", "hash", "norm"]
-        cold = texts.where(F.col("hot").isNull()).repartition(owners, "owner").select("owner", *class_of).distinct().drop("owner")
-        warm = texts.where("hot").select(*class_of).distinct()
-        classes = cold.unionByName(warm).select("bucket", "hash", F.sha2("norm", 256).alias("digest"))
-        chain = F.row_number().over(W.partitionBy("hash").orderBy("digest"))
-        links = classes.join(links, ["hash", "digest"]).select("bucket", "hash", chain.alias("chain"), "digest", F.col("top.doc_id").alias("keep_id"), F.col("top.rid").alias("keep_rid"), "group_size")
-        self.table = save(links.sortWithinPartitions("bucket", "hash", "chain"), "index")
-        self.hot_size = max(1000, rows // HOT_CLASSES)
+        rows = docs.select("rid", "doc_id", normalised(F.col("text")).alias("norm"))
+        self.rows = rows.withColumn("hash", key(F.col("norm")))
+        self.entries = save(self.rows.select("rid", "doc_id", "hash"), "entries")
+        keys = save(self.entries.groupBy("hash").agg(F.count("*").alias("n")), "keys")
+
+        prefixes = keys.groupBy(F.shiftrightunsigned("hash", 64 - PREFIX_BITS).cast("int").alias("prefix")).agg(F.count("*").alias("keys"), F.sum("n").alias("rows"))
+        held = prefixes.collect()  # 2^16 rows at most
+        counts, total = {r.prefix: r["keys"] for r in held}, sum(r.rows for r in held)
+        self.depth, self.buckets = directory(counts, max(capacity, sum(counts.values()) // BUCKETS))
+        owners = min(len(self.buckets), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        slots = [(s, b, b * owners // len(self.buckets)) for b, (p, d) in enumerate(self.buckets) for s in range(p << (self.depth - d), (p + 1) << (self.depth - d))]
+        self.directory = spark.createDataFrame(slots, "slot int, bucket int, owner int")  # 2^16 rows at most
+        self.large = max(LEAST_ROWS, total // LARGE_CLASSES)
+
+        hot = F.broadcast(keys.where(F.col("n") > max(LEAST_ROWS, total // HOT_KEYS)).select("hash", F.lit(True).alias("hot")))
+        texts = self._placed(self.rows).join(hot, "hash", "left")
+        stays = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "rid")).alias("stays")
+        facts = [stays, F.count("*").alias("group_size")]
+        cold = texts.where(F.col("hot").isNull()).repartition(owners, "owner").groupBy("owner", "bucket", "hash", "norm").agg(*facts).drop("owner")
+        warm = texts.where("hot").groupBy("bucket", "hash", "norm").agg(*facts)
+        links = cold.unionByName(warm).select("bucket", "hash", F.col("stays.doc_id").alias("keep_id"), F.col("stays.rid").alias("keep_rid"), "group_size", digest(F.col("norm")).alias("text_sha256"))
+        own = W.partitionBy("bucket", "hash")
+        chained = links.select("bucket", "hash", F.row_number().over(own.orderBy("keep_rid")).alias("chain"), F.count("*").over(own).alias("chain_size"), "keep_id", "keep_rid", "group_size", "text_sha256")
+        self.table = save(chained.sortWithinPartitions("bucket", "hash", "chain"), "index")
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (hash, ...) with bucket and owner, by their slot of the directory."""
+        return rows.join(F.broadcast(self.directory), _slot(self.depth) == F.col("slot")).drop("slot")
 
     def look_up(self) -> DataFrame:
-        """rid, doc_id, digest and the class of every entry."""
-        large = F.col("group_size") > self.hot_size
-        found = self.entries.join(F.broadcast(self.table.where(large)), ["hash", "digest"], "left")
-        hot = found.where(F.col("bucket").isNotNull())
-        cold = found.where(F.col("bucket").isNull()).select(*self.entries.columns).join(self.table.where(~large), ["hash", "digest"])
-        return hot.unionByName(cold)
-
-
-def mark(docs: DataFrame, key=F.xxhash64, capacity: int = BUCKET_KEYS) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+        """rid, doc_id, bucket, hash and the link of every entry."""
+        at, cols = ["bucket", "hash"], ["rid", "doc_id", *self.table.columns]
+        entries = self._placed(self.entries).drop("owner")
+        single = self.table.where("chain_size = 1")
+        large = F.col("group_size") > self.large
+        first = entries.join(F.broadcast(single.where(large)), at, "left")
+        found = first.where("chain IS NOT NULL").select(*cols)
+        rest = first.where("chain IS NULL").select(*entries.columns)
+        found = found.unionByName(rest.join(single.where(~large), at).select(*cols))
+        several = self.table.where("chain_size > 1")
+        if not several.limit(1).count():
+            return found
+        keys = several.select(*at).distinct()
+        texts = self._placed(self.rows).drop("owner").join(keys, at, "left_semi")
+        links = several.join(texts.select(F.col("rid").alias("keep_rid"), "norm"), "keep_rid")
+        return found.unionByName(texts.join(links, [*at, "norm"]).select(*cols))  # by bytes
+
+
+def mark(docs: DataFrame, key=F.xxhash64, capacity: int = BUCKET_KEYS, stored: bool = False) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``stored``: ``docs`` is read from files as it is, so its rows keep their order; else it is written first.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    return _marks(Index(rows, key, capacity)).drop("rid")
-
-
-def _marks(index: Index) -> DataFrame:
-    return index.look_up().select("rid", "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("digest").alias("text_sha256"))
+    found = Index(rows if stored else save(rows, "rows"), key, capacity).look_up()
+    return found.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -126,7 +146,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mark(documents(spark, sf_dir))
+    return mark(documents(spark, sf_dir), stored=True)
 
 
 SQL = """

@@ -30,6 +30,14 @@ def test_marks_equal_brute_force(spark):
     assert kept.columns == df.columns and kept.count() == len({w[4] for w in want})
 
 
+def test_digests_decide_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ed, "digest", lambda norm: F.lit("one for all"))
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    want = sorted(((*w[:4], "one for all") for w in brute(ROWS)), key=str)
+    for key in (F.xxhash64, lambda norm: F.length(norm).cast("long")):
+        assert sorted([tuple(r) for r in ed.mark(df, key, 1).collect()], key=str) == want
+
+
 def test_hot_group_and_empty_table(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 500)).alias("text"))
     rows = [tuple(r) for r in df.collect()]
