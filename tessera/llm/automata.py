@@ -194,50 +194,57 @@ class Automaton:
         self.next, self.accepts = block[table[first]].astype("i4"), accepts[first]
         stuck = (self.next == np.arange(len(first))[:, None]).all(1) & (self.accepts == 0)
         self.dead = int(np.flatnonzero(stuck)[0]) if stuck.any() and not search else -1
-        self.resets = (self.next == 0).all(0)[self.classes]  # bytes after which nothing before them counts
         self.rows = [row.tolist() for row in self.next[:, self.classes]] if len(first) < 4096 else None
 
-    def scan(self, text: np.ndarray, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def scan(self, text: np.ndarray, lanes: int = 4096, most: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
         """One pass over ``text`` (bytes) with ``search``: the places after which some pattern ends, and which.
 
-        The text is cut behind reset bytes into strips that advance side by side.
+        The text is cut anywhere into lanes of equal length that advance side by side, each from the
+        start state. Then each lane whose predecessor ends in another state is read again from that
+        state, until it meets a state that it has been in at the same place before. Long texts go in
+        parts of ``most`` bytes.
         """
-        n = len(text)
-        cuts = np.flatnonzero(self.resets[text]) + 1
-        want = np.linspace(0, n, max(1, min(lanes, n // 64)) + 1).astype("i8")[1:-1]
-        begin = np.unique(np.r_[0, cuts[np.minimum(np.searchsorted(cuts, want), len(cuts) - 1)] if len(cuts) else want[:0]])
-        begin = begin[begin < n] if n else begin
-        size = np.diff(np.r_[begin, n])
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        cls, width = self.classes[text], self.next.shape[1]
-        flat, hot = (self.next * width).ravel(), np.repeat(self.accepts > 0, width)[:: 1]
-        state = np.zeros(len(begin), "i4")
-        at, which = [], []
-        active = len(begin)
-        for step in range(int(size[0]) if n else 0):
-            while size[active - 1] <= step:
-                active -= 1
-            place = begin[:active] + step
-            state[:active] = flat[state[:active] + cls[place]]
-            hits = np.flatnonzero(hot[state[:active]])
-            if len(hits):
-                at.append(place[hits] + 1)
-                which.append(self.accepts[state[hits] // width])
-        if not at:
-            return np.zeros(0, "i8"), np.zeros(0, "i8")
-        at, which = np.concatenate(at), np.concatenate(which)
-        order = np.argsort(at, kind="stable")
-        return at[order], which[order]
-
-    def first_end(self, text: bytes, start: int) -> int:
-        """Where a match ends first when reading from ``start`` (with ``search``), or -1."""
-        rows, state, accepts = self.rows, 0, self.accepts
-        for i in range(start, len(text)):
-            state = rows[state][text[i]]
-            if accepts[state]:
-                return i + 1
-        return -1
+        at, which, state = [], [], 0
+        for begin in range(0, len(text), most):
+            ends, masks, state = self._scan(text[begin : begin + most], lanes, state)
+            at.append(ends + begin)
+            which.append(masks)
+        return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, "i8"), np.zeros(0, "i8"))
+
+    def _scan(self, text: np.ndarray, lanes: int, first: int) -> tuple[np.ndarray, np.ndarray, int]:
+        n, width = len(text), self.next.shape[1]
+        lanes = max(1, min(lanes, n // 64))
+        length = -(-n // lanes)
+        lanes = -(-n // length)
+        kind = "u2" if self.next.size < 1 << 16 else "i4"
+        flat = (self.next * width).ravel().astype(kind)
+        cls = np.zeros(lanes * length, kind)
+        cls[:n] = self.classes[text]
+        cls = np.ascontiguousarray(cls.reshape(lanes, length).T)
+        states = np.empty((length, lanes), kind)
+        state = np.zeros(lanes, kind)
+        for i in range(length):
+            state = flat[state + cls[i]]
+            states[i] = state
+        begun = np.zeros(lanes, kind)
+        while True:
+            came = np.r_[np.array([first], kind), states[-1, :-1]]
+            lane = np.flatnonzero(came != begun)
+            if not len(lane):
+                break
+            state = begun[lane] = came[lane]
+            for i in range(length):
+                state = flat[state + cls[i, lane]]
+                new = np.flatnonzero(state != states[i, lane])
+                lane, state = lane[new], state[new]
+                if not len(lane):
+                    break
+                states[i, lane] = state
+        hot = np.repeat(self.accepts > 0, width)
+        seen = hot[states].T.ravel()[:n]
+        at = np.flatnonzero(seen)
+        last = divmod(n - 1, length)
+        return at + 1, self.accepts[states[at % length, at // length] // width], int(states[last[1], last[0]])
 
     def longest(self, text: bytes, start: int, step: int = 1, stop: int | None = None) -> int:
         """The end of the longest match at ``start``, read forwards or (with ``step`` -1) backwards down to ``stop``; or -1."""

@@ -2,16 +2,17 @@
 
 All rules are compiled together into one minimal automaton whose transition array reads every byte
 of a text once. In it, long counted tails are shortened (a rule may only ever be reported too
-often), which keeps the array small. For the few texts with a report, the rule's own automata find
-its matches exactly: the first end, from there backwards the leftmost start, from there forwards the
-longest end; leftmost matches that do not overlap, of each rule by itself. A rule's condition then
-drops matches; dropped ones have used up their text all the same.
+often), which keeps the array small. Each report says where a rule has been met; its own automata
+walk from there, backwards to the leftmost start and forwards to the longest end: leftmost matches
+that do not overlap, of each rule by itself. A rule's condition then drops matches; dropped ones
+have used up their text all the same.
 
-The rules have no match inside the shortest prefix of another match of the same rule, so the first
-end always belongs to the leftmost match.
+Of a rule, every match that meets its condition is reported, and no match begins inside another one
+that is not reported; so the first report past a match belongs to the leftmost match after it.
 
 Results for odd inputs: null and empty texts have no spans; offsets count code points; texts and
-secrets may have any length; repeated rows get equal spans.
+secrets may have any length, with or without line ends; repeated rows get equal spans; ``find`` adds
+its column under a name that is free (``free_name``).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automata import Automaton, backwards, parse
-from .common import documents, map_texts
+from .common import documents, free_name, map_texts
 
 
 def either_case(word: str) -> str:
@@ -57,27 +58,34 @@ RULES = (
 )
 
 
+def code_points(raw: bytes, places: set[int]) -> dict[int, int]:
+    """How many code points stand before each of ``places``."""
+    edges = np.array(sorted({0, *places}))
+    inside = edges[edges < len(raw)]
+    counts = np.add.reduceat(np.frombuffer(raw, "u1") & 0xC0 != 0x80, inside, dtype="i8") if len(inside) else np.zeros(0, "i8")
+    return dict(zip(edges.tolist(), np.r_[0, np.cumsum(counts)].tolist(), strict=False))
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.all = Automaton([parse(r.report) for r in rules], search=True)
         trees = [parse(r.pattern) for r in rules]
-        self.own = [(Automaton([t], True), Automaton([backwards(t)], False), Automaton([t], False), Automaton([parse(r.head)], False) if r.head else None) for t, r in zip(trees, rules, strict=True)]
-
-    def matches(self, k: int, text: bytes, hits: list[int]) -> list[tuple[int, int]]:
-        """All matches (start, end) of rule ``k``; ``hits`` are the reports of the combined automaton."""
-        rule, (search, back, forth, head) = self.rules[k], self.own[k]
-        out, at = [], 0
-        for hit in hits:
-            while at < hit:
-                end = search.first_end(text, at)
-                if end < 0:
-                    return out
-                start = back.longest(text, end, -1, at)
-                end = forth.longest(text, start)
-                at = end
-                if end - start >= rule.least and (head is None or end - head.longest(text, start) >= rule.value):
-                    out.append((start, end))
+        self.own = [(Automaton([backwards(t)], False), Automaton([t], False), Automaton([parse(r.head)], False) if r.head else None) for t, r in zip(trees, rules, strict=True)]
+
+    def matches(self, k: int, text: bytes, hits: np.ndarray) -> list[tuple[int, int]]:
+        """All matches (start, end) of rule ``k`` that meet its condition; ``hits``: where the combined automaton reports it, in order."""
+        rule, (back, forth, head) = self.rules[k], self.own[k]
+        out, at, i = [], 0, 0
+        while i < len(hits):
+            start = back.longest(text, int(hits[i]), -1, at)
+            if start < 0:
+                i += 1
+                continue
+            at = forth.longest(text, start)
+            if at - start >= rule.least and (head is None or at - head.longest(text, start) >= rule.value):
+                out.append((start, at))
+            i = int(np.searchsorted(hits, at, "right"))
         return out
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, str, int]]]:
@@ -86,47 +94,64 @@ class Scanner:
         joined = np.frombuffer(b"\n".join([*raw, b""]), "u1")  # no rule crosses a line end
         ends = np.cumsum([len(r) + 1 for r in raw])
         at, which = self.all.scan(joined)
-        found: dict[tuple[int, int], list[int]] = {}
-        for doc, place, mask in zip(np.searchsorted(ends, at, "left").tolist(), at.tolist(), which.tolist(), strict=True):
-            base = int(ends[doc]) - len(raw[doc]) - 1
-            for k in range(len(self.rules)):
-                if mask >> k & 1:
-                    found.setdefault((doc, k), []).append(place - base)
+        ranked: dict[int, list[tuple[int, int, int]]] = {}
+        for k in range(len(self.rules)):
+            hits = at[which >> k & 1 > 0]
+            owner = np.searchsorted(ends, hits, "left")
+            for some in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(owner)) + 1) if len(hits) else ():
+                doc = int(owner[some[0]])
+                found = self.matches(k, raw[doc], hits[some] - (int(ends[doc]) - len(raw[doc]) - 1))
+                ranked.setdefault(doc, []).extend((s, k, e) for s, e in found)
         out: list[list[tuple[int, str, int]]] = [[] for _ in texts]
-        ranked: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for (doc, k), hits in found.items():
-            ranked[doc] += [(s, k, e) for s, e in self.matches(k, raw[doc], hits)]
-        for doc, spans in enumerate(ranked):
-            if spans:
-                chars = np.r_[0, np.cumsum(np.frombuffer(raw[doc], "u1") & 0xC0 != 0x80)]  # code points before each byte
-                out[doc] = [(int(chars[s]), self.rules[k].kind, int(chars[e])) for s, k, e in sorted(spans)]
+        for doc, spans in ranked.items():
+            at = code_points(raw[doc], {x for s, _, e in spans for x in (s, e)})
+            out[doc] = [(at[s], self.rules[k].kind, at[e]) for s, k, e in sorted(spans)]
         return out
 
 
 _scanners: dict[tuple, Scanner] = {}
 
 
+def scanner(rules: tuple[Rule, ...]) -> Scanner:
+    if rules not in _scanners:
+        _scanners[rules] = Scanner(rules)
+    return _scanners[rules]
+
+
 def find(df: DataFrame, text: str = "text", name: str = "spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with the spans of each whole text: array of (start, kind, end), code points, end exclusive."""
 
     def setup():
-        if rules not in _scanners:
-            _scanners[rules] = Scanner(rules)
-        return lambda texts: [[[{"start": s, "kind": k, "end": e} for s, k, e in spans] for spans in _scanners[rules].scan(texts)]]
+        scan = scanner(rules).scan
+        return lambda texts: [[[{"start": s, "kind": k, "end": e} for s, k, e in spans] for spans in scan(texts)]]
 
-    return map_texts(df, text, [(name, "array<struct<start:int,kind:string,end:int>>")], setup)
+    return map_texts(df, text, [(free_name(df, name), "array<struct<start:int,kind:string,end:int>>")], setup)
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "***") -> DataFrame:
-    """``df`` with every span of its text replaced by ``mark``; overlapping spans count as one."""
-    from .common import free_name
+def without(text: str, spans: list[tuple[int, str, int]], mark: str) -> str:
+    """``text`` with ``mark`` in place of each run of overlapping spans, which come by start."""
+    out, at, runs = [], 0, []
+    for start, _, end in spans:
+        if runs and start < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    for start, end in runs:
+        out += [text[at:start], mark]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def redact(df: DataFrame, text: str = "text", mark: str = "***", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``df`` with every span of its text replaced by ``mark``; overlapping spans count as one. Null stays null."""
+    name = free_name(df, "redacted")
+
+    def setup():
+        scan = scanner(rules).scan
+        return lambda texts: [[without(t, spans, mark) for t, spans in zip(texts, scan(texts), strict=True)]]
 
-    name = free_name(df, "spans")
-    chars = F.transform(F.sequence(F.lit(0), F.length(text)), lambda i: i)
-    inside = lambda i: F.exists(name, lambda s: (s["start"] <= i) & (i < s["end"]))
-    opens = lambda i: inside(i) & ~inside(i - 1)
-    kept = F.array_join(F.transform(chars, lambda i: F.when(opens(i), mark).when(inside(i), "").otherwise(F.substring(F.col(text), i + 1, F.lit(1)))), "")
-    return find(df, text, name).withColumn(text, F.when(F.size(name) > 0, kept).otherwise(F.col(text))).drop(name)
+    clean = map_texts(df, text, [(name, "string")], setup)
+    return clean.withColumn(text, F.when(F.col(text).isNotNull(), F.col(name))).drop(name)
 
 
 def digests(docs: DataFrame) -> DataFrame:

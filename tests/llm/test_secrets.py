@@ -49,6 +49,22 @@ def test_strips_see_what_one_pass_sees():
     assert a.next.shape[0] < 40
 
 
+def test_long_text_without_line_ends():
+    import time
+
+    scanner = se.Scanner()
+    unit = "words and more words " * 5000 + 'api_key = "abcdefgh12345678" é ' + "0" * 40 + "x" * 70_000
+    text = unit * 60
+    began = time.time()
+    (spans,) = scanner.scan([text])
+    assert len(text) > 10_000_000 and time.time() - began < 60
+    assert [s for s in spans if s[1] in se.BASE] == brute(text)
+    state = np.random.default_rng(5).choice(np.frombuffer(b"pasword= token0f", "u1"), 50_000)
+    for lanes, most in ((1, 1 << 24), (37, 1000), (4096, 777)):
+        got = scanner.all.scan(state, lanes, most)
+        assert all((x == y).all() for x, y in zip(got, scanner.all.scan(state, 500)))
+
+
 def test_digests_and_other_formats(spark):
     key = "ghp_" + "aB3" * 12
     texts = [None, "", "é " + key, 'x password: "hunter2hunter2" ' + "-----BEGIN EC PRIVATE KEY-----", "token=short", "漢" * 1000 + " AKIA" + "B" * 12]
