@@ -6,26 +6,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, save
 
-#: Most labelled documents of each class that a model is fitted on, and most characters of each: the
-#: sample that reaches the driver is bounded by both, whatever the tables hold.
-PER_CLASS, CHARS = 2000, 8000
+#: Most labelled documents of each class that a model is fitted on, and most bytes of all their texts
+#: together: rows are taken in a hashed order until either is reached, each with its whole text, so what
+#: reaches the driver is bounded whatever the tables hold.
+PER_CLASS, BYTES = 2000, 256 << 20
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, chars: int = CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels (0 or 1) and weights of up to ``per_class`` documents of each class, none held out.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, most: int = BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Whole texts, labels (0 or 1) and weights of up to ``per_class`` documents of each class, none held out.
 
     Rows are chosen by a hash of their id. The weights restore the classes' shares among all labelled
-    rows. Labels other than 0 and 1 and null ids are left out.
+    rows. Labels other than 0 and 1 and null ids are left out. A doc_id that several documents or
+    labels have stands for all of these rows, in the order of label and text.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(7))
     chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows at most
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(chosen, "doc_id")
-    got = rows.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "y", "text").limit(2 * per_class).collect()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("size")).join(chosen, "doc_id")
+    ranked = rows.withColumn("at", F.xxhash64("doc_id", F.lit(11))).orderBy("at", "doc_id", "y", "text").limit(2 * per_class)
+    held = save(ranked, "labelled")
+    sizes = held.select("at", "doc_id", "y", "size").orderBy("at", "doc_id", "y", "size").collect()  # 2 * per_class rows at most
+    taken = int(np.searchsorted(np.cumsum([r.size for r in sizes]), most, "right"))
+    if taken < len(sizes):
+        last = sizes[taken]
+        held = held.where((F.col("at") < last.at) | (F.col("at") == last.at) & (F.col("doc_id") < last.doc_id))
+    got = held.orderBy("at", "doc_id", "y", "text").collect()
     y = np.array([r.y for r in got], float)
     share = {k: count.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)}
     weights = np.array([share[int(k)] for k in y])

@@ -18,17 +18,25 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, map_texts
+from .common import documents, free_name, held_out, map_texts
 from .labelled import Calibration, sample
 
 BLOCK, DICTIONARY, LEVEL, KEEP = 1024, 64 * 1024, 3, 0.7
+#: Blocks that each labelled text gives to a dictionary, evenly over its whole length, so long texts do not fill it alone.
+SPREAD = 4
+
+
+def spread(n: int) -> list[int]:
+    """Up to ``SPREAD`` of ``n`` blocks, evenly over all of them."""
+    some = min(n, SPREAD)
+    return sorted({(2 * k + 1) * n // (2 * some) for k in range(some)})
 
 
 def dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary, or the raw text where there is too little to train on."""
     import zstandard
 
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, min(len(t), 4 * BLOCK), BLOCK)]
+    blocks = [t[k * BLOCK : (k + 1) * BLOCK] for t in texts for k in spread(-(-len(t) // BLOCK))]
     try:
         return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, blocks)) // 4), blocks, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -86,8 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 for each whole text."""
-    return map_texts(docs, text, [(name, "double")], model.scorer)
+    """``docs`` with the probability of label 1 for each whole text, under a name that is free."""
+    return map_texts(docs, text, [(free_name(docs, name), "double")], model.scorer)
 
 
 def predict(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -98,8 +106,6 @@ def predict(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> D
 
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the rows the classifier rejects."""
-    from .common import free_name
-
     name = free_name(docs, "score")
     return score(docs, fit(docs, labels), name=name).where(F.col(name) >= KEEP).drop(name)
 

@@ -1,11 +1,12 @@
 """Toxicity scores from subword-bag embeddings (operator 5).
 
 A word is the bag of its character n-grams (3 to 6 bytes, word borders included), each hashed to a
-row of one embedding table, so misspellings and inflections share most of their vectors. Vectors of
-a word's n-grams, then of the words of a window, are averaged and go into a linear softmax of two
-classes. Table and softmax are trained jointly in numpy. Documents are labelled as a whole while
-insults are single words, so a document counts by its most toxic window: training steps take the
-gradient there. A logistic calibration on documents the model has not seen makes the score.
+row of one embedding table, so misspellings and inflections share most of their vectors. The vectors
+of a word's n-grams are averaged and go into a linear softmax of two classes. Table and softmax are
+trained jointly in numpy. Documents are labelled as a whole while insults are single words, so the
+margins of a document's words are pooled by a soft maximum, and training steps take the gradient
+through it: every word counts by its share. A logistic calibration on documents the model has not
+seen makes the score; it knows the pooled margin, the highest one and the number of words.
 
 For scoring, softmax and table fold into one number a hashed n-gram; whole texts are scored in a few
 array passes. Only labelled rows that are not held out are learnt from (a bounded sample).
@@ -19,11 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, map_texts
+from .common import documents, free_name, held_out, map_texts
 from .labelled import Calibration, sample
 
-LONGEST, TABLE_BITS, WIDTH, WINDOW = 6, 17, 8, 12
-STEPS, RATE, FLAG, LEAST_DOCS = 80, 0.03, 0.3, 4
+LONGEST, TABLE_BITS, WIDTH = 6, 17, 8
+STEPS, RATE, FLAG, LEAST_DOCS = 60, 0.03, 0.3, 6
+#: How soft the maximum over words is.
+HEAT = 2.0
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -58,14 +61,6 @@ def word_means(b: np.ndarray, table: np.ndarray) -> np.ndarray:
     return total / np.maximum(count, 1)
 
 
-def windows(values: np.ndarray) -> np.ndarray:
-    """Means of the windows of ``WINDOW`` words, at every word; of all words if there are fewer."""
-    if len(values) <= WINDOW:
-        return np.array([values.mean()])
-    c = np.r_[0.0, np.cumsum(values)]
-    return (c[WINDOW:] - c[:-WINDOW]) / WINDOW
-
-
 class Bags:
     """Training texts as distinct words with their n-grams."""
 
@@ -110,28 +105,18 @@ def train(bags: Bags, docs: np.ndarray, y: np.ndarray, weights: np.ndarray, seed
     table *= common[:, None]
     words = np.concatenate([bags.docs[d] for d in docs])
     sizes = np.array([len(bags.docs[d]) for d in docs])
-    begin, owner, place = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(docs)), sizes), np.arange(len(words))
-    stop = np.repeat(begin + sizes, sizes)
-    end = np.minimum(place + WINDOW, stop)
-    starts = (place + WINDOW <= stop) | (place == np.repeat(begin, sizes))  # whole windows, or all of a shorter text
+    begin, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(docs)), sizes)
     for step in range(1, STEPS + 1):
         line = (table @ (soft[:, 1] - soft[:, 0])).astype("f8")
-        margins = np.bincount(bags.word, line[bags.rows], bags.n) / bags.size
-        c = np.r_[0.0, np.cumsum(margins[words])]
-        mean = np.where(starts, (c[end] - c[:-1]) / (end - place), -np.inf)
-        doc_margin = np.maximum.reduceat(mean, begin)
-        best = np.flatnonzero(mean == np.repeat(doc_margin, sizes))
-        best = best[np.r_[True, owner[best[1:]] != owner[best[:-1]]]]  # the first best window of each document
-        p = 1 / (1 + np.exp(-np.clip(doc_margin + bias[1] - bias[0], -30, 30)))
+        margins = (np.bincount(bags.word, line[bags.rows], bags.n) / bags.size)[words]
+        top = np.maximum.reduceat(margins, begin)
+        share = np.exp((margins - top[owner]) / HEAT)
+        total = np.add.reduceat(share, begin)
+        p = 1 / (1 + np.exp(-np.clip(top + HEAT * np.log(total) + bias[1] - bias[0], -30, 30)))
         error = (weights * (p - y) / weights.sum()).astype("f4")
-        # back from the softmax to the words of the picked windows, then to their n-grams
-        long = end[best] - best
-        inside = np.repeat(best - np.r_[0, np.cumsum(long)[:-1]], long) + np.arange(long.sum())
-        on_word = np.bincount(words[inside], np.repeat(error / long, long), bags.n) / bags.size
-        used = np.unique(words[inside])
-        lengths = bags.first[used + 1] - bags.first[used]
-        at = np.repeat(bags.first[used] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        on_row = (np.bincount(bags.rows[at], np.repeat(on_word[used], lengths), 1 << TABLE_BITS) * common).astype("f4")
+        # back from the softmax to the words by their shares, then to their n-grams
+        on_word = np.bincount(words, (error / total)[owner] * share, bags.n) / bags.size
+        on_row = (np.bincount(bags.rows, on_word[bags.word], 1 << TABLE_BITS) * common).astype("f4")
         pull = on_row @ table
         grads = [on_row[:, None] * (soft[:, 1] - soft[:, 0]), np.c_[-pull, pull], np.array([-error.sum(), error.sum()], "f4")]
         for p_, g, (m1, m2) in zip((table, soft, bias), grads, state):
@@ -142,8 +127,10 @@ def train(bags: Bags, docs: np.ndarray, y: np.ndarray, weights: np.ndarray, seed
 
 
 def features(text: str, line: np.ndarray) -> tuple[float, float, float]:
-    w = word_means(spell(text), line)
-    return float(windows(w).max()), float(w.max()), float(np.log1p(len(w)))
+    """The pooled margin that training looks at, the highest one of a word, and the length."""
+    m = word_means(spell(text), line)
+    top = float(m.max())
+    return top + HEAT * float(np.log(np.exp((m - top) / HEAT).sum())), top, float(np.log1p(len(m)))
 
 
 class Model:
@@ -170,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 for each whole text."""
-    return map_texts(docs, text, [(name, "double")], model.scorer)
+    """``docs`` with the probability of label 1 for each whole text, under a name that is free."""
+    return map_texts(docs, text, [(free_name(docs, name), "double")], model.scorer)
 
 
 def predict(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

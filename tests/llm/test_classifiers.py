@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ def auc(score, y):
     return (rank[y == 1].mean() - rank[y == 0].mean()) / len(score) + 0.5
 
 
-@pytest.mark.parametrize("module,label,least", [(quality, "quality", 0.97), (toxicity, "toxic", 0.8)])
+@pytest.mark.parametrize("module,label,least", [(quality, "quality", 0.97), (toxicity, "toxic", 0.95)])
 def test_held_out_rows(spark, module, label, least):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = module.predict(docs, labels).join(labels, "doc_id").collect()
@@ -51,6 +53,69 @@ def test_odd_rows(spark, module):
 def test_sample_is_bounded(spark):
     docs = spark.range(400).selectExpr("id AS doc_id", "repeat('x', 100) AS text")
     labels = docs.selectExpr("doc_id", "cast(doc_id % 10 = 0 AS int) AS quality")
-    texts, y, w = labelled.sample(docs, labels, "quality", per_class=20, chars=10)
-    assert len(texts) <= 40 and max(map(len, texts)) == 10
+    texts, y, w = labelled.sample(docs, labels, "quality", per_class=20)
+    assert len(texts) <= 40 and set(map(len, texts)) == {100}  # whole texts
     assert 0.05 < np.average(y, weights=w) < 0.15  # the classes' true shares
+    some, *_ = labelled.sample(docs, labels, "quality", per_class=20, most=1234)
+    assert 10 <= len(some) <= 12 and some == texts[: len(some)]
+
+
+def test_repeated_ids_in_the_sample(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k}") for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(1, 1)], "doc_id long, quality int")
+    texts, y, _ = labelled.sample(docs, labels, "quality")
+    seen = {k for k in range(50) if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert sorted(texts) == sorted(f"text {k}" for k in range(100) if k % 50 in seen for _ in range(1 + (k % 50 == 1)))
+    assert len(y) == len(texts)
+
+
+TEXTS = ["", "short", "Good sensible words " * 300, "idiot ### @@ " * 40, "\u00e9\u6f22 mixed" * 200, "a"]
+
+
+def fitted(module):
+    texts = [f"good sensible words {k} here " * (1 + k % 7) if k // 5 % 2 else f"idiot ### {k} @@ " * (1 + k % 5) for k in range(200)]
+    y = np.array([k // 5 % 2 for k in range(200)], float)
+    return module.Model(texts, y if module is quality else 1 - y, np.ones(200))
+
+
+def test_quality_scores_follow_the_definition(spark):
+    import zstandard
+
+    m = fitted(quality)
+    got = [r.score for r in quality.score(spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").coalesce(1), m).orderBy("i").collect()]
+    sizes = []
+    for raw in m.dictionaries:
+        d = zstandard.ZstdCompressionDict(raw)
+        sizes.append([sum(len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(b)) for b in ([t[i : i + 1024] for i in range(0, len(t), 1024)] or [b""])) for t in (x.encode() for x in TEXTS)])
+    for t, bad, good, s in zip(TEXTS, *sizes, got, strict=True):
+        n = len(t.encode())
+        difference, ratio, short = (bad - good) / (bad + good), math.log((good + 8) / (n + 16)), 1 / (1 + n / 100)
+        x = np.clip((np.array([difference, ratio, min(0, ratio + 1.2) ** 2, short, difference * short]) - m.calibration.mean) / m.calibration.scale, -8, 8)
+        assert s == pytest.approx(1 / (1 + math.exp(-np.clip(m.calibration.w[0] + x @ m.calibration.w[1:], -30, 30))), abs=1e-9)
+
+
+def test_toxicity_scores_follow_the_definition(spark):
+    m = fitted(toxicity)
+    got = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").coalesce(1), m).orderBy("i").collect()]
+
+    def margin(word):
+        b, rows = b" " + word + b" ", []
+        for n in range(3, 7):
+            for i in range(len(b) - n + 1):
+                h = b[i]
+                for c in b[i + 1 : i + n]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                rows.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.TABLE_BITS))
+        return sum(float(m.line[r]) for r in rows) / len(rows) if rows else 0.0
+
+    for t, s in zip(TEXTS, got, strict=True):
+        w = [margin(x) for x in re.findall(b"[a-z\x80-\xff]+", t.lower().encode())] or [0.0]
+        pooled = max(w) + toxicity.HEAT * math.log(sum(math.exp((x - max(w)) / toxicity.HEAT) for x in w))
+        x = np.clip((np.array([pooled, max(w), math.log1p(len(w))]) - m.calibration.mean) / m.calibration.scale, -8, 8)
+        assert s == pytest.approx(1 / (1 + math.exp(-np.clip(m.calibration.w[0] + x @ m.calibration.w[1:], -30, 30))), abs=1e-5)
+
+
+def test_misspellings_share_vectors():
+    m = fitted(toxicity)
+    toxic, odd, good = m.scorer()(["you idiot", "you idiottt", "sensible words"])[0]
+    assert toxic > 0.5 and odd > 0.5 and good < 0.5
