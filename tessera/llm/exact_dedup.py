@@ -129,9 +129,10 @@ class Index:
 def mark(docs: DataFrame, key=F.xxhash64, capacity: int = BUCKET_KEYS, stored: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``stored``: ``docs`` is read from files as it is, so its rows keep their order; else it is written first.
+    ``stored``: ``docs`` is read straight from Parquet files, whose rows are known by their place there; else it is written first.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    rid = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")) if stored else F.monotonically_increasing_id()
+    rows = docs.select(rid.alias("rid"), "doc_id", "text")
     found = Index(rows if stored else save(rows, "rows"), key, capacity).look_up()
     return found.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
 

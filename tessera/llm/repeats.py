@@ -18,9 +18,13 @@ sample by content instead of by residues (see the README for figures of the lite
    ones compared.
 5. The removed spans of a document meet its text; the rest is kept.
 
-Cores of over ``HOT`` occurrences (found in a hashed sample of the documents) take another, equally
-exact way: names are counted by aggregations that combine before the shuffle, and windows are
-counted one by one, so no task gets all rows of a core.
+Cores are counted over all documents first. Those of over ``HOT`` occurrences (and over one in
+``HOT_CORES`` of all, so their table is of bounded size) take another, equally exact way: names are
+counted by aggregations that combine before the shuffle, and windows are counted one by one, so no
+task gets all rows of such a core.
+
+Rows are written with a number of their own before anything else, so spans return to the very row
+that they were found in.
 
 Names are 64-bit hashes, two of them for each decision. Results for odd inputs: null and empty
 texts and texts under ``LENGTH`` bytes lose nothing; a row that repeats another row loses all bytes
@@ -33,15 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, pieces, save
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # windows that can share an anchor
-#: Occurrences of one core that a task can hold with their text (about 200 MB), and the share of documents that tells which cores have more.
-HOT, SAMPLE = 100_000, 16
+#: Occurrences of one core that a task can hold with their text (about 200 MB), and most cores that may have more.
+HOT, HOT_CORES = 100_000, 4_000_000
 ROWS = 4000  # stretches hashed at once
 DUPLICATE, OPEN, MODEL = 1, 2, 3  # an anchor's windows all repeat; some may; stands for a repeated union
 
@@ -104,13 +108,13 @@ def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key and text of ``docs`` (doc_id, text); rows of equal key are equal."""
+    """key (a number of its own for each row), doc_id and text of ``docs`` (doc_id, text), as a written table."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64("doc_id", text, F.length(text)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return save(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), "rows", compression="zstd")
 
 
-def entries(rows: DataFrame, only: np.ndarray | None = None, without: np.ndarray | None = None) -> DataFrame:
-    """(core, union, key, place) of all anchors of ``rows`` (key, text), of the cores in ``only``, or not in ``without`` (both sorted)."""
+def entries(rows: DataFrame) -> DataFrame:
+    """(core, union, key, place) of all anchors of ``rows`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +126,6 @@ def entries(rows: DataFrame, only: np.ndarray | None = None, without: np.ndarray
                         continue
                     core, union, pos, first, last = anchors(raw)
                     place = pos << 16 | (pos - first) << 8 | (last - first)
-                    if only is not None or (without is not None and len(without)):
-                        some = only if only is not None else without
-                        member = some[np.minimum(np.searchsorted(some, core), len(some) - 1)] == core
-                        keep = member if only is not None else ~member
-                        core, union, place = core[keep], union[keep], place[keep]
                     found.append((core, union, np.full(len(core), key), place))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["core", "union", "key", "place"])
@@ -173,17 +172,19 @@ FLAGGED = "key long, place long, core long, kind int"
 def flagged_hot(found: DataFrame) -> DataFrame:
     """The same for hot cores, by aggregations and joins."""
     stats = save(found.groupBy("core", "union").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("model")), "hot")
-    mixed = F.broadcast(stats.where("n = 1").select("core").distinct())  # hot cores only: few by definition
+    mixed = F.broadcast(stats.where("n = 1").select("core").distinct())  # hot cores only: HOT_CORES rows at most
     duplicate = found.join(stats.where("n > 1").select("core", "union"), ["core", "union"]).select("key", "place", F.lit(0).cast("long").alias("core"), F.lit(DUPLICATE).alias("kind"))
     rest = stats.join(mixed, "core").select("model.key", "model.place", "core", F.when(F.col("n") == 1, OPEN).otherwise(MODEL).alias("kind"))
     return duplicate.unionByName(rest)
 
 
-def hot_cores(rows: DataFrame, hot: int) -> np.ndarray:
-    """Sorted cores that occur over ``hot`` times by the estimate of a hashed sample of documents; few, as each has so many rows."""
-    some = entries(rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(SAMPLE)) == 0))
-    found = some.groupBy("core").count().where(F.col("count") > max(1, hot // SAMPLE)).select("core").collect()
-    return np.sort(np.array([r[0] for r in found], "i8"))
+def hot_cores(found: DataFrame, hot: int) -> DataFrame:
+    """core and ``hot`` (true) of the cores of ``found`` that occur over ``hot`` times and over one in ``HOT_CORES`` of all times: fewer rows than that."""
+    total = Observation()
+    counts = found.groupBy("core").agg(F.count("*").alias("n")).observe(total, F.sum("n").alias("n"))
+    many = save(counts.where(F.col("n") > hot), "hot")
+    least = (total.get.get("n") or 0) // HOT_CORES
+    return many.where(F.col("n") > least).select("core", F.lit(True).alias("hot"))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -293,23 +294,30 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, start, end) of removed bytes of ``rows`` (key, doc_id, text); spans may overlap."""
-    many = hot_cores(rows, hot)
-    flagged = entries(rows, without=many).repartition("core").sortWithinPartitions("core", "union").mapInArrow(_flag, FLAGGED)
-    if len(many):
-        flagged = flagged.unionByName(flagged_hot(entries(rows, only=many)))
+    found = entries(rows)
+    many = hot_cores(found, hot)
+    some = many.limit(1).count() > 0
+    is_hot, cold = F.col("hot").isNotNull(), F.col("hot").isNull()
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(many), "core", "left")  # HOT_CORES rows at most
+
+    usual = marked(found).where(cold).drop("hot") if some else found
+    flagged = usual.repartition("core").sortWithinPartitions("core", "union").mapInArrow(_flag, FLAGGED)
+    if some:
+        flagged = flagged.unionByName(flagged_hot(marked(found).where(is_hot).drop("hot")))
     flagged = save(flagged, "anchors")
     first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))
     certain = flagged.where(F.col("kind") == DUPLICATE).select("key", first.alias("start"), (first + F.col("place").bitwiseAND(F.lit(255)) + LENGTH).alias("end"))
     around = stretches(rows, flagged.where(F.col("kind") != DUPLICATE))
-    if not len(many):
+    if not some:
         return certain.unionByName(around.repartition("core").sortWithinPartitions("core").mapInArrow(_merge, SPANS))
-    around = save(around, "stretches")
-    is_hot = F.col("core").isin(many.tolist())
-    cold = around.where(~is_hot).repartition("core").sortWithinPartitions("core").mapInArrow(_merge, SPANS)
-    windows = around.where(is_hot).mapInArrow(_windows, "core long, name long, offset int, key long, start long, kind int")
+    around = marked(save(around, "stretches"))
+    rest = around.where(cold).drop("hot").repartition("core").sortWithinPartitions("core").mapInArrow(_merge, SPANS)
+    windows = around.where(is_hot).drop("hot").mapInArrow(_windows, "core long, name long, offset int, key long, start long, kind int")
     twice = windows.groupBy("core", "name", "offset").count().where("count > 1").drop("count")
     single = windows.where(F.col("kind") == OPEN).join(twice, ["core", "name", "offset"]).select("key", "start", (F.col("start") + LENGTH).alias("end"))
-    return certain.unionByName(cold).unionByName(single)
+    return certain.unionByName(rest).unionByName(single)
 
 
 def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -30,6 +30,12 @@ def test_marks_equal_brute_force(spark):
     assert kept.columns == df.columns and kept.count() == len({w[4] for w in want})
 
 
+def test_query_knows_rows_by_their_place(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted([tuple(r) for r in ed.query(spark, str(tmp_path)).collect()], key=str) == brute(ROWS)
+
+
 def test_digests_decide_nothing(spark, monkeypatch):
     monkeypatch.setattr(ed, "digest", lambda norm: F.lit("one for all"))
     df = spark.createDataFrame(ROWS, "doc_id long, text string")

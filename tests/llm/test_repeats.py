@@ -40,8 +40,9 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [rp.HOT, 16])
-def test_equals_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,cores", [(rp.HOT, rp.HOT_CORES), (16, rp.HOT_CORES), (16, 100)])
+def test_equals_brute_force(spark, monkeypatch, hot, cores):
+    monkeypatch.setattr(rp, "HOT_CORES", cores)
     rows = made(1)
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, KEY string, start int")
     assert sorted((tuple(r) for r in rp.digests(df, hot).collect()), key=str) == brute(rows)
