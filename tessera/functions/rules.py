@@ -138,3 +138,8 @@ def similar_name(name: Column, other: Column) -> Column:
         return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
     return ratio(normalize_filename(name), normalize_filename(other))
+
+
+def answers(kind: Column, named: Column, only_named: bool) -> Column:
+    """Whether a message is answered: in groups, with ``only_named``, only if it names the assistant."""
+    return ~((kind == "group") & F.lit(only_named) & ~F.coalesce(named, F.lit(False)))

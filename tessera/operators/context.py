@@ -96,3 +96,26 @@ def hybrid_recall(by_vector: DataFrame, by_keyword: DataFrame, k: int, text: str
     first = F.row_number().over(W.partitionBy(text).orderBy(F.when(F.col("source") == "vector", 0).otherwise(1), F.desc("score"), key))
     rows = both.withColumn("rn", first).where((F.col("rn") == 1) | (F.col("source") == "vector")).drop("rn")
     return rows.orderBy(F.desc("score"), key, "source").limit(k)
+
+
+def simple_summary(messages: DataFrame, thread: str, role: str, text: str, short: int = 50) -> DataFrame:
+    """(thread, summary) without a model: how many short messages of the user there were."""
+    n = F.count_if((F.col(role) == "user") & (F.length(text) > 0) & (F.length(text) < short))
+    rows = messages.groupBy(thread).agg(n.alias("n"))
+    return rows.select(thread, F.when(F.col("n") > 0, F.concat(F.lit("讨论过 "), F.col("n").cast("string"), F.lit(" 个话题"))).otherwise("对话历史已压缩").alias("summary"))
+
+
+def compacted(messages: DataFrame, summaries: DataFrame, thread: str, seq: str, role: str, text: str, max_tokens: int, share: float = 0.8, keep: int = 10) -> DataFrame:
+    """Threads within ``share`` of the budget as they are; the others as their system messages, a message with their summary (thread, summary; none without one), and the last ``keep``."""
+    due = needs_compaction(messages, thread, text, max_tokens, share).select(thread).distinct()
+    same = messages.join(due, thread, "left_anti").select(thread, F.col(seq).cast("double").alias(seq), role, text)
+    some = compact(messages.join(due, thread, "left_semi"), thread, seq, role, keep).select(thread, F.col(seq).cast("double").alias(seq), role, text)
+    first = some.where(F.col(role) != "system").groupBy(thread).agg(F.min(seq).alias("_first"))
+    note = summaries.join(due, thread, "left_semi").join(first, thread, "left").where("summary <> ''")
+    note = note.select(thread, (F.coalesce("_first", F.lit(0.0)) - 0.5).alias(seq), F.lit("system").alias(role), F.col("summary").alias(text))
+    return same.unionByName(some).unionByName(note)
+
+
+def layer_tokens(parts: DataFrame, key: str, layer: str, text: str) -> DataFrame:
+    """(key, layer, tokens): one and a half for each character, added up in a layer and then cut to a whole number."""
+    return parts.groupBy(key, layer).agg(F.floor(F.coalesce(F.sum(F.length(text)), F.lit(0)) * 1.5).cast("long").alias("tokens"))

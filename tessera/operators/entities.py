@@ -204,8 +204,8 @@ def strongest(mentions: DataFrame, key: str, k: int = 20) -> DataFrame:
 
 
 def inverted_index(mentions: DataFrame, name: str = "name", kind: str = "type", doc: str = "doc_id", order: str = "ord") -> DataFrame:
-    """(name, type, n_docs, docs): the type seen first, and the distinct documents in order."""
-    return mentions.groupBy(name).agg(F.min_by(kind, order).alias("type"), F.sort_array(F.collect_set(doc)).alias("docs")).withColumn("n_docs", F.size("docs").cast("long"))
+    """(name, type, n_docs, first_doc): the type seen first (of equals the least), and how many distinct documents; these themselves are rows (``library.postings``)."""
+    return mentions.groupBy(name).agg(F.min(F.struct(order, kind))[kind].alias("type"), F.count_distinct(doc).alias("n_docs"), F.min(doc).alias("first_doc"))
 
 
 def exact_alignment(mentions: DataFrame, mention: Column, text: Column, at: Column) -> DataFrame:

@@ -130,3 +130,8 @@ def research_report(ranked: DataFrame, topics: DataFrame, key: str = "query_id",
     lines = ranked.where(F.col("rank") <= most).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     return topics.join(lines, key, "left").select(key, F.concat_ws("\n\n", F.concat(F.lit("# "), "topic", F.lit(" 研究报告")), body).alias("report"))
+
+
+def by_category(hits: DataFrame, n: int, by: list[str] = ("query_id", "category")) -> DataFrame:
+    """Several categories searched at once: each keeps its own results, until it has ``n``; the union, keyed by category."""
+    return early_stop(hits, n, by)

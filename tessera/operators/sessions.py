@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
-    """One row a key, the one of the highest version."""
+    """One row a key, the one of the highest version; of equal versions the last one in the order of the other columns."""
     both = old.unionByName(new)
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(version)))
+    rest = [F.desc(f.name) for f in both.schema if f.name not in key and not f.dataType.simpleString().startswith(("map", "variant"))]
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(version), *rest))
     return both.withColumn("rn", rank).where("rn = 1").drop("rn")
 
 
@@ -28,7 +29,7 @@ def session_name(thread: Column) -> Column:
 
 def restore_sessions(messages: DataFrame, thread: str, seq: str, payload: str) -> DataFrame:
     """One row a thread: checkpoints, first and last payload, twice the checkpoints as the message count."""
-    rows = messages.groupBy(thread).agg(F.count("*").alias("checkpoints"), F.min_by(payload, seq).alias("first"), F.max_by(payload, seq).alias("last"))
+    rows = messages.groupBy(thread).agg(F.count("*").alias("checkpoints"), F.min_by(payload, F.struct(seq, payload)).alias("first"), F.max_by(payload, F.struct(seq, payload)).alias("last"))
     return rows.withColumn("message_count", F.col("checkpoints") * 2)
 
 
@@ -38,7 +39,7 @@ def last_n(messages: DataFrame, thread: str, seq: str, n: int) -> DataFrame:
 
 
 def last_of_role(messages: DataFrame, thread: str, seq: str, role: str, text: str, wanted: str) -> DataFrame:
-    return messages.where(F.col(role) == wanted).groupBy(thread).agg(F.max_by(text, seq).alias(text))
+    return messages.where(F.col(role) == wanted).groupBy(thread).agg(F.max_by(text, F.struct(seq, text)).alias(text))
 
 
 def rolling_mean(events: DataFrame, order: list[str], value: str, n: int = 100, by: list[str] | None = None) -> DataFrame:
@@ -92,27 +93,42 @@ def anchored_quota(calls: DataFrame, by: str, ts: str, limit: int, seconds: floa
     """Adds ``accepted``: windows start with the first call after the one before has ended.
 
     Whether a call starts a window depends on where the last one started, so it is a walk over the
-    calls of a key in order. The walk takes whole days of a key as groups would not do (a window may
-    span them), but only the window starts have to be found one after the other: they are looked up
-    by search in the key's sorted times, one step a window.
+    calls of a key in order. Spark sorts them (and spills); the walk goes through Arrow batches and
+    carries the start of the open window and its calls so far, whatever the number of calls of a key.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     order = order or [ts]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema), "accepted boolean"])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        at = pdf[ts].astype("datetime64[ns]").astype("int64").to_numpy()
-        accepted, i, span = np.zeros(len(at), bool), 0, int(seconds * 1_000_000_000)
-        while i < len(at):
-            end = int(np.searchsorted(at, at[i] + span, "right"))  # a call at the very end still counts to the window
-            accepted[i : min(end, i + limit)] = True
-            i = end
-        return pdf.assign(accepted=accepted)
-
-    return calls.groupBy(by).applyInPandas(walk, schema)
+    span = int(seconds * 1_000_000)
+    out = calls.schema.add("accepted", "boolean")
+    schema, key_at, us = to_arrow_schema(out), calls.columns.index(by), "_us"
+
+    def walk(batches):
+        key, until, used = None, None, 0
+        for batch in batches:
+            keys, at = batch.column(key_at), batch.column(batch.num_columns - 1).to_numpy()
+            codes = np.asarray(keys.dictionary_encode(null_encoding="encode").indices)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(at)]
+            accepted = np.zeros(len(at), bool)
+            for low, high in zip(edges, edges[1:], strict=False):
+                own = (keys[low].as_py(),) if high > low else key
+                if own != key:
+                    key, until, used = own, None, 0
+                i = low
+                while i < high:
+                    if until is None or at[i] > until:
+                        until, used = at[i] + span, 0
+                    end = i + int(np.searchsorted(at[i:high], until, "right"))  # a call at the very end still counts to the window
+                    free = max(0, limit - used)
+                    accepted[i : min(end, i + free)] = True
+                    used += end - i
+                    i = end
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:-1], schema, strict=False)), pa.array(accepted)], schema=schema)
+
+    rows = calls.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp")))
+    return rows.repartition(by).sortWithinPartitions(by, us, *order).mapInArrow(walk, out)
 
 
 def ttl_cache(calls: DataFrame, by: str, ts: str, query: str, seconds: int, order: list[str]) -> DataFrame:
@@ -144,3 +160,21 @@ def session_list(sessions: DataFrame, by: str, key: str, count: str, seen: str,
     rows = top.join(sessions.groupBy(by).agg(F.count("*").alias("_n")), by)
     more = F.when(F.col("_n") > most, F.format_string("... 还有 %d 个会话", F.col("_n") - most))
     return rows.select(by, F.concat_ws("\n", F.transform("_lines", lambda x: x["line"]), more).alias("listing"))
+
+
+#: The roles of stored messages, by the kind of message.
+STORED_ROLE = {"user": "human", "human": "human", "assistant": "ai", "ai": "ai", "tool": "tool"}
+
+
+def stored_role(role: Column) -> Column:
+    """The role under which a message is stored; NULL for kinds that are not."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in STORED_ROLE.items() for x in pair)), role)
+
+
+def appended(messages: DataFrame, more: DataFrame, thread: str, seq: str, at: Column) -> DataFrame:
+    """``messages`` and ``more`` (thread, seq, role, content, tool_name), numbered on behind the thread's last, with the time ``at``; messages of kinds that are not stored go."""
+    last = messages.groupBy(thread).agg(F.max(seq).alias("_last"))
+    rows = more.withColumn("role", stored_role(F.col("role"))).where("role IS NOT NULL").join(last, thread, "left")
+    place = F.row_number().over(W.partitionBy(thread).orderBy(seq, "role", "content"))
+    rows = rows.withColumns({seq: (F.coalesce(F.col("_last") + 1, F.lit(0)) + place - 1).cast(messages.schema[seq].dataType), "timestamp": at})
+    return messages.unionByName(rows.select(*messages.columns))

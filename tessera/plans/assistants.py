@@ -11,27 +11,15 @@ from ..operators import memory, messages, sessions
 from .base import query, table
 from .hits import HITS, hits
 
-NORMAL = "regexp_replace(lower(left(text, 4)), '[^\\p{L}\\p{N}_]', '', 'g')"
-FACT = f"replace(replace({NORMAL}, ':', ''), ' ', '')"
+FACT = "text"
+for _prefix in T.FACT_PREFIXES:
+    FACT = f"replace({FACT}, '{_prefix}', '')"
+FACT = f"regexp_replace(lower({FACT}), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
 
 
-@query(f"""WITH f AS (SELECT conv_id, turn, left(text, 4) AS fact, {FACT} AS n FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+@query(f"""WITH f AS (SELECT conv_id, turn, text AS fact, {FACT} AS n FROM conversations WHERE role = 'user' AND text IS NOT NULL)
 SELECT conv_id, turn, fact FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY conv_id, turn) AS rn FROM f WHERE n NOT IN (SELECT {FACT} FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)) WHERE rn = 1""")
 def new_facts(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(4)).alias("fact"))
-    found, held = rows.where("role = 'user'").drop("role"), rows.where("role = 'assistant'").select("fact")
-    return memory.new_facts(found, held, "fact", ["conv_id", "turn"])
-
-
-WHOLE_FACT = "text"
-for _prefix in T.FACT_PREFIXES:
-    WHOLE_FACT = f"replace({WHOLE_FACT}, '{_prefix}', '')"
-WHOLE_FACT = f"regexp_replace(lower({WHOLE_FACT}), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
-
-
-@query(f"""WITH f AS (SELECT conv_id, turn, text AS fact, {WHOLE_FACT} AS n FROM conversations WHERE role = 'user' AND text IS NOT NULL)
-SELECT conv_id, turn, fact FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY conv_id, turn) AS rn FROM f WHERE n NOT IN (SELECT {WHOLE_FACT} FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)) WHERE rn = 1""")
-def new_facts_whole(spark, sf):
     """The whole message is the fact."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("fact"))
     found, held = rows.where("role = 'user'").drop("role"), rows.where("role = 'assistant'").select("fact")
@@ -94,18 +82,9 @@ def day_labels(spark, sf):
     return table(spark, sf, "events").select("event_id", T.day_labels(F.col("ts")).alias("d")).select("event_id", "d.*")
 
 
-@query("SELECT item_id, 'cat:cs.CL AND all:' || left(text, 20) AS papers, left(text, 20) || ' language:python' AS code, 'web_' || (item_id % 7) || '_' || item_id AS thread, CASE WHEN item_id % 150 > 100 THEN 100 WHEN item_id % 150 < 1 THEN 1 ELSE item_id % 150 END AS n FROM benchmark")
-def query_rewrites(spark, sf):
-    return _rewrites(spark, sf, F.left("text", F.lit(20)))
-
-
 @query("SELECT item_id, 'cat:cs.CL AND all:' || text AS papers, text || ' language:python' AS code, 'web_' || (item_id % 7) || '_' || item_id AS thread, CASE WHEN item_id % 150 > 100 THEN 100 WHEN item_id % 150 < 1 THEN 1 ELSE item_id % 150 END AS n FROM benchmark")
-def query_rewrites_whole(spark, sf):
-    return _rewrites(spark, sf, F.col("text"))
-
-
-def _rewrites(spark, sf, q):
-    i = F.col("item_id")
+def query_rewrites(spark, sf):
+    q, i = F.col("text"), F.col("item_id")
     thread = T.thread_id(F.lit("web"), (i % 7).cast("string"), i.cast("string"))
     n = F.greatest(F.lit(1).cast("long"), F.least(F.lit(100).cast("long"), i % 150))
     return table(spark, sf, "benchmark").select("item_id", T.scoped_query(q, category=F.lit("cs.CL")).alias("papers"), T.scoped_query(q, language=F.lit("python")).alias("code"), thread.alias("thread"), n.alias("n"))
@@ -122,23 +101,13 @@ def research_reports(spark, sf):
     return H.research_report(ranked, topics)
 
 
-@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rn FROM lineitem WHERE l_partkey % 10 = 3)
-SELECT l_partkey, max(CASE WHEN rn = 1 THEN l_returnflag END) AS type, count(DISTINCT l_orderkey) AS n_docs, coalesce(max(CASE WHEN rn = 1 AND l_linenumber > 2 THEN l_linestatus END), 'unknown') AS status, coalesce(max(CASE WHEN rn = 1 AND l_linenumber > 2 THEN 1 - l_discount END), 1) AS similarity FROM m GROUP BY l_partkey""")
-def verification_report(spark, sf):
-    return _report(spark, sf, table(spark, sf, "part").where("p_partkey % 10 = 3"))
-
-
 @query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rn FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part))
 SELECT l_partkey, max(CASE WHEN rn = 1 THEN l_returnflag END) AS type, count(DISTINCT l_orderkey) AS n_docs, coalesce(max(CASE WHEN rn = 1 AND l_linenumber > 2 THEN l_linestatus END), 'unknown') AS status, coalesce(max(CASE WHEN rn = 1 AND l_linenumber > 2 THEN 1 - l_discount END), 1) AS similarity FROM m GROUP BY l_partkey""")
-def verification_report_whole(spark, sf):
-    return _report(spark, sf, table(spark, sf, "part"))
-
-
-def _report(spark, sf, parts):
+def verification_report(spark, sf):
     """Lines stand for mentions of parts; the first two of an order are not aligned."""
     aligned = lambda c: F.when(F.col("l_linenumber") > 2, c)
     rows = table(spark, sf, "lineitem").withColumns({"status": aligned(F.col("l_linestatus")), "similarity": aligned(1 - F.col("l_discount"))})
-    asked = parts.select(F.col("p_partkey").alias("l_partkey"))
+    asked = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"))
     return G.entity_report(rows, asked, "l_partkey", "l_returnflag", "l_orderkey", ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
 
 

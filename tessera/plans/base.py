@@ -24,3 +24,14 @@ def query(sql: str | None = None, name: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or where that is unset (one machine) a temporary one."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='tessera-')}/{label}-{uuid.uuid4().hex}"

@@ -20,21 +20,22 @@ def _frequencies(spark, sf):
 
 
 def dictionary(spark, sf):
-    """(term, type): the 200 most frequent of the words in 3 to 50 documents, as the SQL twins beside it fix it."""
-    return _frequencies(spark, sf).where("df BETWEEN 3 AND 50").orderBy(F.desc("df"), "term").limit(200).select("term", "type")
-
-
-def whole_dictionary(spark, sf):
     """(term, type): every word in at least 3 documents."""
     return _frequencies(spark, sf).where("df >= 3").select("term", "type")
 
 
 DICT = """w AS (SELECT DISTINCT doc_id, lang, term FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[a-z]{8,}')) AS term FROM documents)),
-c AS (SELECT term, count(*) AS df FROM w GROUP BY term HAVING count(*) BETWEEN 3 AND 50 ORDER BY df DESC, term LIMIT 200),
-d AS (SELECT term, lang AS type FROM (SELECT term, lang, row_number() OVER (PARTITION BY term ORDER BY count(*) DESC, lang) AS rn FROM w JOIN c USING (term) GROUP BY term, lang) WHERE rn = 1)"""
-WHOLE_DICT = """w AS (SELECT DISTINCT doc_id, lang, term FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[a-z]{8,}')) AS term FROM documents)),
 c AS (SELECT term FROM w GROUP BY term HAVING count(*) >= 3),
 d AS (SELECT term, lang AS type FROM (SELECT term, lang, row_number() OVER (PARTITION BY term ORDER BY count(*) DESC, lang) AS rn FROM w JOIN c USING (term) GROUP BY term, lang) WHERE rn = 1)"""
+
+
+def contained(table: str, key: str, text: str = "text") -> str:
+    """SQL of ``held`` (key, term, type): a term lies within one run of letters, so runs are looked into once, by the terms' first eight letters."""
+    return f"""o AS (SELECT DISTINCT {key}, run FROM (SELECT {key}, unnest(regexp_extract_all({text}, '[a-z]{{8,}}')) AS run FROM {table})),
+g AS (SELECT DISTINCT run, substr(run, CAST(i AS INT), 8) AS front FROM (SELECT run, unnest(range(1, length(run) - 6)) AS i FROM (SELECT DISTINCT run FROM o))),
+m AS (SELECT run, term, type FROM g JOIN d ON front = left(term, 8) AND contains(run, term)), held AS (SELECT DISTINCT {key}, term, type FROM o JOIN m USING (run))"""
+
+
 WORDS = "u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{8,}')) AS term FROM documents)"
 
 
@@ -54,46 +55,20 @@ def mention_counts(spark, sf):
     return found.groupBy("term").agg(F.min("type").alias("type"), F.sum("n").alias("n"), F.count("*").alias("n_docs"))
 
 
-@query(f"WITH {DICT} SELECT item_id, term, type FROM benchmark JOIN d ON contains(text, term)")
+@query(f"WITH {DICT}, {contained('benchmark', 'item_id')} SELECT item_id, term, type FROM held")
 def query_entities(spark, sf):
     return E.contained_terms(table(spark, sf, "benchmark"), dictionary(spark, sf), "item_id", "text")
 
 
-@query(f"WITH {DICT} SELECT doc_id, count(*) AS n FROM documents JOIN d ON contains(text, term) GROUP BY doc_id")
+@query(f"WITH {DICT}, {contained('documents', 'doc_id')} SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id")
 def terms_per_document(spark, sf):
     return E.contained_terms(table(spark, sf, "documents"), dictionary(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {WHOLE_DICT} SELECT type, count(*) AS n FROM d GROUP BY type")
-def dictionary_stats_whole(spark, sf):
-    return whole_dictionary(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {WHOLE_DICT}, {WORDS} SELECT doc_id, term, type, count(*) AS n FROM u JOIN d USING (term) GROUP BY ALL")
-def dictionary_candidates_whole(spark, sf):
-    return E.word_mentions(table(spark, sf, "documents"), whole_dictionary(spark, sf), "doc_id", "text").select("doc_id", "term", "type", "n")
-
-
-@query(f"WITH {WHOLE_DICT}, {WORDS} SELECT term, any_value(type) AS type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM u JOIN d USING (term) GROUP BY term")
-def mention_counts_whole(spark, sf):
-    found = E.word_mentions(table(spark, sf, "documents"), whole_dictionary(spark, sf), "doc_id", "text")
-    return found.groupBy("term").agg(F.min("type").alias("type"), F.sum("n").alias("n"), F.count("*").alias("n_docs"))
-
-
-@query()
-def query_entities_whole(spark, sf):
-    return E.contained_terms(table(spark, sf, "benchmark"), whole_dictionary(spark, sf), "item_id", "text")
-
-
-@query()
-def terms_per_document_whole(spark, sf):
-    return E.contained_terms(table(spark, sf, "documents"), whole_dictionary(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query()
 def mentions_resolved(spark, sf):
     """Greedy resolution of overlaps: the longest term claims its characters first."""
-    return E.resolve(E.candidates(table(spark, sf, "documents"), whole_dictionary(spark, sf), "doc_id", "text"), "doc_id")
+    return E.resolve(E.candidates(table(spark, sf, "documents"), dictionary(spark, sf), "doc_id", "text"), "doc_id")
 
 
 @query("SELECT doc_id, CAST(i // 1800 AS INT) AS chunk_index, md5(substr(text, CAST(i + 1 AS INT), 2000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, length(text), 1800)) AS i FROM documents)")
@@ -170,7 +145,7 @@ def highlight_context(spark, sf):
 @query("SELECT l_partkey AS name, arg_min(p_brand, l_orderkey) AS type, count(DISTINCT l_orderkey) AS n_docs, min(l_orderkey) AS first_doc FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey")
 def inverted_index(spark, sf):
     rows = mentions(spark, sf)
-    return E.inverted_index(rows, "name", "type", "doc_id", "doc_id").select("name", "type", "n_docs", F.element_at("docs", 1).alias("first_doc"))
+    return E.inverted_index(rows, "name", "type", "doc_id", "doc_id").select("name", "type", "n_docs", "first_doc")
 
 
 def mentions(spark, sf):
@@ -198,27 +173,20 @@ def best_mention_per_name(spark, sf):
     return E.best_per_name(rows, ["doc_id", "name"], ["ord"])
 
 
-@query(f"WITH {DICT}, m AS (SELECT term, type, 1 AS priority FROM d UNION ALL SELECT term, 'private', 2 FROM (SELECT term FROM d ORDER BY term LIMIT 50)) SELECT term, arg_max(type, priority) AS type FROM m GROUP BY term")
+@query(f"WITH {DICT}, o AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{{8,}}')) AS term FROM benchmark)), m AS (SELECT term, type, 1 AS priority FROM d UNION ALL SELECT term, 'private', 2 FROM o) SELECT term, arg_max(type, priority) AS type FROM m GROUP BY term")
 def dictionary_merge(spark, sf):
-    base = dictionary(spark, sf)
-    own = base.orderBy("term").limit(50).select("term", F.lit("private").alias("type"))
-    both = base.select(F.lit("all").alias("dict_name"), "term", "type", F.lit(1).alias("priority")).unionByName(own.select(F.lit("own").alias("dict_name"), "term", "type", F.lit(2).alias("priority")))
-    return E.merge_dictionaries(both)
-
-
-@query(f"WITH {WHOLE_DICT}, o AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{{8,}}')) AS term FROM benchmark)), m AS (SELECT term, type, 1 AS priority FROM d UNION ALL SELECT term, 'private', 2 FROM o) SELECT term, arg_max(type, priority) AS type FROM m GROUP BY term")
-def dictionary_merge_whole(spark, sf):
-    """The whole dictionary under one of all words of 8 letters or more in the benchmark."""
+    """The dictionary under one of all words of 8 letters or more in the benchmark."""
     words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{8,})"), F.lit(1))).alias("term")).distinct()
-    base = whole_dictionary(spark, sf).select(F.lit("all").alias("dict_name"), "term", "type", F.lit(1).alias("priority"))
+    base = dictionary(spark, sf).select(F.lit("all").alias("dict_name"), "term", "type", F.lit(1).alias("priority"))
     return E.merge_dictionaries(base.unionByName(words.select(F.lit("own").alias("dict_name"), "term", F.lit("private").alias("type"), F.lit(2).alias("priority"))))
 
 
-@query()
+@query(f"""WITH {DICT}, s AS (SELECT doc_id || '_' || (i // 1800) AS chunk_id, substr(text, CAST(i + 1 AS INT), 2000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 1800)) AS i FROM documents)), {contained('s', 'chunk_id', 'chunk')},
+r AS (SELECT chunk_id, count(*) / (SELECT count(*) FROM d) AS score FROM held GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 10) SELECT chunk_id, round(score, 6) AS score FROM r""")
 def overlap_search(spark, sf):
     """Chunks by the share of the dictionary's terms that they hold."""
-    terms = whole_dictionary(spark, sf)
+    terms = dictionary(spark, sf)
     chunks = C.chunk_documents(table(spark, sf, "documents"), kind="windows")
     found = E.contained_terms(chunks, terms, "chunk_id", "chunk").groupBy("chunk_id").agg(F.count_distinct("term").alias("held"))
     found = found.crossJoin(F.broadcast(terms.agg(F.count("*").alias("n")))).select("chunk_id", (F.col("held") / F.col("n")).alias("score"))  # one row
-    return found.orderBy(F.desc("score"), "chunk_id").limit(10)
+    return found.orderBy(F.desc("score"), "chunk_id").limit(10).withColumn("score", F.round("score", 6))

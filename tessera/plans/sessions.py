@@ -56,7 +56,8 @@ def quota_epoch_windows(spark, sf):
     return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "calls", F.col("accepted").cast("long").alias("accepted"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT event_type, min(ts) AS s FROM events GROUP BY event_type UNION ALL SELECT w.event_type, min(e.ts) FROM w JOIN events e ON e.event_type = w.event_type AND e.ts > w.s + INTERVAL 3600 SECOND GROUP BY w.event_type)
+SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type, s ORDER BY ts, event_id) <= 500 AS accepted FROM (SELECT e.event_id, e.event_type, e.ts, w.s FROM events e ASOF JOIN w ON e.event_type = w.event_type AND e.ts >= w.s)""")
 def quota_anchored(spark, sf):
     calls = table(spark, sf, "events").select("event_id", "event_type", "ts")
     return S.anchored_quota(calls, "event_type", "ts", 500, 3600, ["ts", "event_id"]).select("event_id", "event_type", "accepted")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import assistants, base, context, extraction, graph, hits, rules, sessions, text, vectors
+from .plans import assistants, base, context, extraction, graph, hits, library, rules, sessions, text, vectors
 
-AREAS = (text, vectors, extraction, graph, hits, context, sessions, rules, assistants)
+AREAS = (text, vectors, extraction, graph, hits, context, sessions, rules, assistants, library)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

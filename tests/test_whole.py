@@ -34,12 +34,12 @@ def corpus(spark, tmp_path_factory):
 def test_dictionary_keeps_every_term(spark, corpus):
     sf, texts, words, terms = corpus
     assert len(terms) == 302
-    assert sum(r.n for r in run(spark, "dictionary_stats_whole", sf)) == 302
-    assert {(r.doc_id, r.term): r.n for r in run(spark, "dictionary_candidates_whole", sf)} == {(d, w): n for d, own in words.items() for w, n in Counter(own).items()}
-    assert {r.term: r.n_docs for r in run(spark, "mention_counts_whole", sf)}["everywhere"] == 60
-    assert {r.doc_id: r.n for r in run(spark, "terms_per_document_whole", sf)} == {d: sum(w in t for w in terms) for d, t in texts.items()}
-    assert {(r.item_id, r.term) for r in run(spark, "query_entities_whole", sf)} == {(i, w) for i, t in ((1, "everywhere wordhaaa"), (2, "overeverywheres")) for w in terms if w in t}
-    assert {r.term: r.type for r in run(spark, "dictionary_merge_whole", sf)} == {w: "en" for w in terms} | dict.fromkeys(("everywhere", "wordhaaa", "overeverywheres"), "private")
+    assert sum(r.n for r in run(spark, "dictionary_stats", sf)) == 302
+    assert {(r.doc_id, r.term): r.n for r in run(spark, "dictionary_candidates", sf)} == {(d, w): n for d, own in words.items() for w, n in Counter(own).items()}
+    assert {r.term: r.n_docs for r in run(spark, "mention_counts", sf)}["everywhere"] == 60
+    assert {r.doc_id: r.n for r in run(spark, "terms_per_document", sf)} == {d: sum(w in t for w in terms) for d, t in texts.items()}
+    assert {(r.item_id, r.term) for r in run(spark, "query_entities", sf)} == {(i, w) for i, t in ((1, "everywhere wordhaaa"), (2, "overeverywheres")) for w in terms if w in t}
+    assert {r.term: r.type for r in run(spark, "dictionary_merge", sf)} == {w: "en" for w in terms} | dict.fromkeys(("everywhere", "wordhaaa", "overeverywheres"), "private")
 
 
 def test_mentions_and_overlap_use_every_term(spark, corpus):
@@ -67,9 +67,9 @@ def test_reports_facts_and_rewrites_are_whole(spark, tmp_path):
     spark.createDataFrame([(k,) for k in range(1, 21)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     lines = [(k, k * 100, 1, 1, 1.0, "R", "O", 0.1) for k in range(1, 21)]
     spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long, l_extendedprice double, l_returnflag string, l_linestatus string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert sorted((r.conv_id, r.turn) for r in run(spark, "new_facts_whole", tmp_path)) == [(1, 0), (1, 2)]
-    assert [(r.papers, r.code) for r in run(spark, "query_rewrites_whole", tmp_path)] == [(f"cat:cs.CL AND all:{long}", f"{long} language:python")]
-    assert sorted(r.l_partkey for r in run(spark, "verification_report_whole", tmp_path)) == list(range(1, 21))
+    assert sorted((r.conv_id, r.turn) for r in run(spark, "new_facts", tmp_path)) == [(1, 0), (1, 2)]
+    assert [(r.papers, r.code) for r in run(spark, "query_rewrites", tmp_path)] == [(f"cat:cs.CL AND all:{long}", f"{long} language:python")]
+    assert sorted(r.l_partkey for r in run(spark, "verification_report", tmp_path)) == list(range(1, 21))
 
 
 @pytest.mark.parametrize("by", [[], ["label"]])
