@@ -6,6 +6,10 @@ of the kept fingerprints meets every shared window. A hit is then extended word
 sides, on the words themselves, and counts if it reaches ``WINDOW`` words. Items with fewer words
 are a single window; for their lengths (below ``WINDOW``) every run of that many words is looked up.
 
+Fingerprints of items that agree in their words around it are one *place*, with the list of those
+items; documents meet places, so a passage that many documents and many items share is compared once
+a document. Documents with the same places share one list of item ids.
+
 While the items have at most ``LIMIT`` fingerprints (8 bytes each), tasks drop document fingerprints
 that no item has as they scan. Beyond that, a semi-join of fingerprints comes first and tasks get
 the fingerprints of each document with its row.
@@ -159,27 +163,29 @@ def scan(docs: DataFrame, short: list[int], keep: np.ndarray | None, wanted: str
 
 
 def spans(pairs: DataFrame) -> DataFrame:
-    """(rid, item, start, end) of the extended hits among joined fingerprints."""
+    """(rid, place, start, end) of the extended hits among joined fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rid, item, pos, i, a, j, b, winnowed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rid, place, pos, i, a, j, b, winnowed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hit = reached(a, i, b, j, winnowed)
                 if hit:
-                    out.append((rid, item, pos - hit[0], pos - hit[0] + hit[1]))
+                    out.append((rid, place, pos - hit[0], pos - hit[0] + hit[1]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["rid", "item", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["rid", "place", "start", "end"])
 
-    return pairs.select("rid", "item", "pos", "off", "words", "item_off", "item_words", "winnowed").mapInArrow(run, "rid long, item string, start int, end int")
+    return pairs.select("rid", "place", "pos", "off", "words", "item_off", "item_words", "winnowed").mapInArrow(run, "rid long, place long, start int, end int")
 
 
-def hits(docs: DataFrame, items: DataFrame, limit: int = LIMIT, also: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The scanned rows (rid, doc_id, n_words) and the hit spans (rid, item, start, end) of ``docs`` (rid, doc_id, text)."""
-    prints = save(item_fingerprints(items), "items")
+def hits(docs: DataFrame, items: DataFrame, limit: int = LIMIT, also: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scanned rows (rid, doc_id, n_words) of ``docs`` (rid, doc_id, text), their hit spans (rid, place, start, end), and the items of the places (place, items)."""
+    prints = item_fingerprints(items).groupBy("hash", "winnowed", "off", "words").agg(F.collect_set("item").alias("items"))
+    prints = save(prints.withColumn("place", F.monotonically_increasing_id()), "items")
     short = sorted(r[0] for r in prints.where("not winnowed").select(F.size("words")).distinct().collect())  # below WINDOW
     keys = prints.select("hash").distinct()
     if keys.limit(limit + 1).count() <= limit:
+        # 8 MB at most; the session broadcasts what tasks carry once it is over 1 MB
         keep = np.sort(np.array([r[0] for r in keys.collect()], "i8").view("u8"))
         scanned = scan(docs, short, keep, also=also)
     else:
@@ -188,18 +194,21 @@ def hits(docs: DataFrame, items: DataFrame, limit: int = LIMIT, also: str | None
         wanted = all_of.join(keys, "hash", "left_semi").groupBy("rid").agg(F.collect_list("hash").alias("wanted"))
         scanned = scan(docs.join(wanted, "rid", "left"), short, None, "wanted", also)
     scanned = save(scanned, "scanned")
-    other = prints.select("hash", "item", F.col("off").alias("item_off"), F.col("words").alias("item_words"), "winnowed")
+    other = prints.select("hash", "place", F.col("off").alias("item_off"), F.col("words").alias("item_words"), "winnowed")
     pairs = scanned.select("rid", F.inline("found")).join(other, "hash")
-    return scanned.drop("found"), spans(pairs)
+    return scanned.drop("found"), spans(pairs), prints.select("place", "items")
 
 
 def mark_rows(docs: DataFrame, items: DataFrame, limit: int = LIMIT, also: str | None = None) -> DataFrame:
     """rid, doc_id, n_words, n_hit, items (sorted ids), contaminated of ``docs`` (rid, doc_id, text)."""
-    scanned, found = hits(docs, items, limit, also)
+    scanned, found, places = hits(docs, items, limit, also)
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
-    by_doc = found.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item").alias("items"))
-    by_doc = by_doc.select("rid", F.size(covered).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
-    rows = scanned.join(by_doc, "rid", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    by_doc = found.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.sort_array(F.collect_set("place")).alias("places"))
+    by_doc = save(by_doc.select("rid", F.size(covered).cast("long").alias("n_hit"), "places"), "hits")
+    lists = by_doc.select("places").distinct().select("places", F.explode("places").alias("place")).join(places, "place").select("places", F.explode("items").alias("item"))
+    lists = lists.groupBy("places").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    rows = scanned.join(by_doc.join(lists, "places").drop("places"), "rid", "left")
+    rows = rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

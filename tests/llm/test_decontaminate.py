@@ -64,3 +64,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in dc.mark(d, none).collect()] == [(1, 2, 0, 0)]
     assert dc.mark(d.where("false"), none).collect() == []
+
+
+def test_items_that_share_a_passage_are_met_once(spark):
+    passage = " ".join(f"word{k}" for k in range(30))
+    items = spark.createDataFrame([(f"i{k:03d}", passage) for k in range(200)] + [("other", passage + " end")], "item_id string, text string")
+    docs = spark.createDataFrame([(k, f"start {passage} stop") for k in range(50)] + [(99, "clean text")], "doc_id long, text string")
+    rows = docs.selectExpr("doc_id AS rid", "doc_id", "text")
+    _, found, places = dc.hits(rows, items)
+    assert found.count() < 50 * 40 and places.count() < 40
+    want = ",".join([*(f"i{k:03d}" for k in range(200)), "other"])
+    got = {r.doc_id: r for r in dc.mark(docs, items).collect()}
+    assert all(got[k].n_items == 201 and got[k].items_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[k].n_hit == 30 for k in range(50))
+    assert got[99].n_items == 0 and not got[99].contaminated
