@@ -1,16 +1,21 @@
 """Chunkers: fixed windows, sentences, paragraphs; and where chunks lie in their text.
 
-The packing rules are folds over arrays (``aggregate``), so they stay in the JVM.
+Packing goes once through the pieces of a text in Arrow batches; a chunk is joined when it closes.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, strip
+from ..functions.text import clean_text
 
-SENTENCE_END = r"(?<=[。！？.!?])\s+"
+#: Where sentences and paragraphs part.
+_SENTENCE, _PARAGRAPH = re.compile(r"(?<=[。！？.!?])\s+"), re.compile(r"\n\s*\n")
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
@@ -19,67 +24,96 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def _strings(*items) -> Column:
-    return F.array(*items).cast("array<string>")
+class _Open:
+    """The pieces of the chunk that is being filled, and its size."""
 
+    def __init__(self, glue: str):
+        self.glue, self.pieces, self.used = glue, [], 0
 
-def sentences(text: Column, size: int, overlap: int) -> Column:
-    """Sentences packed into chunks of up to ``size`` characters; a longer one is cut into windows."""
-    parts = F.filter(F.transform(F.split(text, SENTENCE_END), strip), lambda s: s != "")
-    start = F.struct(_strings().alias("done"), F.lit("").alias("open"))
+    def add(self, piece: str) -> None:
+        self.pieces.append(piece)
+        self.used += len(piece) + len(self.glue)
+
+    def takes(self, piece: str, size: int) -> bool:
+        return self.used + len(piece) + len(self.glue) <= size
+
+    def close(self) -> list[str]:
+        """The chunk, if there is one, with a new one opened."""
+        done = [self.glue.join(self.pieces)] if self.pieces else []
+        self.pieces, self.used = [], 0
+        return done
+
+
+def _pieces(text: str, cut: re.Pattern) -> list[str]:
+    return [p for p in (x.strip() for x in cut.split(text)) if p]
+
+
+def _by_sentence(text: str, size: int, overlap: int) -> Iterator[str]:
+    chunk = _Open("")
+    for s in _pieces(text, _SENTENCE):
+        if not chunk.takes(s, size):
+            yield from chunk.close()
+            if len(s) > size:
+                yield from (s[i : i + size] for i in range(0, len(s), size - overlap))
+                continue
+        chunk.add(s)
+    yield from chunk.close()
 
-    def close(acc):
-        return F.when(acc["open"] != "", F.concat(acc["done"], _strings(acc["open"]))).otherwise(acc["done"])
 
-    def step(acc, s):
-        full = F.length(acc["open"]) + F.length(s) > size
-        long = F.length(s) > size
-        return F.struct(
-            F.when(full & long, F.concat(close(acc), windows(s, size, overlap))).when(full, close(acc)).otherwise(acc["done"]).alias("done"),
-            F.when(full & long, F.lit("")).when(full, s).otherwise(F.concat(acc["open"], s)).alias("open"),
-        )
+def _last(pieces: list[str], most: int) -> list[str]:
+    """The last pieces whose lengths sum up to ``most`` at most."""
+    first, left = len(pieces), most
+    while first and len(pieces[first - 1]) <= left:
+        first -= 1
+        left -= len(pieces[first])
+    return pieces[first:]
 
-    return F.aggregate(parts, start, step, close)
+
+def _by_paragraph(text: str, size: int, overlap: int) -> Iterator[str]:
+    if len(text) <= size:
+        yield text
+        return
+    chunk = _Open("\n\n")
+    for p in _pieces(text, _PARAGRAPH):
+        if len(p) > size:
+            yield from chunk.close()
+            yield from _by_sentence(p, size, overlap)
+            continue
+        if not chunk.takes(p, size):
+            head = chunk.glue.join(_last(chunk.pieces, overlap)) if overlap > 0 else ""
+            yield from chunk.close()
+            # a kept tail is one piece from here on, as the overlap of the next full chunk sees it
+            if head:
+                chunk.add(head)
+            chunk.add(p)
+            chunk.used -= len(chunk.glue)  # the size of a chunk that opened like this counts no glue behind it
+            continue
+        chunk.add(p)
+    yield from chunk.close()
+
+
+def _packed(text: Column, rule, size: int, overlap: int) -> Column:
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else list(rule(t, size, overlap)))
+
+    return pack(text)
+
+
+def sentences(text: Column, size: int, overlap: int) -> Column:
+    """Sentences packed into chunks of up to ``size`` characters; a longer one is cut into windows. NULL stays NULL."""
+    return _packed(text, _by_sentence, size, overlap)
 
 
 def paragraphs(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     """Paragraphs packed into chunks of up to ``size`` characters.
 
     A text that fits is one chunk. The last paragraphs of a full chunk that fit ``overlap`` open the
-    next one. A paragraph over ``size`` ends the open chunk and is packed by sentences.
+    next one. A paragraph over ``size`` ends the open chunk and is packed by sentences. An empty text
+    and NULL have no chunks.
     """
-    clean = clean_text(text)
-    parts = F.filter(F.transform(F.split(clean, r"\n\s*\n"), strip), lambda p: p != "")
-    start = F.struct(_strings().alias("done"), _strings().alias("open"), F.lit(0).alias("used"))
-
-    def close(acc):
-        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], _strings(F.array_join(acc["open"], "\n\n")))).otherwise(acc["done"])
-
-    def tail(open_):
-        """The last paragraphs whose lengths sum up to ``overlap`` at most."""
-        zero = F.struct(_strings().alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("on"))
-
-        def keep(acc, p):
-            fits = acc["on"] & (acc["n"] + F.length(p) <= overlap)
-            return F.struct(F.when(fits, F.concat(_strings(p), acc["kept"])).otherwise(acc["kept"]).alias("kept"), F.when(fits, acc["n"] + F.length(p)).otherwise(acc["n"]).alias("n"), fits.alias("on"))
-
-        return F.aggregate(F.reverse(open_), zero, keep, lambda a: a["kept"])
-
-    def step(acc, p):
-        long = F.length(p) > size
-        full = acc["used"] + F.length(p) + 2 > size
-        kept = tail(acc["open"]) if overlap > 0 else _strings()
-        joined = F.array_join(kept, "\n\n")
-        # a kept tail is one piece from here on, as the overlap of the next full chunk sees it
-        opened = F.when(joined != "", _strings(joined, p)).otherwise(_strings(p))
-        return F.struct(
-            F.when(long, F.concat(close(acc), sentences(p, size, overlap))).when(full, close(acc)).otherwise(acc["done"]).alias("done"),
-            F.when(long, _strings()).when(full, opened).otherwise(F.concat(acc["open"], _strings(p))).alias("open"),
-            F.when(long, F.lit(0)).when(full, F.when(joined != "", F.length(joined) + 2 + F.length(p)).otherwise(F.length(p))).otherwise(acc["used"] + F.length(p) + 2).alias("used"),
-        )
-
-    packed = F.aggregate(parts, start, step, close)
-    return F.when(F.coalesce(text, F.lit("")) == "", _strings()).when(F.length(clean) <= size, _strings(clean)).otherwise(packed)
+    packed = _packed(clean_text(text), _by_paragraph, size, overlap)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(packed)
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2000, overlap: int = 200, kind: str = "paragraphs") -> DataFrame:
