@@ -28,7 +28,7 @@ def word_mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str,
 
 
 #: Dictionaries of up to this many rows are compiled into one automaton; larger ones are joined by the terms' fronts, with equal results.
-SMALL_DICTIONARY = 5000
+SMALL_DICTIONARY = 100_000
 
 
 def _held(dictionary: DataFrame) -> DataFrame:
