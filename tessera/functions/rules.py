@@ -67,10 +67,18 @@ def route(text: Column, n_attachments: Column) -> Column:
 def first_trigger(query: Column, triggers: DataFrame, queries: DataFrame, key: str, small: int = 10_000) -> DataFrame:
     """(key, skill): the first skill, in order of registration, one of whose triggers the query contains.
 
-    ``triggers``: skill, ord, trigger; a table of at most ``small`` rows, which is checked.
+    ``triggers``: skill, ord, trigger. Up to ``small`` of them travel as one row; more are looked for
+    like the terms of a dictionary, with the same result.
     """
     if triggers.limit(small + 1).count() > small:
-        raise ValueError("too many triggers for one row")
+        from ..operators.entities import contained_terms
+
+        terms = triggers.select("ord", "skill", F.lower("trigger").alias("term"))
+        texts = queries.select(key, F.lower(query).alias("_low"))
+        held = contained_terms(texts, terms.select("term", F.lit("").alias("type")), key, "_low").join(terms, "term").select(key, "ord", "skill")
+        always = terms.where("term = ''").groupBy().agg(F.min(F.struct("ord", "skill")).alias("a")).where("a IS NOT NULL")  # one row at most
+        held = held.unionByName(texts.where("_low IS NOT NULL").crossJoin(F.broadcast(always)).select(key, "a.ord", "a.skill"))
+        return held.groupBy(key).agg(F.min(F.struct("ord", "skill"))["skill"].alias("skill"))
     rows = triggers.agg(F.sort_array(F.collect_list(F.struct("ord", "skill", F.lower("trigger").alias("trigger")))).alias("all"))
     low = F.lower(query)
     found = queries.crossJoin(F.broadcast(rows)).withColumn("hit", F.filter("all", lambda t: F.contains(low, t["trigger"])))

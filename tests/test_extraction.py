@@ -6,7 +6,10 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.functions import markdown as MD
+from tessera.functions import rules as R
 from tessera.operators import entities as E
 from tessera.operators import extraction as EX
 from tessera.operators import graph as G
@@ -140,3 +143,11 @@ def test_markdown_keeps_code_and_open_marks():
     text = "a **b `c_d_e` f** __g__ *h\n```py\nx_y_z **no**\n```\n[l *i*](u_v_w)\n\n***\n\n> q"
     assert MD.render(text, MD.PLAIN) == "a b c_d_e f g *h\nx_y_z **no**\n\nl i (u_v_w)\n\nq"
     assert MD.render(None, MD.PLAIN) is None and MD.render("", MD.DECORATED) == ""
+
+
+@pytest.mark.parametrize("extra", [[], [("any", 9, "")]])
+def test_triggers_by_row_and_by_join(spark, extra):
+    triggers = spark.createDataFrame([("b", 2, "Find"), ("a", 1, "look up"), ("c", 3, "up"), ("d", 1, "zz"), *extra], "skill string, ord int, trigger string")
+    queries = spark.createDataFrame([(1, "please FIND it"), (2, "Look up or find"), (3, "nothing"), (4, None), (5, "zz up")], "id int, text string")
+    ways = [sorted(tuple(r) for r in R.first_trigger(F.col("text"), triggers, queries, "id", small).collect()) for small in (100, 0)]
+    assert ways[0] == ways[1] and (2, "a") in ways[0] and (5, "d") in ways[0]
