@@ -61,12 +61,23 @@ def rolling_mean(events: DataFrame, order: list[str], value: str, n: int = 100,
     return dealt.withColumn("mean", F.avg(value).over(w)).where(F.col("block") == own).drop("block", "number")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """``rows`` checkpointed to the folder in ``spark.checkpoint.dir``; where that is unset, to a temporary one on a single machine, and an error on a cluster."""
+    spark = rows.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return rows.checkpoint()
+
+
 def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Row numbers from 0 in the order of the whole table, without one task for all rows."""
     placed = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
     placed = placed.withColumn("here", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        placed = placed.checkpoint()  # both uses below must see the same partitions
+    placed = _written(placed)  # both uses below must see the same partitions
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return placed.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("here")).drop("part", "here", "before")

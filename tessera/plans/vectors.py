@@ -14,7 +14,7 @@ SCORED = "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_i
 
 def vector_of(spark, sf, vec_id: int = 0):
     row = table(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
-    return list(row[0])
+    return list(row[0]) if row else [0.0]
 
 
 def _rounded(df):
