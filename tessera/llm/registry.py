@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, edit_counts, exact_dedup, quality, repeats, secrets, sentencepiece_codec, simhash, token_files, toxicity
+from . import decontaminate, edit_counts, exact_dedup, quality, repeats, secrets, sentencepiece_codec, simhash, source_divergence, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.query,
         "op9_secrets": secrets.query,
         "op10_sentencepiece": sentencepiece_codec.query,
+        "op11_source_divergence": source_divergence.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
+        "op11_source_divergence": source_divergence.SQL,
     }
