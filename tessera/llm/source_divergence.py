@@ -152,7 +152,7 @@ def shard_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 0, 4 * BATCH_CHARS):
+            for piece in slices(batch, 0, BATCH_CHARS):
                 lang, source = (piece.column(i).dictionary_encode() for i in (1, 2))
                 codes = np.asarray(lang.indices).astype("i8") * len(source.dictionary) + np.asarray(source.indices)
                 known, group = np.unique(codes, return_inverse=True)
