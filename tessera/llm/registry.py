@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, edit_counts, exact_dedup, quality, repeats, secrets, sentencepiece_codec, simhash, source_divergence, spelling, token_files, toxicity
+from . import decontaminate, edit_counts, exact_dedup, quality, repeats, secrets, sentencepiece_codec, simhash, source_divergence, spelling, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": secrets.query,
         "op10_sentencepiece": sentencepiece_codec.query,
         "op11_source_divergence": source_divergence.query,
+        "op12_warc": warc.query,
         "op13_spelling": spelling.query,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
         "op11_source_divergence": source_divergence.SQL,
+        "op12_warc": warc.SQL,
     }
