@@ -32,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.SQL,
         "op11_source_divergence": source_divergence.SQL,
         "op12_warc": warc.SQL,
+        "op13_spelling": spelling.SQL,
     }

@@ -54,12 +54,12 @@ LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype("u
 FIRST = np.array([((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(9)], "u8")
 
 
-def word_bounds(raw: np.ndarray, texts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes in ``inside``, cut where a text starts (``texts``: starts and end of all)."""
-    marks = np.zeros(len(raw) + 2, "i1")
-    marks[1:-1] = inside[raw]
+def word_bounds(inside: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that are ``inside``, cut where a text starts (``texts``: starts and end of all)."""
+    marks = np.zeros(len(inside) + 2, "i1")
+    marks[1:-1] = inside
     steps = np.diff(marks)  # 1 where a run starts, -1 behind its end
-    cuts = texts[(texts > 0) & (texts < len(raw))]
+    cuts = texts[(texts > 0) & (texts < len(inside))]
     cuts = np.unique(cuts[(marks[cuts] == 1) & (marks[cuts + 1] == 1)])
     starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
     if len(cuts):
@@ -92,7 +92,8 @@ def multikey_sort(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, smal
             continue
         words = order[low:high]
         keys = characters(words, depth) if keys is None else keys
-        pivot = np.sort(keys[:: max(1, len(keys) // 33)])[16]
+        some = np.sort(keys[:: max(1, len(keys) // 33)])
+        pivot = some[len(some) // 2]
         parts = [np.flatnonzero(m) for m in (keys < pivot, keys == pivot, keys > pivot)]
         order[low:high] = words[np.concatenate(parts)]
         a, b = low + len(parts[0]), high - len(parts[2])
@@ -102,10 +103,10 @@ def multikey_sort(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, smal
             stack.append((a, b, depth + 1, None))
     depth = 0
     while waiting:
-        if not (some := waiting.pop(depth, [])):
+        if not (slots := waiting.pop(depth, [])):
             depth += 1
             continue
-        lows, highs = (np.array(c) for c in zip(*sorted(some), strict=True))
+        lows, highs = (np.array(c) for c in zip(*sorted(slots), strict=True))
         sizes = highs - lows
         own = np.repeat(np.arange(len(lows)), sizes)
         places = np.arange(sizes.sum()) + np.repeat(lows - (np.cumsum(sizes) - sizes), sizes)
@@ -128,7 +129,7 @@ def shard(texts: pa.Array, group: np.ndarray, groups: int) -> tuple[list[bytes],
     """Distinct words of a shard, and for each (word, group) that occurs: word number, group, occurrences, documents."""
     raw, at = segments.flat(texts)
     raw = LOWER[raw]
-    starts, ends = word_bounds(raw, at, IN_WORD)
+    starts, ends = word_bounds(IN_WORD[raw], at)
     order, new = multikey_sort(raw, starts, ends - starts)
     doc = (np.searchsorted(at, starts, "right") - 1)[order]
     run = np.cumsum(new) - 1

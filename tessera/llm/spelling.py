@@ -80,7 +80,7 @@ def batch_words(texts: pa.Array, doc_ids: list, least: int = LEAST, every: int =
     raw, at = segments.flat(texts)
     lead = raw == 0xC3  # U+00C0 to U+00FF are this byte and one behind it
     tail = np.r_[False, lead[:-1]] if len(raw) else lead
-    starts, ends = word_bounds((ASCII_LETTER[raw] | lead | tail).view("u1"), at, np.array([False, True]))
+    starts, ends = word_bounds(ASCII_LETTER[raw] | lead | tail, at)
     tails = np.r_[0, np.cumsum(tail)]
     points = ends - starts - (tails[ends] - tails[starts])
     some = points >= least
@@ -88,7 +88,7 @@ def batch_words(texts: pa.Array, doc_ids: list, least: int = LEAST, every: int =
     low = LOWER[raw]
     before = np.array([zlib.crc32(f"{'' if i is None else i}:".encode()) for i in doc_ids], "u4")
     h = checksums(low, starts, ends, before[np.searchsorted(at, starts, "right") - 1])
-    odd = h % every == 0
+    odd = h.astype("i8") % every == 0
     if not len(starts):
         return pa.array([], pa.binary())
     runs = segments.array(low, np.stack([starts, ends], 1).ravel()).take(pa.array(2 * np.flatnonzero(~odd)))
@@ -302,3 +302,42 @@ def variants(docs: DataFrame, least: int = LEAST, every: int = EVERY, twice: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH RECURSIVE steps AS (
+    SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS step FROM range(0, 256) r(i)
+), runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+    ) WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+        lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, (ord(c) - 64)::BIGINT] END))), lambda c, b: xor(c // 256, step[1 + (xor(c, b) & 255)]))) AS h
+    FROM runs, steps
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+    ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+    SELECT word, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+    UNION
+    SELECT a.word, b.word FROM cut a JOIN words b ON a.rest = b.word
+    UNION
+    SELECT b.word, a.word FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT near.word, o.word AS other, o.n AS other_n, count(*) OVER w AS n_near, row_number() OVER (w ORDER BY o.n DESC, o.word) AS place
+    FROM near JOIN words o ON o.word = near.other WINDOW w AS (PARTITION BY near.word)
+), forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1
+), walk AS (
+    SELECT word, word AS at FROM forms
+    UNION ALL
+    SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk ON walk.word = f.word JOIN forms e ON e.word = walk.at AND e.form IS NULL
+"""
