@@ -9,17 +9,33 @@ from pyspark.sql import functions as F
 from .common import held_out, save
 
 #: Most labelled documents of each class that a model is fitted on, and most bytes of all their texts
-#: together: rows are taken in a hashed order until either is reached, each with its whole text, so what
-#: reaches the driver is bounded whatever the tables hold.
+#: together. What reaches the driver is bounded by both, whatever the tables hold.
 PER_CLASS, BYTES = 2000, 256 << 20
 
 
+def within(rows: list, most: int) -> list:
+    """The ``rows`` (y, size, ...) that fit ``most`` bytes: in their order and each class in half of it, a row that does not fit being passed over; what is left then goes to the rows passed over."""
+    left, taken = {0: most // 2, 1: most - most // 2}, set()
+    for k, r in enumerate(rows):
+        if r.size <= left[r.y]:
+            left[r.y] -= r.size
+            taken.add(k)
+    spare = sum(left.values())
+    for k, r in enumerate(rows):
+        if k not in taken and r.size <= spare:
+            spare -= r.size
+            taken.add(k)
+    return [rows[k] for k in sorted(taken)]
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, most: int = BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Whole texts, labels (0 or 1) and weights of up to ``per_class`` documents of each class, none held out.
 
-    Rows are chosen by a hash of their id. The weights restore the classes' shares among all labelled
-    rows. Labels other than 0 and 1 and null ids are left out. A doc_id that several documents or
-    labels have stands for all of these rows, in the order of label and text.
+    Rows are chosen by a hash of their id, then by ``within`` from their sizes alone; only the texts of rows that
+    fit are fetched. A class of which none of these rows fits is drawn anew, its shortest texts
+    first; a ValueError says so if even the shortest one is too long. The weights restore the classes'
+    shares among all labelled rows. Labels other than 0 and 1 and null ids are left out. A doc_id that
+    several documents or labels have stands for all of these rows, equal ones fetched once, in the order of label and text.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -27,15 +43,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
     chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows at most
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("size")).join(chosen, "doc_id")
-    ranked = rows.withColumn("at", F.xxhash64("doc_id", F.lit(11))).orderBy("at", "doc_id", "y", "text").limit(2 * per_class)
-    held = save(ranked, "labelled")
-    sizes = held.select("at", "doc_id", "y", "size").orderBy("at", "doc_id", "y", "size").collect()  # 2 * per_class rows at most
-    taken = int(np.searchsorted(np.cumsum([r.size for r in sizes]), most, "right"))
-    if taken < len(sizes):
-        last = sizes[taken]
-        held = held.where((F.col("at") < last.at) | (F.col("at") == last.at) & (F.col("doc_id") < last.doc_id))
-    got = held.orderBy("at", "doc_id", "y", "text").collect()
+    facts = docs.select("doc_id", F.octet_length(text).alias("size"), F.xxhash64(text).alias("h"), text.alias("text"))
+    at, keys = F.xxhash64("doc_id", F.lit(11)), ["doc_id", "y", "size", "h"]
+    sizes = lambda rows: facts.drop("text").join(rows, "doc_id").groupBy(*keys).count().withColumn("at", at)
+    rows = within(sizes(chosen).orderBy("at", *keys).limit(2 * per_class).collect(), most)
+    for y in set(count) - {r.y for r in rows}:
+        short = sizes(known.where(F.col("y") == y)).orderBy("size", "at", *keys).limit(per_class).collect()
+        more = within(short, most // 2)
+        if short and not more:
+            raise ValueError(f"the shortest text of class {y} has {short[0].size} bytes; more than half of the bound of {most}")
+        rows = within(rows, most - most // 2) + more
+    if not rows:
+        return [], np.zeros(0), np.zeros(0)
+    picked = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in rows], "doc_id long, y int, size int, h long, count long, at long"))  # 2 * per_class rows at most
+    held = save(facts.join(picked, ["doc_id", "size", "h"]).dropDuplicates(keys), "labelled")
+    got = [r for r in held.orderBy("at", "doc_id", "y", "text").collect() for _ in range(min(r["count"], 2 * per_class))][: 2 * per_class]
     y = np.array([r.y for r in got], float)
     share = {k: count.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)}
     weights = np.array([share[int(k)] for k in y])

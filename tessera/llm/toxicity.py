@@ -94,35 +94,46 @@ class Bags:
         return (count >= LEAST_DOCS).astype("f4")
 
 
+class Step:
+    """Loss and gradients of (table, softmax, bias) on some documents, through the soft maximum over their words."""
+
+    def __init__(self, bags: Bags, docs: np.ndarray, y: np.ndarray, weights: np.ndarray, common: np.ndarray):
+        self.bags, self.y, self.common, self.weights = bags, y, common, weights / weights.sum()
+        self.words = np.concatenate([bags.docs[d] for d in docs])
+        sizes = np.array([len(bags.docs[d]) for d in docs])
+        self.begin, self.owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(docs)), sizes)
+
+    def __call__(self, params: list[np.ndarray]) -> tuple[float, list[np.ndarray]]:
+        (table, soft, bias), bags = params, self.bags
+        line = (table @ (soft[:, 1] - soft[:, 0])).astype("f8")
+        margins = (np.bincount(bags.word, line[bags.rows], bags.n) / bags.size)[self.words]
+        top = np.maximum.reduceat(margins, self.begin)
+        share = np.exp((margins - top[self.owner]) / HEAT)
+        total = np.add.reduceat(share, self.begin)
+        pooled = np.clip(top + HEAT * np.log(total) + bias[1] - bias[0], -30, 30)
+        p = 1 / (1 + np.exp(-pooled))
+        loss = float(self.weights @ (np.logaddexp(0, pooled) - self.y * pooled))
+        error = self.weights * (p - self.y)
+        # back from the softmax to the words by their shares, then to their n-grams
+        on_word = np.bincount(self.words, (error / total)[self.owner] * share, bags.n) / bags.size
+        on_row = (np.bincount(bags.rows, on_word[bags.word], 1 << TABLE_BITS) * self.common).astype(table.dtype)
+        pull = on_row @ table
+        return loss, [on_row[:, None] * (soft[:, 1] - soft[:, 0]), np.c_[-pull, pull], np.array([-error.sum(), error.sum()], table.dtype)]
+
+
 def train(bags: Bags, docs: np.ndarray, y: np.ndarray, weights: np.ndarray, seed: int = 0) -> np.ndarray:
     """Trains table and softmax jointly (Adam); returns what each row of the table adds to the toxic margin."""
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (1 << TABLE_BITS, WIDTH)).astype("f4")
-    soft = rng.normal(0, 0.5, (WIDTH, 2)).astype("f4")
-    bias = np.zeros(2, "f4")
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
     common = bags.common(docs)
-    table *= common[:, None]
-    words = np.concatenate([bags.docs[d] for d in docs])
-    sizes = np.array([len(bags.docs[d]) for d in docs])
-    begin, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(docs)), sizes)
+    params = [rng.normal(0, 0.1, (1 << TABLE_BITS, WIDTH)).astype("f4") * common[:, None], rng.normal(0, 0.5, (WIDTH, 2)).astype("f4"), np.zeros(2, "f4")]
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+    gradients = Step(bags, docs, y, weights, common)
     for step in range(1, STEPS + 1):
-        line = (table @ (soft[:, 1] - soft[:, 0])).astype("f8")
-        margins = (np.bincount(bags.word, line[bags.rows], bags.n) / bags.size)[words]
-        top = np.maximum.reduceat(margins, begin)
-        share = np.exp((margins - top[owner]) / HEAT)
-        total = np.add.reduceat(share, begin)
-        p = 1 / (1 + np.exp(-np.clip(top + HEAT * np.log(total) + bias[1] - bias[0], -30, 30)))
-        error = (weights * (p - y) / weights.sum()).astype("f4")
-        # back from the softmax to the words by their shares, then to their n-grams
-        on_word = np.bincount(words, (error / total)[owner] * share, bags.n) / bags.size
-        on_row = (np.bincount(bags.rows, on_word[bags.word], 1 << TABLE_BITS) * common).astype("f4")
-        pull = on_row @ table
-        grads = [on_row[:, None] * (soft[:, 1] - soft[:, 0]), np.c_[-pull, pull], np.array([-error.sum(), error.sum()], "f4")]
-        for p_, g, (m1, m2) in zip((table, soft, bias), grads, state):
+        for p, g, (m1, m2) in zip(params, gradients(params)[1], state, strict=True):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
-            p_ -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)
+            p -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)
+    table, soft, _ = params
     return (table @ (soft[:, 1] - soft[:, 0])).astype("f8")
 
 

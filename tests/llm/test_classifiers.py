@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import labelled, quality, toxicity
 
@@ -56,8 +57,34 @@ def test_sample_is_bounded(spark):
     texts, y, w = labelled.sample(docs, labels, "quality", per_class=20)
     assert len(texts) <= 40 and set(map(len, texts)) == {100}  # whole texts
     assert 0.05 < np.average(y, weights=w) < 0.15  # the classes' true shares
-    some, *_ = labelled.sample(docs, labels, "quality", per_class=20, most=1234)
-    assert 10 <= len(some) <= 12 and some == texts[: len(some)]
+    some, z, _ = labelled.sample(docs, labels, "quality", per_class=20, most=1234)
+    assert len(some) == 12 and (z == 1).sum() == 6  # each class has half
+
+
+@pytest.mark.parametrize("at", ["first", "middle", "last"])
+def test_a_text_over_the_bound_is_passed_over(spark, at):
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('x', 10) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")
+    order = [r.doc_id for r in docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2").orderBy(F.xxhash64("doc_id", F.lit(11))).collect()]
+    odd = order[{"first": 0, "middle": len(order) // 2, "last": -1}[at]]
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == odd, F.repeat(F.lit("y"), 5000)).otherwise(F.col("text")))
+    texts, y, w = labelled.sample(docs, labels, "quality", most=2000)
+    assert len(texts) == len(order) - 1 and set(texts) == {"x" * 10}
+    assert len(w) == len(y) and set(y) == {0, 1}
+    whole, *_ = labelled.sample(docs, labels, "quality", most=20_000)
+    assert len(whole) == len(order) and "y" * 5000 in whole
+
+
+def test_a_class_of_long_texts_is_drawn_anew(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'good words' WHEN id < 290 THEN repeat('b', 5000) ELSE 'bad' END AS text")
+    labels = docs.selectExpr("doc_id", "cast((doc_id + 1) % 2 AS int) AS quality")
+    texts, y, _ = labelled.sample(docs, labels, "quality", per_class=5, most=4000)
+    assert set(y) == {0, 1} and {t for t, k in zip(texts, y) if k == 0} <= {"bad"}
+    with pytest.raises(ValueError, match="class 0"):
+        labelled.sample(docs.where("text <> 'bad'"), labels, "quality", per_class=5, most=4000)
+    only, z, _ = labelled.sample(docs.where("doc_id % 2 = 0"), labels, "quality")
+    assert set(z) == {1}  # no document of the other class
+    assert quality.fit(docs.where("doc_id % 2 = 0"), labels).scorer()(["x"])[0][0] == 1.0
 
 
 def test_repeated_ids_in_the_sample(spark):
@@ -69,6 +96,70 @@ def test_repeated_ids_in_the_sample(spark):
     assert len(y) == len(texts)
 
 
+def test_repeated_rows_are_bounded(spark):
+    docs = spark.range(5000).selectExpr("id % 2 AS doc_id", "'same' AS text")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    texts, y, _ = labelled.sample(docs, labels, "quality", per_class=50)
+    assert len(texts) == 100 and set(texts) == {"same"}
+
+
+def test_calibration_is_a_logistic_fit():
+    rng = np.random.default_rng(1)
+    x, weights = rng.normal(size=(400, 2)) * [1, 5] + [3, -2], rng.uniform(0.5, 2, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 3 - 0.3 * (x[:, 1] + 2))))).astype(float)
+    got = labelled.Calibration(x, y, weights, 0.5)
+    a = np.c_[np.ones(400), np.clip((x - x.mean(0)) / x.std(0), -8, 8)]
+    w = np.zeros(3)
+    for _ in range(20_000):  # plain gradient ascent on the same penalised likelihood
+        p = 1 / (1 + np.exp(-a @ w))
+        w += 2e-3 * (a.T @ (weights * (y - p)) - np.array([1e-3, 0.5, 0.5]) * w)
+    assert np.allclose(got.w, w, atol=1e-5)
+    assert np.allclose(got.score(x), 1 / (1 + np.exp(-a @ w)), atol=1e-5)
+
+
+def test_quality_model_is_made_as_described():
+    """Split, blocks and calibration by hand."""
+    import zstandard
+
+    texts = [f"good sensible words {k} here " * (1 + 40 * (k % 7)) if k // 5 % 2 else f"idiot ### {k} @@ " * (1 + k % 5) for k in range(300)]
+    y = np.array([k // 5 % 2 for k in range(300)], float)
+    m = quality.Model(texts, y, np.ones(300))
+    for kind in (0, 1):
+        blocks = []
+        for k, t in enumerate(texts):
+            if k % 3 and y[k] == kind:
+                own = [t.encode()[i : i + 1024] for i in range(0, len(t.encode()), 1024)]
+                blocks += [own[j] for j in sorted({(2 * i + 1) * len(own) // (2 * min(len(own), 4)) for i in range(min(len(own), 4))})]
+        assert m.dictionaries[kind] == zstandard.train_dictionary(min(65536, sum(map(len, blocks)) // 4), blocks, level=3).as_bytes()
+    rest = [t for k, t in enumerate(texts) if k % 3 == 0]
+    again = labelled.Calibration(quality.Sizes(*m.dictionaries).features(rest), y[::3], np.ones(len(rest)))
+    assert np.allclose(again.w, m.calibration.w)
+
+
+def test_toxicity_gradients_equal_differences():
+    texts = ["you idiot person", "fine words here", "idiots all", "some fine day", "plain", "idiot"] * 3
+    y = np.array([1, 0, 1, 0, 0, 1] * 3, float)
+    bags, weights = toxicity.Bags(texts), np.linspace(0.5, 1.5, 18)
+    docs = np.arange(18)
+    rng = np.random.default_rng(2)
+    table = rng.normal(0, 0.3, (1 << toxicity.TABLE_BITS, toxicity.WIDTH))
+    params = [table, rng.normal(0, 0.5, (toxicity.WIDTH, 2)), rng.normal(0, 0.5, 2)]
+    common = bags.common(docs).astype("f8")
+    params[0] *= common[:, None]
+    step = toxicity.Step(bags, docs, y, weights, common)
+    grads = step(params)[1]
+    used = np.flatnonzero(common)
+    for p, g, places in ((params[0], grads[0], [(int(r), 3) for r in used[:6]]), (params[1], grads[1], [(0, 0), (5, 1)]), (params[2], grads[2], [(0,), (1,)])):
+        for at in places:
+            old, d = p[at], 1e-4
+            p[at] = old + d
+            up = step(params)[0]
+            p[at] = old - d
+            down = step(params)[0]
+            p[at] = old
+            assert g[at] == pytest.approx((up - down) / (2 * d), abs=2e-5, rel=2e-3)
+
+
 TEXTS = ["", "short", "Good sensible words " * 300, "idiot ### @@ " * 40, "\u00e9\u6f22 mixed" * 200, "a"]
 
 
