@@ -1,18 +1,20 @@
 """Benchmark decontamination by winnowing (operator 4).
 
 Both sides hash runs of ``GRAM`` words and keep, of any ``WINDOW - GRAM + 1`` runs in a row, the
-smallest (the rightmost of equals). Equal windows of ``WINDOW`` words keep the same one, so a join
-of the kept fingerprints meets every shared window. A hit is then extended word by word to both
-sides, on the words themselves, and counts if it reaches ``WINDOW`` words. Items with fewer words
-are a single window; for their lengths (below ``WINDOW``) every run of that many words is looked up.
+smallest (the rightmost of equals). Equal windows of ``WINDOW`` words keep the same one, so the join
+of the kept fingerprints meets every shared window. A fingerprint that an item has is then extended to the
+windows that keep it: only those travel, and they meet the items' windows by the hash of all their
+words and by the words themselves; overlapping hits become one span. So a run of a few words that many
+items and many documents have, in other surroundings each, makes no rows at all. Items with fewer
+words are a single window; for their lengths (below ``WINDOW``) every run of that many words is looked up.
 
-Fingerprints of items that agree in their words around it are one *place*, with the list of those
-items; documents meet places, so a passage that many documents and many items share is compared once
-a document. Documents with the same places share one list of item ids.
+Equal windows of items are one *place*; documents meet places, so a passage that many documents and
+many items share is one row for each of its windows and documents. Documents with the same places share one
+list of item ids.
 
-While the items have at most ``LIMIT`` fingerprints (8 bytes each), tasks drop document fingerprints
-that no item has as they scan. Beyond that, a semi-join of fingerprints comes first and tasks get
-the fingerprints of each document with its row.
+While the items have at most ``LIMIT`` fingerprints, or windows (8 bytes each), tasks drop what no item has as they
+scan. Beyond that, a semi-join of fingerprints comes first and tasks get the fingerprints of each
+document with its row.
 
 Results for odd inputs: null and empty texts have no words and no hits; items without words never
 occur; items of equal item_id are one item, a null item_id counts as the id ''; a document is
@@ -34,7 +36,7 @@ WINDOW, GRAM = 13, 5
 LIMIT = 1_000_000
 #: A-Z to a-z; digits, a-z and all beyond ASCII stay; the rest parts words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-FOUND = "array<struct<hash:long,pos:int,off:int,words:array<string>>>"
+WINDOWS = "array<struct<hash:long,start:int,size:int,words:string>>"
 
 
 def words(text: str) -> list[bytes]:
@@ -56,156 +58,142 @@ def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the smallest (rightmost) hash of every ``width`` in a row."""
+    """For every ``width`` hashes in a row the position of the smallest (rightmost) one."""
     if len(hashes) < width:
         return np.zeros(0, "i8")
     view = np.lib.stride_tricks.sliding_window_view(hashes, width)[:, ::-1]
-    at = np.arange(len(view)) + width - 1 - view.argmin(1)
-    return at[np.r_[True, at[1:] != at[:-1]]]
+    return np.arange(len(view)) + width - 1 - view.argmin(1)
 
 
-def kept(text_words: list[bytes], short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, length) of the fingerprints of a text: winnowed runs, and all runs of the lengths ``short``."""
+def word_hashes(text_words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, text_words), "u8", len(text_words))
-    parts = []
-    if len(h) >= WINDOW:
-        g = run_hashes(h, GRAM)
-        at = winnow(g, WINDOW - GRAM + 1)
-        parts.append((g[at] ^ np.uint64(1), at, GRAM))
-    for length in short:
-        g = run_hashes(h, length)
-        parts.append((g, np.arange(len(g)), length))
-    if not parts:
-        return (np.zeros(0, "u8"),) * 3
-    return tuple(np.concatenate(c) for c in zip(*((a, b, np.full(len(a), n)) for a, b, n in parts)))
-
-
-def context(text_words: list[bytes], pos: int, length: int, winnowed: bool) -> tuple[int, list[str]]:
-    """The words of a run and, for winnowed ones, those that windows around it may use; with the run's place in them."""
-    reach = WINDOW - GRAM if winnowed else 0
-    low = max(0, pos - reach)
-    return pos - low, [w.decode("utf-8", "replace") for w in text_words[low : pos + length + reach]]
-
-
-def reached(a: list[str], i: int, b: list[str], j: int, winnowed: bool) -> tuple[int, int] | None:
-    """How far the run at ``a[i]`` and ``b[j]`` extends to the left and in all, if that makes a window."""
-    if not winnowed:
-        return (0, len(b)) if a == b else None
-    if a[i : i + GRAM] != b[j : j + GRAM]:
-        return None
-    left = 0
-    while left < min(i, j) and a[i - left - 1] == b[j - left - 1]:
-        left += 1
-    right = GRAM
-    while i + right < len(a) and j + right < len(b) and a[i + right] == b[j + right]:
-        right += 1
-    return (left, left + right) if left + right >= WINDOW else None
-
-
-def item_fingerprints(items: DataFrame) -> DataFrame:
-    """(hash, item, winnowed, off, words) of the items (item_id, text)."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, text_words), "u8", len(text_words))
+
+
+def fingerprints(h: np.ndarray) -> np.ndarray:
+    """The fingerprint that each window of words (hashes ``h``) keeps."""
+    g = run_hashes(h, GRAM)
+    return g[winnow(g, WINDOW - GRAM + 1)] ^ np.uint64(1)
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in ``known`` (sorted)."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def windows(text_words: list[bytes], at: np.ndarray, size: int, hashes: np.ndarray) -> list[dict]:
+    """The windows of ``size`` words that start at ``at``, whose hashes are given."""
+    return [{"hash": x, "start": i, "size": size, "words": b" ".join(text_words[i : i + size]).decode("utf-8", "replace")} for i, x in zip(at.tolist(), hashes.astype("i8").tolist(), strict=True)]
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item, print, hash, start, size, words): the windows of the items (item_id, text) and the fingerprint each keeps; that of a short item is its own hash."""
 
     def setup():
         def work(texts):
             out = []
             for t in texts:
                 w = words(t)
-                long = len(w) >= WINDOW
-                hashes, at, lengths = kept(w, [] if long or not w else [len(w)])
-                rows = [(h, *context(w, p, n, long), long) for h, p, n in zip(hashes.astype("i8").tolist(), at.tolist(), lengths.tolist(), strict=True)]
-                out.append([{"hash": h, "off": o, "words": c, "winnowed": b} for h, o, c, b in rows])
+                h, size = word_hashes(w), min(WINDOW, len(w))
+                own = run_hashes(h, size) if size else np.zeros(0, "u8")
+                prints = fingerprints(h) if size == WINDOW else own
+                out.append([r | {"print": p} for r, p in zip(windows(w, np.arange(len(own)), size, own), prints.astype("i8").tolist(), strict=True)])
             return [out]
 
         return work
 
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("text"))
-    rows = map_texts(items, "text", [("found", "array<struct<hash:long,off:int,words:array<string>,winnowed:boolean>>")], setup)
+    rows = map_texts(items, "text", [("found", WINDOWS.replace("words:", "print:long,words:"))], setup)
     return rows.select("item", F.inline("found"))
 
 
-def scan(docs: DataFrame, short: list[int], keep: np.ndarray | None, wanted: str | None = None, also: str | None = None) -> DataFrame:
-    """rid, doc_id, n_words and the fingerprints found of ``docs`` (rid, doc_id, text): those in ``keep`` or in the row's own column ``wanted``; with neither, all of them without words. ``also`` names a long column that comes along."""
+class Known:
+    """What tasks know of the items: sizes of short ones, and sorted fingerprints and windows where there are few enough."""
+
+    def __init__(self, short: list[int], prints: np.ndarray | None, wide: np.ndarray | None):
+        self.short, self.prints, self.wide = short, prints, wide
+
+    def found(self, w: list[bytes], wanted: np.ndarray | None) -> list[dict]:
+        """The windows of a document that an item may have."""
+        h, out = word_hashes(w), []
+        prints = self.prints if wanted is None else wanted
+        if len(h) >= WINDOW:
+            at = np.flatnonzero(among(fingerprints(h), prints))
+            if len(at):
+                out.append((at, WINDOW, run_hashes(h, WINDOW)[at]))
+        for size in self.short:
+            own = run_hashes(h, size)
+            at = np.flatnonzero(among(own, prints))
+            out.append((at, size, own[at]))
+        if self.wide is not None:
+            out = [(at[some], size, own[some]) for at, size, own in out for some in [among(own, self.wide)]]
+        return [r for at, size, own in out for r in windows(w, at, size, own)]
+
+    def all_prints(self, w: list[bytes]) -> list[dict]:
+        h = word_hashes(w)
+        own = np.unique(np.concatenate([fingerprints(h), *(run_hashes(h, size) for size in self.short)]))
+        return [{"hash": x, "start": 0, "size": 0, "words": None} for x in own.astype("i8").tolist()]
+
+
+def scan(docs: DataFrame, known: Known, wanted: str | None = None, also: str | None = None) -> DataFrame:
+    """rid, doc_id, n_words and the windows found of ``docs`` (rid, doc_id, text): those whose fingerprint ``known`` has or the row's own column ``wanted``; with neither, all its fingerprints. ``also`` names a long column that comes along."""
     columns = [F.col(c) for c in ("rid", "doc_id", "text")] + ([F.col(wanted).alias("wanted")] if wanted else []) + ([F.col(also)] if also else [])
-    schema = f"rid long, doc_id long, n_words long, found {FOUND}" + (f", {also} long" if also else "")
-    struct = pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("off", pa.int32()), ("words", pa.list_(pa.string()))])
+    schema = f"rid long, doc_id long, n_words long, found {WINDOWS}" + (f", {also} long" if also else "")
+    struct = pa.struct([("hash", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import pieces
 
         for batch in batches:
             for piece, texts in pieces(batch, 2):
-                own = piece.column(3).to_pylist() if wanted else None
-                counts, found = [], []
-                for k, t in enumerate(texts):
-                    w = words(t)
-                    counts.append(len(w))
-                    if wanted and not own[k]:
-                        found.append([])
-                        continue
-                    hashes, at, lengths = kept(w, short)
-                    among = keep if own is None else np.sort(np.array(own[k], "i8").view("u8"))
-                    if among is None:
-                        found.append([{"hash": h, "pos": 0, "off": 0, "words": None} for h in np.unique(hashes).astype("i8").tolist()])
-                        continue
-                    if len(among) and len(hashes):
-                        near = among[np.minimum(np.searchsorted(among, hashes), len(among) - 1)] == hashes
-                        n = max(0, len(w) - WINDOW + 1) and len(hashes) - sum(max(0, len(w) - s + 1) for s in short)
-                        rows = [(int(hashes[i].astype("i8")), int(at[i]), *context(w, int(at[i]), int(lengths[i]), i < n)) for i in np.flatnonzero(near).tolist()]
-                        found.append([{"hash": h, "pos": p, "off": o, "words": c} for h, p, o, c in rows])
-                    else:
-                        found.append([])
+                own = piece.column(3).to_pylist() if wanted else [None] * len(texts)
+                split = [words(t) for t in texts]
+                if wanted:
+                    found = [known.found(w, np.sort(np.array(o, "i8").view("u8"))) if o else [] for w, o in zip(split, own, strict=True)]
+                else:
+                    found = [known.all_prints(w) if known.prints is None else known.found(w, None) for w in split]
                 extra = [piece.column(piece.num_columns - 1)] if also else []
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(counts, pa.int64()), pa.array(found, pa.list_(struct)), *extra], names=["rid", "doc_id", "n_words", "found", *([also] if also else [])])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(map(len, split), pa.int64()), pa.array(found, pa.list_(struct)), *extra], names=["rid", "doc_id", "n_words", "found", *([also] if also else [])])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def spans(pairs: DataFrame) -> DataFrame:
-    """(rid, place, start, end) of the extended hits among joined fingerprints."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for rid, place, pos, i, a, j, b, winnowed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hit = reached(a, i, b, j, winnowed)
-                if hit:
-                    out.append((rid, place, pos - hit[0], pos - hit[0] + hit[1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["rid", "place", "start", "end"])
-
-    return pairs.select("rid", "place", "pos", "off", "words", "item_off", "item_words", "winnowed").mapInArrow(run, "rid long, place long, start int, end int")
+def _few(rows: DataFrame, column: str, limit: int) -> np.ndarray | None:
+    """The distinct values of a long column, sorted as unsigned, if there are ``limit`` of them at most (8 bytes each)."""
+    values = rows.select(column).distinct().limit(limit + 1).collect()
+    return np.sort(np.array([r[0] for r in values], "i8").view("u8")) if len(values) <= limit else None
 
 
 def hits(docs: DataFrame, items: DataFrame, limit: int = LIMIT, also: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The scanned rows (rid, doc_id, n_words) of ``docs`` (rid, doc_id, text), their hit spans (rid, place, start, end), and the items of the places (place, items)."""
-    prints = item_fingerprints(items).groupBy("hash", "winnowed", "off", "words").agg(F.collect_set("item").alias("items"))
-    prints = save(prints.withColumn("place", F.monotonically_increasing_id()), "items")
-    short = sorted(r[0] for r in prints.where("not winnowed").select(F.size("words")).distinct().collect())  # below WINDOW
-    keys = prints.select("hash").distinct()
-    if keys.limit(limit + 1).count() <= limit:
-        # 8 MB at most; the session broadcasts what tasks carry once it is over 1 MB
-        keep = np.sort(np.array([r[0] for r in keys.collect()], "i8").view("u8"))
-        scanned = scan(docs, short, keep, also=also)
+    """The scanned rows (rid, doc_id, n_words) of ``docs`` (rid, doc_id, text), the windows of theirs that items have (rid, place, start, size), and the items of each place (place, item)."""
+    found = save(item_windows(items).select("item", "print", "hash", "size", "words").distinct(), "items")
+    places = save(found.groupBy("hash", "size", "words").agg(F.first("print").alias("print")).withColumn("place", F.monotonically_increasing_id()), "places")
+    short = sorted(r[0] for r in places.where(F.col("size") < WINDOW).select("size").distinct().collect())  # below WINDOW
+    prints = _few(places, "print", limit)
+    known = Known(short, prints, _few(places, "hash", limit))  # 16 MB at most; the session broadcasts what tasks carry once it is over 1 MB
+    if prints is not None:
+        scanned = scan(docs, known, also=also)
     else:
         docs = save(docs, "rows")  # both scans must see the same rid
-        all_of = scan(docs, short, None).select("rid", F.explode("found.hash").alias("hash"))
-        wanted = all_of.join(keys, "hash", "left_semi").groupBy("rid").agg(F.collect_list("hash").alias("wanted"))
-        scanned = scan(docs.join(wanted, "rid", "left"), short, None, "wanted", also)
+        all_of = scan(docs, known).select("rid", F.explode("found.hash").alias("print"))
+        wanted = all_of.join(places.select("print").distinct(), "print", "left_semi").groupBy("rid").agg(F.collect_list("print").alias("wanted"))
+        scanned = scan(docs.join(wanted, "rid", "left"), known, "wanted", also)
     scanned = save(scanned, "scanned")
-    other = prints.select("hash", "place", F.col("off").alias("item_off"), F.col("words").alias("item_words"), "winnowed")
-    pairs = scanned.select("rid", F.inline("found")).join(other, "hash")
-    return scanned.drop("found"), spans(pairs), prints.select("place", "items")
+    met = scanned.select("rid", F.inline("found")).join(places.drop("print"), ["hash", "size", "words"]).select("rid", "place", "start", "size")
+    return scanned.drop("found"), met, found.join(places, ["hash", "size", "words"]).select("place", "item")
 
 
 def mark_rows(docs: DataFrame, items: DataFrame, limit: int = LIMIT, also: str | None = None) -> DataFrame:
     """rid, doc_id, n_words, n_hit, items (sorted ids), contaminated of ``docs`` (rid, doc_id, text)."""
     scanned, found, places = hits(docs, items, limit, also)
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
-    by_doc = found.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.sort_array(F.collect_set("place")).alias("places"))
-    by_doc = save(by_doc.select("rid", F.size(covered).cast("long").alias("n_hit"), "places"), "hits")
-    lists = by_doc.select("places").distinct().select("places", F.explode("places").alias("place")).join(places, "place").select("places", F.explode("items").alias("item"))
+    # spans in order: each adds what lies behind the end of those before it
+    covered = F.expr("aggregate(spans, struct(0 AS n, 0 AS end), (s, x) -> struct(s.n + greatest(0, x.start + x.size - greatest(x.start, s.end)) AS n, greatest(s.end, x.start + x.size) AS end)).n")
+    by_doc = found.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"), F.sort_array(F.collect_set("place")).alias("places"))
+    by_doc = save(by_doc.select("rid", covered.cast("long").alias("n_hit"), "places"), "hits")
+    lists = by_doc.select("places").distinct().select("places", F.explode("places").alias("place")).join(places, "place")
     lists = lists.groupBy("places").agg(F.sort_array(F.collect_set("item")).alias("items"))
     rows = scanned.join(by_doc.join(lists, "places").drop("places"), "rid", "left")
     rows = rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))

@@ -72,8 +72,20 @@ def test_items_that_share_a_passage_are_met_once(spark):
     docs = spark.createDataFrame([(k, f"start {passage} stop") for k in range(50)] + [(99, "clean text")], "doc_id long, text string")
     rows = docs.selectExpr("doc_id AS rid", "doc_id", "text")
     _, found, places = dc.hits(rows, items)
-    assert found.count() < 50 * 40 and places.count() < 40
+    assert found.count() <= 50 * 31 and places.select("place").distinct().count() < 40
     want = ",".join([*(f"i{k:03d}" for k in range(200)), "other"])
     got = {r.doc_id: r for r in dc.mark(docs, items).collect()}
     assert all(got[k].n_items == 201 and got[k].items_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[k].n_hit == 30 for k in range(50))
     assert got[99].n_items == 0 and not got[99].contaminated
+
+
+def test_a_common_sentence_makes_no_rows(spark):
+    sentence = "please answer the following question with one letter of these"
+    own = lambda kind, k: " ".join(f"{kind}{k}x{i}" for i in range(20))
+    items = [(k, f"{own('i', k)} {sentence} {own('j', k)}") for k in range(400)]
+    docs = [(k, f"{own('d', k)} {sentence} {own('e', k)}") for k in range(400)] + [(900, f"{own('d', 1)} {items[7][1]}")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (dc.LIMIT, 3):
+        scanned, found, _ = dc.hits(d.selectExpr("doc_id AS rid", "doc_id", "text"), b, limit)
+        assert found.count() < 100 and {r.rid for r in found.collect()} == {900}
+    assert sorted((tuple(r) for r in dc.mark(d, b).collect()), key=str) == brute(docs, items)
