@@ -100,19 +100,39 @@ def head_lines(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
 
 
 def read_dictionaries(spark: SparkSession, root: str) -> DataFrame:
-    """(dict_name, domain, type, term) from JSON files of ``{metadata, entities: {type: [term]}}``; files that are no such JSON are left out."""
+    """(dict_name, domain, type, term) from JSON files of ``{metadata, entities: {type: [term]}}``, one in a file or one in a line; what is no such JSON is left out."""
     kind = "metadata struct<name:string,version:string,domain:string,description:string>, entities map<string,array<string>>"
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    rows = raw.select(F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("d")).where("d.entities IS NOT NULL")
+    lines = F.filter(F.split("value", r"\R"), lambda x: x.rlike(r"\S"))
+    by_line = F.forall(lines, lambda x: x.rlike(r"^\s*\{.*\}\s*$"))
+    rows = raw.select(F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("value"))
+    rows = rows.select(F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("d")).where("d.entities IS NOT NULL")
     rows = rows.select(F.col("d.metadata.name").alias("dict_name"), F.col("d.metadata.domain").alias("domain"), F.explode("d.entities").alias("type", "terms"))
     return rows.select("dict_name", "domain", "type", F.explode("terms").alias("term"))
 
 
-def write_dictionary(dictionary: DataFrame, path: str) -> None:
-    """One JSON file a dictionary in the form that ``read_dictionaries`` takes."""
-    by_type = dictionary.groupBy("dict_name", "domain", "type").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    whole = by_type.groupBy("dict_name", "domain").agg(F.map_from_entries(F.collect_list(F.struct("type", "terms"))).alias("entities"))
-    whole.select(F.struct(F.col("dict_name").alias("name"), "domain").alias("metadata"), "entities").write.mode("overwrite").json(path)
+#: Terms that a file of a dictionary holds, on average; larger dictionaries take several files.
+FILE_TERMS = 100_000
+
+
+def write_dictionary(dictionary: DataFrame, path: str, file_terms: int = FILE_TERMS) -> None:
+    """JSON files in the form that ``read_dictionaries`` takes, one for each dictionary (dict_name, domain) and every ``file_terms`` of its distinct terms."""
+    rows = dictionary.where(F.col("term").isNotNull() & F.col("type").isNotNull()).select("dict_name", "domain", "type", "term").distinct()
+    files = rows.groupBy("dict_name", "domain").agg(F.ceil(F.count("*") / file_terms).alias("files"))
+    same = (F.col("r.dict_name").eqNullSafe(F.col("f.dict_name"))) & (F.col("r.domain").eqNullSafe(F.col("f.domain")))
+    dealt = rows.alias("r").join(files.alias("f"), same).select("r.*", F.pmod(F.xxhash64("type", "term"), F.col("files")).alias("file"))
+    by_type = dealt.groupBy("dict_name", "domain", "file", "type").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    whole = by_type.groupBy("dict_name", "domain", "file").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "terms")))).alias("entities"))
+    rows = whole.select(F.struct(F.col("dict_name").alias("name"), "domain").alias("metadata"), "entities")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
+def import_terms(dictionary: DataFrame, more: DataFrame, merge: bool = True) -> DataFrame:
+    """``dictionary`` with ``more`` imported: its terms added to those that are there, or instead of them in the dictionaries that it names; no term twice under a type."""
+    if merge:
+        return dictionary.unionByName(more.select(*dictionary.columns)).dropDuplicates(["dict_name", "type", "term"])
+    kept = dictionary.join(more.select("dict_name").distinct(), "dict_name", "left_anti")
+    return kept.select(*dictionary.columns).unionByName(more.select(*dictionary.columns)).dropDuplicates(["dict_name", "type", "term"])
 
 
 def add_terms(dictionary: DataFrame, more: DataFrame) -> DataFrame:
