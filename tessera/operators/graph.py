@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .sessions import _written
 
 
 def _members(mentions: DataFrame, chunk: str, name: str, order: str | list[str], cap: int) -> DataFrame:
@@ -168,3 +169,25 @@ def entity_report(mentions: DataFrame, asked: DataFrame, name: str, kind: str, d
     first = F.min_by(F.struct(F.col(kind).alias("type"), F.col(status).alias("status"), F.col(similarity).alias("similarity")), F.struct(*order)).alias("f")
     rows = mentions.join(asked.select(name).distinct(), name).groupBy(name).agg(F.count_distinct(doc).alias("n_docs"), first)
     return rows.select(name, "f.type", "n_docs", F.coalesce("f.status", F.lit("unknown")).alias("status"), F.coalesce("f.similarity", F.lit(1.0)).alias("similarity"))
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of ``links`` (a, b: longs); nodes that links join in any way share the smallest of them as root.
+
+    Every round hangs larger neighbours below the smallest one around, then smaller ones, until all is stars;
+    rounds grow with the logarithm of a component. Hubs are aggregated or joined, never gathered.
+    """
+    edges, before = _written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
+    while True:
+        around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = _written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title, normalize_url
+from .graph import connected
+from .sessions import _written, rank_rows
 
 #: What trusted sources add to the score.
 TRUST = {"arxiv": 0.1, "pubmed": 0.1, "wikipedia": 0.05, "baidu_baike": 0.05, "github": 0.05}
@@ -35,23 +37,37 @@ def first_by(hits: DataFrame, key: Column, by: list[str], order: str = "seq") ->
     return hits.withColumn("rn", rank).where("rn = 1").drop("rn")
 
 
-def greedy(hits: DataFrame, by: str = "query_id", order: str = "seq", min_score: float = 0.0) -> DataFrame:
+#: Hits of one component that a task decides in a round.
+TOGETHER = 20_000
+
+
+def greedy(hits: DataFrame, by: str = "query_id", order: str = "seq", min_score: float = 0.0, together: int = TOGETHER) -> DataFrame:
     """Hits in order, without those whose URL or title an accepted hit has. Rejected hits reject nobody.
 
-    Acceptance depends on what was accepted before. In rounds, the hits that are first of both their
-    URL and their title among those left are accepted, and with them all that share either go; a
-    round is joins and aggregations, so no task holds the hits of a query.
+    Acceptance depends on what was accepted before, but only on hits that are joined by URLs and titles,
+    one to the next. So hits fall into components (found in logarithmic rounds), and a task decides the first
+    ``together`` of each component in their order; that settles all components up to this size. Of larger ones,
+    hits that are accepted reject others, and the rest falls into components anew.
     """
     rows = hits.where(effective_score(F.col("score")) >= min_score).where(F.col(by).isNotNull())
     rows = rows.withColumns({"u": normalize_url(F.coalesce("url", F.lit(""))), "t": normalize_title(F.coalesce("title", F.lit("")))})
-    left = _kept(rows.groupBy(by, "u", "t").agg(F.min(order).alias(order)))
-    place, accepted = F.struct(order, "u", "t"), []
+    left = _written(rows.groupBy(by, "u", "t").agg(F.min(order).alias(order)))
+    kinds, accepted = {c: left.schema[c].dataType.simpleString() for c in left.columns}, []
     while not left.isEmpty():
-        firsts = lambda k: left.groupBy(by, k).agg(F.min(place).alias(f"first_{k}"))  # noqa: E731, B023
-        now = left.join(firsts("u"), [by, "u"]).join(firsts("t"), [by, "t"])
-        now = _kept(now.where((place == F.col("first_u")) & (place == F.col("first_t"))).select(*left.columns))
+        rooted = left.withColumn("root", F.lit(0))
+        if left.limit(together + 1).count() > together:  # else all of it is one task's share
+            ends = left.withColumns({"a": F.xxhash64(by, F.lit(1), "u"), "b": F.xxhash64(by, F.lit(2), "t")})
+            rooted = ends.join(connected(ends.select("a", "b")).withColumnRenamed("node", "a"), "a").select("root", *left.columns)
+        place = F.row_number().over(W.partitionBy("root").orderBy(order, "u", "t"))
+        first = _written(rooted.withColumn("place", place).where(F.col("place") <= together))
+        dealt = first.repartition("root").sortWithinPartitions("root", "place")
+        now = _written(dealt.select("root", *left.columns).mapInPandas(_first_come(by), "".join(f"{c} {k}, " for c, k in kinds.items())[:-2]))
         accepted.append(now.select(by, order))
-        left = _kept(left.join(now.select(by, "u"), [by, "u"], "left_anti").join(now.select(by, "t"), [by, "t"], "left_anti").select(*left.columns))
+        if first.groupBy("root").count().where(F.col("count") >= together).isEmpty():
+            break  # whole components
+        settled = first.select(by, "u", "t").unionByName(now.select(by, "u", "t")).distinct()
+        left = left.join(settled, [by, "u", "t"], "left_anti").join(now.select(by, "u"), [by, "u"], "left_anti").join(now.select(by, "t"), [by, "t"], "left_anti")
+        left = _written(left.select(*kinds))
     if not accepted:
         return hits.where("false")
     kept = accepted[0]
@@ -60,9 +76,24 @@ def greedy(hits: DataFrame, by: str = "query_id", order: str = "seq", min_score:
     return hits.join(kept, [by, order], "left_semi")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """``rows`` worked out once, with a short plan: in the checkpoint folder, where there is one."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+def _first_come(by: str):
+    """Rows that come sorted by root and place, without those whose URL or title a row of that root before them took."""
+
+    def run(frames):
+        root, urls, titles = None, set(), set()
+        for frame in frames:
+            keep = []
+            for r, key, u, t in zip(frame["root"], frame[by], frame["u"], frame["t"], strict=True):
+                if r != root:
+                    root, urls, titles = r, set(), set()
+                fresh = (key, u) not in urls and (key, t) not in titles
+                keep.append(fresh)
+                if fresh:
+                    urls.add((key, u))
+                    titles.add((key, t))
+            yield frame[keep].drop(columns="root")
+
+    return run
 
 
 def relevance(query: Column, boosted: tuple[str, ...] = ()) -> Column:
@@ -79,8 +110,8 @@ def relevance(query: Column, boosted: tuple[str, ...] = ()) -> Column:
 
 def rank(hits: DataFrame, query: Column, boosted: tuple[str, ...] = (), by: list[str] = ("query_id",)) -> DataFrame:
     """Hits with relevance (6 decimals) and rank; equal ones in order of arrival."""
-    scored = hits.withColumn("relevance", F.round(relevance(query, boosted), 6))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("relevance"), "seq")))
+    scored = hits.withColumn("relevance", F.round(relevance(query, boosted), 6)).withColumn("_down", -F.col("relevance"))
+    return rank_rows(scored, list(by), ["_down", "seq"], "rank").drop("_down")
 
 
 def stats(hits: DataFrame) -> DataFrame:
@@ -96,7 +127,7 @@ def round_robin(hits: DataFrame, per_engine: int = 5, by: list[str] = ("query_id
     order = ["engine_rank", "engine_ord"]
     first = F.row_number().over(W.partitionBy(*by, normalize_url(F.col("url"))).orderBy(*order))
     rows = rows.withColumn("rn", first).where("rn = 1").drop("rn")
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return rank_rows(rows, list(by), order, "place")
 
 
 def early_stop(hits: DataFrame, n: int, by: list[str] = ("query_id",)) -> DataFrame:
@@ -119,6 +150,15 @@ def engines(spark) -> DataFrame:
     return spark.createDataFrame([(c, i, e) for c, names in ENGINES.items() for i, e in enumerate(names)], "category string, ord int, engine string")
 
 
+def engine_counts(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """(category, ord, engine, n, first) for every engine of the table of preferences: its hits in that category, and whether it is the first that has any; engines beyond the first ``most`` of a category are left out."""
+    known = engines(hits.sparkSession)
+    known = known if most is None else known.where(F.col("ord") < most)
+    counts = known.join(hits.groupBy("category", "engine").agg(F.count("*").alias("n")), ["category", "engine"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = F.min(F.when(F.col("n") > 0, F.col("ord"))).over(W.partitionBy("category"))
+    return counts.select("category", "ord", "engine", "n", F.coalesce(F.col("ord") == first, F.lit(False)).alias("first"))
+
+
 def report_line(place: Column) -> Column:
     """A hit as text."""
     return F.concat_ws("\n", F.format_string("%d. **%s** [%s]", place, F.col("title"), F.col("engine")), F.concat(F.lit("   "), F.col("url")), F.concat(F.lit("   "), F.replace("snippet", F.lit("\n"), F.lit(" "))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
@@ -45,19 +46,17 @@ def last_of_role(messages: DataFrame, thread: str, seq: str, role: str, text: st
 def rolling_mean(events: DataFrame, order: list[str], value: str, n: int = 100, by: list[str] | None = None) -> DataFrame:
     """The mean of the last ``n`` values, within each of ``by``.
 
-    Without ``by`` the order is one of the whole table. Rows are then numbered by range partitions
-    (a count a partition, added up), and dealt with their ``n - 1`` predecessors into blocks of
-    numbers, so no task sorts the table.
+    Rows are numbered in the order of ``by`` and ``order`` by range partitions (a count a partition,
+    added up), and dealt with their ``n - 1`` predecessors into blocks of numbers, so no task sorts
+    the table or one key of it.
     """
-    if by:
-        w = W.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
-        return events.withColumn("mean", F.avg(value).over(w))
-    numbered = number_rows(events, order, "number")
+    by = by or []
+    numbered = number_rows(events, [*by, *order], "number")
     size = 50 * n
     own = F.floor(F.col("number") / size)
     also = F.floor((F.col("number") + n - 1) / size)  # the last rows of a block precede the next
     dealt = numbered.withColumn("block", F.explode(F.array_distinct(F.array(own, also))))
-    w = W.partitionBy("block").orderBy("number").rowsBetween(-(n - 1), 0)
+    w = W.partitionBy("block", *by).orderBy("number").rowsBetween(-(n - 1), 0)
     return dealt.withColumn("mean", F.avg(value).over(w)).where(F.col("block") == own).drop("block", "number")
 
 
@@ -83,6 +82,15 @@ def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("here")).drop("part", "here", "before")
 
 
+def rank_rows(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Ranks from 1 within each of ``by`` in the ascending order of the columns ``order``; no key is sorted in one task."""
+    numbered = number_rows(rows, [*by, *order], name)
+    first = numbered.groupBy(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(by))).agg(F.min(name).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(by)]
+    joined = numbered.join(first, same).withColumn(name, (F.col(name) - F.col("_first") + 1).cast("int"))
+    return joined.select(*numbered.columns)
+
+
 def runner_stats(events: DataFrame, failed: Column, by: str) -> DataFrame:
     """(by, total, failures, rate): counts and share of success in percent."""
     rows = events.groupBy(by).agg(F.count("*").alias("total"), F.count_if(failed).alias("failures"))
@@ -100,33 +108,122 @@ def quota_report(used: DataFrame, limit: Column) -> DataFrame:
     return used.withColumn("remaining", F.greatest(F.lit(0), limit - F.col("used"))).withColumn("share", share)
 
 
+def _runs(keys) -> list[int]:
+    """Where runs of equal values start in an Arrow column, and its end."""
+    import numpy as np
+
+    codes = np.asarray(keys.dictionary_encode(null_encoding="encode").indices)
+    return [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)] if len(codes) else [0]
+
+
+def window_exits(at, span: int):
+    """For each call as the start of a window: the start of the last window that begins among the calls ``at`` (sorted) if windows follow one another from there."""
+    import numpy as np
+
+    n = len(at)
+    here, step = np.arange(n), np.searchsorted(at, at + span, "right")
+    last = np.where(step < n, step, here)
+    while True:  # pointers double until each stands on the last start of its chain
+        further = last[last]
+        if np.array_equal(further, last):
+            return last
+        last = further
+
+
 def anchored_quota(calls: DataFrame, by: str, ts: str, limit: int, seconds: float, order: list[str] | None = None) -> DataFrame:
     """Adds ``accepted``: windows start with the first call after the one before has ended.
 
-    Whether a call starts a window depends on where the last one started, so it is a walk over the
-    calls of a key in order. Spark sorts them (and spills); the walk goes through Arrow batches and
-    carries the start of the open window and its calls so far, whatever the number of calls of a key.
+    Whether a call starts a window depends on where the last one started. Calls are sorted into range
+    partitions, so a key with many calls fills several blocks. Each block says, for whatever window may be open
+    when it begins, which one is open when it ends: a step function with a step for each call of its first
+    window at most, and few in fact, as windows that start apart soon fall together. One pass over these
+    steps, a few rows a block, tells what each block begins with; then each block is walked by itself.
     """
     import numpy as np
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    order = order or [ts]
-    span = int(seconds * 1_000_000)
-    out = calls.schema.add("accepted", "boolean")
-    schema, key_at, us = to_arrow_schema(out), calls.columns.index(by), "_us"
+    order, span = order or [ts], int(seconds * 1_000_000)
+    taken, names = {c.lower() for c in calls.columns}, {}
+    for name in ("us", "part", "until", "used", "key", "block"):
+        names[name] = "_" * next(k for k in range(1, 99) if "_" * k + name not in taken) + name
+    us, part = names["us"], names["part"]
+    rows = calls.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp"))).repartitionByRange(F.col(by), F.col(us), *order)
+    rows = _written(rows.withColumn(part, F.spark_partition_id()).sortWithinPartitions(by, us, *order))
+    key = rows.schema[by].dataType.simpleString()
+    key_type = to_arrow_schema(rows.select(by).schema)[0].type
+
+    def steps(batches):
+        """(key, part, n, low, until, start): with a window open until ``low`` or later (up to the next step), the last one of the block starts at its row ``start`` and is open ``until``; without ``until``, the one that was open still is."""
+        held = []
+
+        def emit():
+            keys, at = pa.concat_arrays([b.column(0) for b in held]), np.concatenate([b.column(1).to_numpy() for b in held])
+            mine, n = held[0].column(2)[0].as_py(), len(at)
+            last = window_exits(at, span)
+            reach = int(np.searchsorted(at, at[0] + span, "right"))
+            first = last[: reach + 1]
+            change = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+            low = [None if j == 0 else int(at[j - 1]) for j in change.tolist()]
+            out = [(keys[0].as_py(), mine, n, u, int(at[s]) + span, int(s)) for u, s in zip(low, first[change].tolist(), strict=True)]
+            if reach == n:
+                out.append((keys[0].as_py(), mine, n, int(at[-1]), None, None))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (key_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "part", "n", "low", "until", "start"])
+
+        for batch in batches:
+            edges = _runs(batch.column(0))
+            for low, high in zip(edges, edges[1:]):
+                if held and held[0].column(0)[0].as_py() != batch.column(0)[low].as_py():
+                    yield emit()
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield emit()
+
+    def begins(batches):
+        """(key, part, until, used): the window that is open when a block begins, and the calls in it so far."""
+        state, block, chosen = None, None, None  # state: key, until, calls of the key, number of the call that started the window
+
+        def close():
+            nonlocal state
+            k, n, until, start = chosen
+            key_, open_until, before, first = state
+            state = (key_, open_until if until is None else until, before + n, first if until is None else before + start)
+
+        for batch in batches:
+            out = []
+            for k, p, n, low, until, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != (k, p):
+                    if chosen:
+                        close()
+                    if state is None or state[0] != k:
+                        state = (k, None, 0, 0)
+                    block = (k, p)
+                    out.append((k, p, state[1], state[2] - state[3]))
+                if low is None or state[1] is not None and low <= state[1]:
+                    chosen = (k, n, until, start)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (key_type, pa.int32(), pa.int64(), pa.int64()))], names=["key", "part", "until", "used"])
+
+    found = rows.select(by, us, part).mapInArrow(steps, f"key {key}, part int, n long, low long, until long, start long")
+    found = found.repartition("key").sortWithinPartitions("key", "part", F.asc_nulls_first("low"))
+    opened = _written(found.mapInArrow(begins, f"key {key}, part int, until long, used long"))
+    opened = opened.withColumnsRenamed({"key": names["key"], "part": names["block"], "until": names["until"], "used": names["used"]})
+    dealt = rows.join(opened, (F.col(part) == F.col(names["block"])) & F.col(by).eqNullSafe(F.col(names["key"])))
+    dealt = dealt.select(*calls.columns, us, part, names["until"], names["used"]).sortWithinPartitions(part, by, us, *order)
+    out = T.StructType([*calls.schema.fields, T.StructField("accepted", T.BooleanType())])
+    schema, key_at = to_arrow_schema(out), calls.columns.index(by)
 
     def walk(batches):
-        key, until, used = None, None, 0
+        block, until, used = None, None, 0
         for batch in batches:
-            keys, at = batch.column(key_at), batch.column(batch.num_columns - 1).to_numpy()
-            codes = np.asarray(keys.dictionary_encode(null_encoding="encode").indices)
-            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(at)]
+            keys, (at, parts) = batch.column(key_at), (c.to_numpy() for c in batch.columns[-4:-2])
+            edges = sorted({*_runs(keys), *(np.flatnonzero(np.diff(parts)) + 1).tolist()})
             accepted = np.zeros(len(at), bool)
             for low, high in zip(edges, edges[1:], strict=False):
-                own = (keys[low].as_py(),) if high > low else key
-                if own != key:
-                    key, until, used = own, None, 0
+                own = (keys[low].as_py(), int(parts[low]))
+                if own != block:
+                    block, until, used = own, batch.column(batch.num_columns - 2)[low].as_py(), batch.column(batch.num_columns - 1)[low].as_py()
                 i = low
                 while i < high:
                     if until is None or at[i] > until:
@@ -136,10 +233,9 @@ def anchored_quota(calls: DataFrame, by: str, ts: str, limit: int, seconds: floa
                     accepted[i : min(end, i + free)] = True
                     used += end - i
                     i = end
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:-1], schema, strict=False)), pa.array(accepted)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:-4], schema, strict=False)), pa.array(accepted)], schema=schema)
 
-    rows = calls.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp")))
-    return rows.repartition(by).sortWithinPartitions(by, us, *order).mapInArrow(walk, out)
+    return dealt.mapInArrow(walk, out)
 
 
 def ttl_cache(calls: DataFrame, by: str, ts: str, query: str, seconds: int, order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import hits as H
+from ..operators.sessions import rank_rows
 from .base import query, table
 from .text import NORMAL_TITLE, TITLE, VISIBLE
 
@@ -25,7 +26,8 @@ def hits(spark, sf):
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias("engine"), F.when(F.col("page_id") % 4 == 0, "academic").when(F.col("page_id") % 4 == 1, "code").otherwise("general").alias("category"),
     )
     rows = rows.withColumn("engine_rank", F.row_number().over(W.partitionBy("query_id", "engine").orderBy("seq")))
-    rows = rows.withColumn("engine_ord", F.dense_rank().over(W.partitionBy("query_id").orderBy("engine")))
+    engines = rank_rows(rows.select("query_id", "engine").distinct(), ["query_id"], ["engine"], "engine_ord")
+    rows = rows.join(engines, ["query_id", "engine"])
     return rows.withColumn("score", F.round(1 - F.lit(0.1) * (F.col("engine_rank") - 1), 6)).withColumns({"author": F.lit(None).cast("string"), "published_date": F.lit(None).cast("string")})
 
 
@@ -44,7 +46,11 @@ def hits_distinct(spark, sf):
     return hits(spark, sf).dropDuplicates(["query_id", "url", "title"]).select("query_id", "url", "title")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS}, o AS (SELECT query_id, seq, u, t, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS i FROM hits),
+g AS (SELECT DISTINCT query_id, CAST(NULL AS BIGINT) AS seq, 0 AS i, FALSE AS ok, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS ts FROM o UNION ALL
+SELECT query_id, seq, i, ok, CASE WHEN ok THEN list_append(us, u) ELSE us END, CASE WHEN ok THEN list_append(ts, t) ELSE ts END FROM (
+SELECT o.*, NOT list_contains(us, u) AND NOT list_contains(ts, t) AS ok, us, ts FROM g JOIN o ON o.query_id = g.query_id AND o.i = g.i + 1))
+SELECT query_id, seq FROM g WHERE ok""")
 def hits_greedy_dedupe(spark, sf):
     return H.greedy(hits(spark, sf)).select("query_id", "seq")
 
@@ -80,10 +86,21 @@ def engine_fallback(spark, sf):
     return H.with_fallback(rows, rows.where("query_id = 0"), rows.where("engine_rank = 1")).select("query_id", "seq")
 
 
-@query("SELECT * FROM (VALUES ('academic', 2, 'pubmed,arxiv'), ('code', 2, 'github,gitee'), ('encyclopedia', 2, 'baidu_baike,wikipedia'), ('general', 6, 'tavily,searxng,serper,bing,brave,duckduckgo'), ('research', 4, 'tavily,searxng,serper,duckduckgo')) t(category, n, engines)")
+PREFERRED = ", ".join(f"('{c}', {i}, '{e}')" for c, names in H.ENGINES.items() for i, e in enumerate(names))
+
+
+@query(f"""WITH p AS (SELECT * FROM (VALUES {PREFERRED}) t(category, ord, engine)), k AS (SELECT category, count(*) AS size FROM p GROUP BY category),
+c AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'academic' WHEN 1 THEN 'code' WHEN 2 THEN 'encyclopedia' WHEN 3 THEN 'general' ELSE 'research' END AS category FROM pages),
+h AS (SELECT category, p.engine, count(*) AS n FROM c JOIN k USING (category) JOIN p USING (category) WHERE p.ord = size - 1 - (page_id // 7) % greatest(1, size - 1) GROUP BY ALL)
+SELECT category, ord, engine, coalesce(n, 0) AS n, coalesce(ord = min(ord) FILTER (n > 0) OVER (PARTITION BY category), FALSE) AS first FROM p LEFT JOIN h USING (category, engine)""")
 def engines_by_category(spark, sf):
-    own = F.transform(F.sort_array(F.collect_list(F.struct("ord", "engine"))), lambda x: x["engine"])
-    return H.engines(spark).groupBy("category").agg(F.count("*").cast("int").alias("n"), F.array_join(own, ",").alias("engines"))
+    """Pages as hits of the engines of five categories; in those of several engines the most preferred one has none."""
+    names = F.create_map(*(x for c, own in H.ENGINES.items() for x in (F.lit(c), F.array(*map(F.lit, own)))))
+    kinds = F.array(*map(F.lit, sorted(H.ENGINES)))
+    pages = table(spark, sf, "pages").select("page_id", F.get(kinds, (F.col("page_id") % 5).cast("int")).alias("category"))
+    size = F.size(names[F.col("category")])
+    place = size - 1 - (F.floor(F.col("page_id") / 7) % F.greatest(F.lit(1), size - 1)).cast("int")
+    return H.engine_counts(pages.select("category", F.get(names[F.col("category")], place).alias("engine")))
 
 
 @query(f"WITH {HITS} SELECT query_id, seq, printf('%d. **%s** [%s]', engine_rank, title, engine) || chr(10) || '   ' || url || chr(10) || '   ' || replace(snippet, chr(10), ' ') AS line FROM hits")

@@ -6,11 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.operators import entities as E
 from tessera.operators import graph as G
 from tessera.operators import hits as H
+from tessera.operators import sessions as S
 from tessera.operators import vectors as O
 
 
@@ -104,9 +106,64 @@ def test_greedy_in_rounds(spark):
         if not {(q, u), (q, t)} & seen:
             seen |= {(q, u), (q, t)}
             want.append((q, i))
-    out = H.greedy(df)
-    assert sorted((r.query_id, r.seq) for r in out.collect()) == sorted(want)
-    assert "collect_list" not in out._jdf.queryExecution().toString()
+    for together in (20_000, 50, 3):  # larger components take several rounds
+        out = H.greedy(df, together=together)
+        assert sorted((r.query_id, r.seq) for r in out.collect()) == sorted(want)
+    assert H.greedy(df.where("false")).count() == 0
+
+
+def test_a_long_chain_of_hits(spark, monkeypatch):
+    from tessera.operators import graph
+
+    n, rounds, written = 10_000, [], graph._written
+    monkeypatch.setattr(graph, "_written", lambda rows: rounds.append(1) or written(rows))
+    df = spark.range(n).selectExpr("0 AS query_id", "id AS seq", "concat('http://c.d/', (id + 1) div 2) AS url", "concat('title ', id div 2) AS title", "1.0D AS score")
+    assert {r.seq for r in H.greedy(df, together=n - 1).collect()} == set(range(0, n, 2))
+    assert 5 < len(rounds) < 40  # components twice, each in logarithmic rounds
+
+
+def test_connected_equals_a_walk(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1300)]
+    got = {r.node: r.root for r in G.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {x: x for link in links for x in link}
+    for _ in range(400):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {x: r for x, r in root.items() if any(a != b and x in (a, b) for a, b in links)}
+
+
+def walked(calls, limit, span):
+    out, open_ = {}, {}
+    for i, key, t in sorted(calls, key=lambda c: (str(c[1]), c[2], c[0])):
+        until, used = open_.get(key, (None, 0))
+        if until is None or t > until:
+            until, used = t + span, 0
+        out[i], open_[key] = used < limit, (until, used + 1)
+    return out
+
+
+def test_quotas_of_a_hot_key_over_many_blocks(spark):
+    rng = random.Random(8)
+    for seed, (n, wide) in enumerate([(4000, 40_000), (4000, 900), (3000, 10)]):
+        calls = [(i, rng.choice(["hot"] * 8 + ["b", None]), rng.randrange(wide)) for i in range(n)]
+        df = spark.createDataFrame([(*c, 1) for c in calls], "id int, key string, s long, us int").withColumn("ts", F.timestamp_seconds("s"))
+        out = S.anchored_quota(df, "key", "ts", 3, 60, ["ts", "id"])
+        assert out.columns == [*df.columns, "accepted"]
+        assert {r.id: r.accepted for r in out.collect()} == walked(calls, 3, 60), seed
+    assert S.anchored_quota(df.where("false"), "key", "ts", 3, 60).count() == 0
+
+
+def test_ranks_and_means_within_keys(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), i, float(rng.randrange(50))) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    got = {r.i: (r["rank"], r["mean"]) for r in S.rank_rows(S.rolling_mean(df, ["i"], "v", 5, ["k"]), ["k"], ["v", "i"], "rank").collect()}
+    for key in ("a", "b", None):
+        own = [r for r in rows if r[0] == key]
+        for place, r in enumerate(sorted(own, key=lambda r: (r[2], r[1])), 1):
+            before = [x[2] for x in own if x[1] <= r[1]][-5:]
+            assert got[r[1]] == (place, pytest.approx(sum(before) / len(before)))
 
 
 def test_equal_descriptions_travel_once(spark):
