@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_match
+from . import terms
 
 
 def merge_dictionaries(dicts: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -27,68 +29,22 @@ def word_mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str,
     return words.groupBy(key, "term").agg(F.count("*").alias("n")).join(dictionary, "term")
 
 
-#: Dictionaries of up to this many rows are compiled into one automaton; larger ones are joined by the terms' fronts, with equal results.
-SMALL_DICTIONARY = 100_000
-
-
-def _held(dictionary: DataFrame) -> DataFrame:
-    """Distinct (term, type) of terms that are not empty, worked out once."""
-    rows = dictionary.where("term <> ''").select("term", "type").distinct()
-    return rows.checkpoint() if dictionary.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
-
-
-def _automaton(dictionary: DataFrame, small: int):
-    """A vectorised function from texts to the occurrences of the dictionary (see ``_held``; leftmost of each term, without overlap), or None if it is large."""
-    rows = dictionary.limit(small + 1).collect()
-    if len(rows) > small:
-        return None
-    terms = sorted(((r.term, r.type) for r in rows), key=lambda t: (t[0], t[1] or ""))
-
-    @F.pandas_udf("array<struct<term:string,type:string,start:int,end:int>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        kinds: dict[str, list[str]] = {}
-        for term, kind in terms:
-            kinds.setdefault(term, []).append(kind)
-            machine.add_word(term, term)
-        machine.make_automaton()
-
-        def one(text: str | None) -> list[dict]:
-            out, free = [], {}
-            for last, term in machine.iter(text or "") if terms else ():
-                start = last + 1 - len(term)
-                if start >= free.get(term, 0):
-                    free[term] = last + 1
-                    out += [{"term": term, "type": kind, "start": start, "end": last + 1} for kind in kinds[term]]
-            return out
-
-        for texts in batches:
-            yield texts.map(one)
+def contained_terms(texts: DataFrame, dictionary: DataFrame, key: str, text: str, file_terms: int = terms.FILE_TERMS) -> DataFrame:
+    """(key, term, type) where the text contains the term anywhere (no word limits), once for each row of ``texts``. Repeated and empty dictionary rows say nothing."""
+    return terms.find(texts, terms.write_index(dictionary, _folder(texts.sparkSession), file_terms), key, text, once=True)
 
-    return find
 
+def candidates(texts: DataFrame, dictionary: DataFrame, key: str, text: str, file_terms: int = terms.FILE_TERMS) -> DataFrame:
+    """(key, term, type, start, end) of every occurrence of every term, those of one term without overlap."""
+    return terms.find(texts, terms.write_index(dictionary, _folder(texts.sparkSession), file_terms), key, text)
 
-def contained_terms(texts: DataFrame, dictionary: DataFrame, key: str, text: str, small: int = SMALL_DICTIONARY) -> DataFrame:
-    """(key, term, type) where the text contains the term anywhere (no word limits), once for each row of ``texts``. Repeated and empty dictionary rows say nothing."""
-    dictionary = _held(dictionary)
-    return _contained(texts, dictionary, key, text, _automaton(dictionary, small))
 
-
-def _contained(texts: DataFrame, dictionary: DataFrame, key: str, text: str, find) -> DataFrame:
-    if find is not None:
-        own = F.array_distinct(F.transform(find(F.col(text)), lambda m: F.struct(m["term"].alias("term"), m["type"].alias("type"))))
-        return texts.select(key, F.inline(own))
-    facts = dictionary.agg(F.count("*").alias("n"), F.min(F.length("term")).alias("front")).first()
-    if not facts.n:
-        return texts.select(key, F.lit("").alias("term"), F.lit("").alias("type")).where("false")
-    front = max(1, min(facts.front, 8))
-    grams = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{front}}}))"), F.lit(1)))
-    terms = dictionary.withColumn("front", F.left("term", F.lit(front)))
-    fronts = texts.select(key, F.explode(grams).alias("front")).join(terms, "front").groupBy(key).agg(F.collect_list(F.struct("term", "type")).alias("terms"))
-    found = F.filter("terms", lambda t: F.contains(F.col(text), t["term"]))
-    return texts.select(key, text).join(fronts, key).select(key, F.inline(found))
+def _folder(spark) -> str:
+    """A new folder for an index below ``spark.checkpoint.dir``; where that is unset, a temporary one on a single machine, and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='tessera-')}/terms-{uuid.uuid4().hex}"
 
 
 def occurrences(text: Column, term: Column) -> Column:
@@ -104,17 +60,6 @@ def occurrences(text: Column, term: Column) -> Column:
     return ends
 
 
-def candidates(texts: DataFrame, dictionary: DataFrame, key: str, text: str, small: int = SMALL_DICTIONARY) -> DataFrame:
-    """(key, term, type, start, end) of every occurrence of every term."""
-    dictionary = _held(dictionary)
-    find = _automaton(dictionary, small)
-    if find is not None:
-        return texts.select(key, F.inline(find(F.col(text))))
-    held = _contained(texts, dictionary, key, text, None).join(texts.select(key, text), key)
-    rows = held.select(key, "term", "type", F.explode(occurrences(F.col(text), F.col("term"))).alias("start"))
-    return rows.withColumn("end", F.col("start") + F.length("term"))
-
-
 def resolve(found: DataFrame, key: str) -> DataFrame:
     """Mentions that stand when longer terms claim their characters first, then by term and place.
 
