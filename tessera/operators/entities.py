@@ -39,6 +39,12 @@ def candidates(texts: DataFrame, dictionary: DataFrame, key: str, text: str, fil
     return terms.find(texts, terms.write_index(dictionary, _folder(texts.sparkSession), file_terms), key, text)
 
 
+def resolved(texts: DataFrame, dictionary: DataFrame, key: str, text: str, file_terms: int = terms.FILE_TERMS) -> DataFrame:
+    """``resolve`` of ``candidates``, decided where a text is read: no mention travels."""
+    found = terms.find(texts, terms.write_index(dictionary, _folder(texts.sparkSession), file_terms), key, text, resolved=True)
+    return found.select(key, "term", "start", "end", "type").withColumn("confidence", F.lit(0.95)).withColumn("source", F.lit("dictionary"))
+
+
 def _folder(spark) -> str:
     """A new folder for an index below ``spark.checkpoint.dir``; where that is unset, a temporary one on a single machine, and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import llm_json
-from .entities import best_per_name, candidates, occurrences, pattern_mentions, resolve
+from .entities import best_per_name, occurrences, pattern_mentions, resolved
 
 ENTITIES = "array<struct<name:string,type:string,confidence:double>>"
 RELATIONS = "array<struct<source:string,target:string,relation:string,confidence:double>>"
@@ -58,7 +58,7 @@ def extract(texts: DataFrame, dictionary: DataFrame, key: str, text: str, replie
     that order besides, up to ``k`` in all.
     """
     own = ["term", "type", "start", "end", "confidence", "source"]
-    known = resolve(candidates(texts, dictionary, key, text), key).select(key, *own)
+    known = resolved(texts, dictionary, key, text).select(key, *own)
     shaped = pattern_mentions(texts, key, text, known).select(key, *own)
     found = known.unionByName(shaped)
     if replies is not None:

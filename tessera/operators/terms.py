@@ -12,6 +12,7 @@ Occurrences are those of each term, left to right, without overlap with itself.
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -155,10 +156,9 @@ def load(path: str) -> Terms:
 
 def write_index(dictionary: DataFrame, path: str, file_terms: int = FILE_TERMS) -> list[str]:
     """Index files of the distinct (term, type) of ``dictionary`` below the shared folder ``path``; empty terms and nulls say nothing. Their names, one for each ``file_terms`` rows."""
-    rows = dictionary.where("term <> ''").select("term", "type").distinct()
+    dictionary.where("term <> ''").select("term", "type").distinct().write.parquet(f"{path}/rows")
+    rows = dictionary.sparkSession.read.schema("term string, type string").parquet(f"{path}/rows")
     files = max(1, -(-rows.count() // file_terms))
-    system, where = _system(path)
-    system.create_dir(where, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -173,8 +173,30 @@ def write_index(dictionary: DataFrame, path: str, file_terms: int = FILE_TERMS)
     return sorted(r.file for r in dealt.mapInArrow(write, "file string").collect())  # a row a file
 
 
-def find(texts: DataFrame, files: list[str], key: str, text: str, once: bool = False) -> DataFrame:
-    """(key, term, type, start, end) of the occurrences in each row of ``texts``, in characters; with ``once`` (key, term, type), once for each row."""
+def longest_first(text: np.ndarray, start: np.ndarray, end: np.ndarray, names: pa.Array, types: pa.Array) -> np.ndarray:
+    """Places of the mentions that stand if longer ones claim their characters first, then by term, place and type. Mentions that overlap no other stand; of runs that overlap, one after the other is tried."""
+    order = np.lexsort((end, start, text))
+    t, a, b = text[order], start[order], end[order]
+    wide = t * (int(b.max()) + 1 if len(b) else 1)  # places of all texts in one line
+    reach = np.maximum.accumulate(wide + b) if len(b) else b
+    fresh = np.r_[True, wide[1:] + a[1:] >= reach[:-1]] if len(b) else np.zeros(0, bool)
+    lone = fresh & np.r_[fresh[1:], True] if len(b) else fresh
+    stands = lone.copy()
+    heads = np.flatnonzero(fresh & ~lone)
+    ends = np.r_[np.flatnonzero(fresh), len(fresh)]
+    for h in heads.tolist():
+        own = range(h, int(ends[np.searchsorted(ends, h, "right")]))
+        taken: list[tuple[int, int]] = []
+        for i in sorted(own, key=lambda i: (a[i] - b[i], names[order[i]].as_py(), a[i], types[order[i]].as_py() or "")):
+            k = bisect.bisect(taken, (a[i], b[i]))
+            if (k == 0 or taken[k - 1][1] <= a[i]) and (k == len(taken) or taken[k][0] >= b[i]):
+                taken.insert(k, (a[i], b[i]))
+                stands[i] = True
+    return np.sort(order[stands])
+
+
+def find(texts: DataFrame, files: list[str], key: str, text: str, once: bool = False, resolved: bool = False) -> DataFrame:
+    """(key, term, type, start, end) of the occurrences in each row of ``texts``, in characters; with ``once`` (key, term, type), once for each row; ``resolved``: of overlapping ones those that stand (``longest_first``)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     fields = [T.StructField("term", T.StringType()), T.StructField("type", T.StringType())]
@@ -187,22 +209,30 @@ def find(texts: DataFrame, files: list[str], key: str, text: str, once: bool = F
         for batch in batches:
             for piece in _pieces(batch):
                 codes, at = _codes(pc.fill_null(piece.column(1), ""))
-                for file in files:
-                    terms = load(file)
-                    row_of, row, start = terms.occurrences(codes, at)
-                    if once:
-                        first = np.flatnonzero(np.r_[True, (row_of[1:] != row_of[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, "i8")
-                        row_of, row, start = row_of[first], row[first], start[first]
-                    for i in range(0, len(row), 20_000):
-                        some = pa.array(row[i : i + 20_000])
-                        cols = [piece.column(0).take(pa.array(row_of[i : i + 20_000])), terms.term.take(some), terms.type.take(some)]
-                        if not once:
-                            cols += [pa.array(start[i : i + 20_000], pa.int32()), pa.array((start + terms.sizes[row])[i : i + 20_000], pa.int32())]
+                found = [_found(load(file), codes, at, once) for file in files]
+                if resolved:
+                    found = [tuple(pa.concat_arrays([f[i] for f in found]) if i < 2 else np.concatenate([f[i] for f in found]) for i in range(5))] if found else []
+                    found = [tuple(c.take(pa.array(k)) if isinstance(c, pa.Array) else c[k] for c in f) for f in found for k in [longest_first(f[2], f[3], f[4], f[0], f[1])]]
+                for term, kind, row_of, start, end in found:
+                    for i in range(0, len(term), 20_000):
+                        some = slice(i, i + 20_000)
+                        cols = [piece.column(0).take(pa.array(row_of[some])), term[some], kind[some]]
+                        cols += [] if once else [pa.array(start[some], pa.int32()), pa.array(end[some], pa.int32())]
                         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, out)
 
 
+def _found(terms: Terms, codes: np.ndarray, at: np.ndarray, once: bool) -> tuple:
+    """(term, type, text, start, end) of the occurrences of one index file."""
+    text, row, start = terms.occurrences(codes, at)
+    if once and len(row):
+        first = np.r_[True, (text[1:] != text[:-1]) | (row[1:] != row[:-1])]
+        text, row, start = text[first], row[first], start[first]
+    rows = pa.array(row)
+    return terms.term.take(rows), terms.type.take(rows), text, start, start + terms.sizes[row]
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``CHARS`` characters, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.utf8_length(batch.column(1)), 0), "i8")

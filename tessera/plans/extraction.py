@@ -65,10 +65,19 @@ def terms_per_document(spark, sf):
     return E.contained_terms(table(spark, sf, "documents"), dictionary(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DICT}, {contained('documents', 'doc_id')},
+p AS (SELECT run, term, type, len(term) AS n, string_split(run, term) AS parts FROM m),
+placed AS (SELECT run, term, type, CAST(list_sum(list_transform(parts[1:k], lambda x: len(x))) + (k - 1) * n AS BIGINT) AS a, n FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM p)),
+q AS (SELECT *, a + n AS b, row_number() OVER (PARTITION BY run ORDER BY n DESC, term, a, type) AS i FROM (SELECT DISTINCT * FROM placed)),
+r AS (SELECT DISTINCT run, CAST(NULL AS VARCHAR) AS term, CAST(NULL AS VARCHAR) AS type, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS i, FALSE AS ok, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS taken FROM q UNION ALL
+SELECT run, term, type, a, b, i, ok, CASE WHEN ok THEN list_append(taken, {{'a': a, 'b': b}}) ELSE taken END FROM (
+SELECT q.run, q.term, q.type, q.a, q.b, q.i, len(list_filter(r.taken, lambda t: t.a < q.b AND q.a < t.b)) = 0 AS ok, r.taken FROM r JOIN q ON q.run = r.run AND q.i = r.i + 1)),
+x AS (SELECT doc_id, regexp_extract_all(text, '[a-z]{{8,}}') AS runs, regexp_split_to_array(text, '[a-z]{{8,}}') AS gaps FROM documents),
+y AS (SELECT doc_id, runs[k] AS run, CAST(list_sum(list_transform(gaps[1:k], lambda t: len(t))) + coalesce(list_sum(list_transform(runs[1:k - 1], lambda t: len(t))), 0) AS BIGINT) AS base FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS k FROM x))
+SELECT doc_id, term, CAST(base + a AS INT) AS start, CAST(base + b AS INT) AS "end", type, 0.95e0 AS confidence, 'dictionary' AS source FROM y JOIN (SELECT * FROM r WHERE ok) USING (run)""")
 def mentions_resolved(spark, sf):
     """Greedy resolution of overlaps: the longest term claims its characters first."""
-    return E.resolve(E.candidates(table(spark, sf, "documents"), dictionary(spark, sf), "doc_id", "text"), "doc_id")
+    return E.resolved(table(spark, sf, "documents"), dictionary(spark, sf), "doc_id", "text")
 
 
 @query("SELECT doc_id, CAST(i // 1800 AS INT) AS chunk_index, md5(substr(text, CAST(i + 1 AS INT), 2000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, length(text), 1800)) AS i FROM documents)")

@@ -42,6 +42,10 @@ def test_terms_are_found_wherever_they_stand(spark, file_terms):
                 at = text.find(term, at + len(term))
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    texts, terms = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(t, k) for t in terms for k in "xy"[: 1 + len(t) % 2]], "term string, type string")
+    one, two = E.resolved(texts, terms, "doc_id", "text", file_terms), E.resolve(E.candidates(texts, terms, "doc_id", "text"), "doc_id")
+    assert one.columns == two.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    texts = [tuple(r) for r in texts.collect()]
     assert E.candidates(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([], "term string, type string"), "doc_id", "text").count() == 0
 
 
