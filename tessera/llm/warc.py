@@ -147,9 +147,10 @@ def _name(page_id, rid) -> F.Column:
 
 def write(pages: DataFrame, path: str, stored: bool = False, least: int = LEAST_PAYLOAD, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for each row of ``pages`` to archives under the shared folder ``path``; returns the manifest (file, n_records, n_bytes), a row an archive."""
-    rows = payloads(pages, stored)
-    some = rows.where(F.col("size").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id", "rid").limit(SAMPLE_PAGES)
-    dictionary = train([bytes(r.payload) for r in some.select("payload").collect()])  # SAMPLE_PAGES of SAMPLE_BYTES at most
+    spark, rows = pages.sparkSession, payloads(pages, stored)
+    some = rows.where(F.col("size").between(1, SAMPLE_BYTES)).select("rid", F.xxhash64("page_id").alias("at")).orderBy("at", "rid").limit(SAMPLE_PAGES)
+    names = F.broadcast(spark.createDataFrame([(r.rid,) for r in some.collect()], "rid string"))  # payloads are fetched once it is known which
+    dictionary = train([bytes(r.payload) for r in rows.join(names, "rid", "left_semi").orderBy("rid").select("payload").collect()])  # SAMPLE_PAGES of SAMPLE_BYTES at most
     named = with_responses(rows, least).select(_name(F.col("page_id"), F.col("rid")).alias("id"), "url", "payload", F.when(F.col("lead").isNotNull(), _name(F.col("lead.page_id"), F.col("lead.rid"))).alias("refers_to"))
     system, where = file_system(path)
     system.create_dir(where, recursive=True)
