@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, pieces
+from .common import documents, free_name, map_texts, pieces
 from .segments import array, flat, unit_starts
 from .token_files import default_model, encoder
 
@@ -169,8 +169,8 @@ def edit(text: str, tree: Tree, at: int, remove: int, insert: str, count) -> tup
 
 
 def build(df: DataFrame, text: str = "text", sizes: str = "sizes", counts: str = "counts", model: str | None = None) -> DataFrame:
-    """``df`` with the leaves of each text's tree: characters and tokens of its segments."""
-    path = model or default_model()
+    """``df`` with the leaves of each text's tree: characters and tokens of its segments. Names that ``df`` has get underscores; ``apply`` takes the newest."""
+    path, sizes, counts = model or default_model(), free_name(df, sizes), free_name(df, counts)
 
     def setup():
         return counter(path).leaves
@@ -178,9 +178,14 @@ def build(df: DataFrame, text: str = "text", sizes: str = "sizes", counts: str =
     return map_texts(df, text, [(sizes, "array<int>"), (counts, "array<int>")], setup, arrow_text=True)
 
 
+def _newest(df: DataFrame, name: str) -> str:
+    """The column ``name`` with the most underscores behind it."""
+    return max((c for c in df.columns if c.lower().rstrip("_") == name.lower().rstrip("_")), key=len)
+
+
 def apply(df: DataFrame, edits: str = "edits", text: str = "text", sizes: str = "sizes", counts: str = "counts", key: str = "doc_id", state: bool = True, model: str | None = None) -> DataFrame:
     """Edits applied: ``key``, n_before, n_after, n_chars, n_encoded (characters encoded anew), and with ``state`` the new text, sizes and counts."""
-    path = model or default_model()
+    path, sizes, counts = model or default_model(), _newest(df, sizes), _newest(df, counts)
     names = ["n_before", "n_after", "n_chars", "n_encoded"]
     schema = f"key {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + (", text string, sizes array<int>, counts array<int>" if state else "")
     ints = pa.list_(pa.int32())

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, free_name, map_texts
 
 MARK = "▁"
 MEMO_WORDS, MEMO_PAIRS, MEMO_LENGTH = 250_000, 1_000_000, 40
@@ -214,8 +214,8 @@ def codec(path: str) -> Codec:
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None) -> DataFrame:
-    """``df`` with the ids of each whole text, array<int>, as the library's ``encode`` gives them."""
-    path = model or default_model()
+    """``df`` with the ids of each whole text, array<int>, as the library's ``encode`` gives them; a name that ``df`` has gets underscores."""
+    path, ids = model or default_model(), free_name(df, ids)
 
     def setup():
         c = codec(path)
@@ -225,8 +225,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | Non
 
 
 def encode_decode(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", model: str | None = None) -> DataFrame:
-    """``df`` with the ids of each whole text and the text decoded from those ids."""
-    path = model or default_model()
+    """``df`` with the ids of each whole text and the text decoded from those ids; names that ``df`` has get underscores."""
+    path, ids, decoded = model or default_model(), free_name(df, ids), free_name(df, decoded)
 
     def setup():
         c = codec(path)

@@ -67,3 +67,11 @@ def test_stored_trees_and_odd_rows(spark):
         before = got[r.doc_id]
         assert r.text == "Q " + before.text[1:] and r.n_before == before.n_after and r.n_after == full(r.text)
     assert once.count() == 5 and ec.apply(ec.build(df.where("false"))).collect() == []
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "one two three", [(0, 3, "x")], "mine", 7)], "doc_id long, text string, edits array<struct<at:int,remove:int,insert:string>>, sizes string, COUNTS int")
+    built = ec.build(df)
+    assert built.columns == [*df.columns, "sizes_", "counts_"]
+    r = ec.apply(built).first()
+    assert (r.text, r.n_after, sum(r.sizes)) == ("x two three", library()("x two three"), 11)

@@ -113,3 +113,16 @@ def test_segments_of_random_strings_give_the_library_ids(seed):
     for text, c, n, ids in zip(texts, chars.to_pylist(), tokens.to_pylist(), got, strict=True):
         assert c == [len(p) for p in ec.segments(text)], repr(text)
         assert sum(n) == len(ids) // 2, repr(text)
+
+
+def test_clashing_columns_stay(spark):
+    from tessera.llm import sentencepiece_codec as sc
+    from tessera.llm import token_files as tf
+
+    df = spark.createDataFrame([(1, "some words", "mine", 2, "f", 3)], "doc_id long, text string, IDS string, decoded int, part string, rank int")
+    assert sc.encode(df).columns == [*df.columns, "ids_"]
+    r = sc.encode_decode(df).first()
+    assert (r.IDS, r.decoded, r.decoded_) == ("mine", 2, "some words") and len(r.ids_) > 1
+    from tessera.llm.common import fresh_path
+
+    assert [x.doc_id for x in tf.digests(df, fresh_path(spark, "ids")).collect()] == [1]
