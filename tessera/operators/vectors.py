@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .sessions import _written
 
 
 def top_k(items: DataFrame, query, k: int, id_col: str = "id", vector: str = "embedding", score: str = "score") -> DataFrame:
@@ -83,15 +84,19 @@ def top_k_many(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hash_similarity_many(bins: DataFrame, queries: DataFrame, id_col: str, k: int) -> DataFrame:
-    """(query_id, id, score, rank): cosine of sparse hash embeddings to every query's (query_id, bin, weight), the ``k`` best of each."""
-    length = lambda rows, by, name: rows.groupBy(by).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(name))
-    dots = bins.join(queries.select("query_id", "bin", F.col("weight").alias("q")), "bin").groupBy("query_id", id_col).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
-    total = F.col("norm") * F.col("q_norm")
-    scored = dots.join(length(bins, id_col, "norm"), id_col).join(length(queries, "query_id", "q_norm"), "query_id")
-    scored = scored.select("query_id", id_col, F.when(total == 0, 0.0).otherwise(F.col("dot") / total).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def dense(bins: DataFrame, id_col: str, dim: int = 384) -> DataFrame:
+    """(id, vector): sparse rows (id, bin, weight) as vectors of ``dim`` numbers."""
+    held = bins.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bin", "weight"))).alias("m"))  # ``dim`` entries at most
+    return held.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def hash_similarity_many(bins: DataFrame, queries: DataFrame, id_col: str, k: int, dim: int = 384) -> DataFrame:
+    """(query_id, id, score, rank): cosine of sparse hash embeddings to every query's (query_id, bin, weight), the ``k`` best of each that share a bin with it.
+
+    Weights are not negative, so rows that share a bin are those whose score is not 0. As dense vectors, in blocks.
+    """
+    asked = _written(dense(queries, "query_id", dim).withColumnRenamed("vector", "query"))
+    return top_k_many(_written(dense(bins, id_col, dim)), asked, k, id_col, "vector").where("score > 0")
 
 
 def rerank(candidates: DataFrame, vectors: DataFrame, query, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
