@@ -25,27 +25,34 @@ _SPANS = {"**": "strong", "__": "strong", "~~": "struck", "*": "emphasis", "_":
 _LINE = re.compile(r"(?P<heading>#+ )|(?P<quote>> )|(?P<indent>\s*)(?:(?P<bullet>[-*+])|(?P<number>\d+)\.) ")
 
 
-def _close(line: str, at: int, mark: str) -> int:
-    """Where the span that ``mark`` opens at ``at`` ends (the front of its closing mark), or -1; a span holds a character at least."""
-    end = line.find(mark, at + len(mark) + 1)
-    return end if end >= 0 else -1
+class _Ahead:
+    """The next place of a mark in a line. Questions come from left to right, so each mark is looked for once along the line."""
+
+    def __init__(self, line: str):
+        self.line, self.known = line, {}
+
+    def __call__(self, mark: str, at: int) -> int:
+        asked, place = self.known.get(mark, (at + 1, -1))
+        if not (asked <= at and (place < 0 or at <= place)):
+            self.known[mark] = at, (place := self.line.find(mark, at))
+        return place
 
 
 def inline(line: str, style: dict[str, str]) -> str:
     """The runs of one line, from left to right and from the outside in."""
-    out, at = [], 0
+    out, at, ahead = [], 0, _Ahead(line)
     while at < len(line):
         c = line[at]
-        if c == "`" and (end := line.find("`", at + 1)) > at + 1:
+        if c == "`" and (end := ahead("`", at + 1)) > at + 1:
             out.append(style["code"].format(line[at + 1 : end]))
             at = end + 1
             continue
-        if c == "[" and (middle := line.find("](", at + 2)) > 0 and "]" not in line[at:middle] and (end := line.find(")", middle + 3)) > 0:
+        if c == "[" and (middle := ahead("](", at + 2)) > 0 and ahead("]", at) >= middle and (end := ahead(")", middle + 3)) > 0:
             out.append(style["link"].format(inline(line[at + 1 : middle], style), line[middle + 2 : end]))
             at = end + 1
             continue
         mark = next((m for m in (line[at : at + 2], c) if m in _SPANS), "")
-        if mark and (end := _close(line, at, mark)) > 0:
+        if mark and (end := ahead(mark, at + len(mark) + 1)) > 0:  # a span holds a character at least
             out.append(style[_SPANS[mark]].format(inline(line[at + len(mark) : end], style)))
             at = end + len(mark)
             continue

@@ -75,6 +75,26 @@ def transcript(messages: DataFrame, thread: str, seq: str, role: str, text: str,
     return messages.groupBy(thread).agg(F.array_join(F.transform(own, lambda x: x["line"]), sep).alias("transcript"))
 
 
+#: How an exported session shows the messages of each role, and how much of a system message.
+EXPORTED = {"human": "**用户:** %s", "ai": "**助手:** %s", "system": "*[系统]* %s..."}
+SYSTEM_CHARS = 100
+
+
+def session_markdown(messages: DataFrame, thread: str, seq: str, role: str, text: str, exported: Column) -> DataFrame:
+    """(thread, markdown): a session as a document, each message by its role's template; ``exported`` is the time it names."""
+    who, what = F.col(role), F.coalesce(F.col(text), F.lit(""))
+    line = F.concat(F.lit("*"), F.coalesce(who, F.lit("")), F.lit(":* "), what)
+    for kind, template in EXPORTED.items():
+        before, after = template.split("%s")
+        shown = F.left(what, F.lit(SYSTEM_CHARS)) if kind == "system" else what
+        line = F.when(who == kind, F.concat(F.lit(before), shown, F.lit(after))).otherwise(line)
+    own = F.sort_array(F.collect_list(F.struct(seq, line.alias("line"))))
+    rows = messages.groupBy(thread).agg(own.alias("own"))
+    head = F.concat(F.lit("# 会话导出: "), F.col(thread).cast("string"), F.lit("\n\n导出时间: "), F.date_format(exported, "yyyy-MM-dd HH:mm:ss"), F.lit("\n\n---\n\n"))
+    body = F.array_join(F.transform("own", lambda x: F.concat(x["line"], F.lit("\n\n"))), "")
+    return rows.select(thread, F.concat(head, body, F.lit("---\n\n共 "), F.size("own").cast("string"), F.lit(" 条消息\n")).alias("markdown"))
+
+
 def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 

@@ -130,10 +130,11 @@ def search(mentions: DataFrame, reached: DataFrame, vectors: DataFrame, query, k
     return scored.orderBy(F.desc("score"), doc).limit(k)
 
 
-def merge_relations(relations: DataFrame, by: list[str], source: str = "source_id") -> DataFrame:
-    """One row a relation: highest confidence, all sources, longest description (first in order of the text among equals)."""
+def merge_relations(relations: DataFrame, by: list[str], source: str = "source_id", listed: bool = True) -> DataFrame:
+    """One row a relation: highest confidence, its ``sources`` (or, not ``listed``, only ``n_sources``, however many there are), longest description (first in order of the text among equals)."""
     longest = F.max(F.struct(F.length("description").alias("n"), "description"))["description"]
-    return relations.groupBy(*by).agg(F.max("confidence").alias("confidence"), F.sort_array(F.collect_set(source)).alias("sources"), longest.alias("description"))
+    sources = F.sort_array(F.collect_set(source)).alias("sources") if listed else F.count_distinct(source).alias("n_sources")
+    return relations.groupBy(*by).agg(F.max("confidence").alias("confidence"), sources, longest.alias("description"))
 
 
 def merge_descriptions(descriptions) -> F.Column:
@@ -148,12 +149,19 @@ def merge_descriptions(descriptions) -> F.Column:
     return F.aggregate(descriptions, F.lit(""), two)
 
 
-def merge_entities(entities: DataFrame, by: list[str], source: str = "source_id", order: str = "ord") -> DataFrame:
-    """One row an entity: all its sources, and its descriptions merged in order. A description that comes again is absorbed, so only its first place travels."""
-    firsts = entities.groupBy(*by, "description").agg(F.min(order).alias("_first"), F.collect_set(source).alias("_sources"))
+def merge_entities(entities: DataFrame, by: list[str], source: str = "source_id", order: str = "ord", listed: bool = True) -> DataFrame:
+    """One row an entity: its ``sources`` (or, not ``listed``, only ``n_sources``, however many there are), and its descriptions merged in order. A description that comes again is absorbed, so only its first place travels."""
+    facts = [F.min(order).alias("_first")] + ([F.collect_set(source).alias("_sources")] if listed else [])
+    firsts = entities.groupBy(*by, "description").agg(*facts)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("_first", "description"))), lambda x: x["description"])
-    rows = firsts.groupBy(*by).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("sources"), ordered.alias("own"))
-    return rows.withColumn("description", merge_descriptions(F.col("own"))).drop("own")
+    sources = [F.sort_array(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("sources")] if listed else []
+    rows = firsts.groupBy(*by).agg(*sources, ordered.alias("own"))
+    rows = rows.withColumn("description", merge_descriptions(F.col("own"))).drop("own")
+    if listed:
+        return rows
+    counts = entities.groupBy(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(by))).agg(F.count_distinct(source).alias("n_sources"))
+    same = [F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(by)]
+    return rows.join(counts, same).select(*by, "n_sources", "description")
 
 
 def add_missing(existing: DataFrame, more: DataFrame, key: str, order: str) -> DataFrame:

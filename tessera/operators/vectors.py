@@ -33,6 +33,13 @@ def top_k_merged(items: DataFrame, query, k: int, by: list[str], id_col: str = "
     return top_k_within(items, query, k, by, id_col, vector).drop("rank").orderBy(F.desc("score"), id_col).limit(k)
 
 
+def with_ancestors(items: DataFrame, folder: str, category: str = "category") -> DataFrame:
+    """A row for each folder above a row's own (``a/b/c``: a, a/b, a/b/c), so that a category holds what its sub-folders hold, however deep. Slashes at the ends and doubled ones say nothing."""
+    parts = F.filter(F.split(folder, "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return items.withColumn(category, F.explode(F.when(F.size(parts) > 0, above)))
+
+
 #: Queries and rows of one block of scores (at most 32 MB), and how far below the k-th score a rounding error may put an equal one.
 BLOCK_QUERIES, BLOCK_ROWS, SLACK = 1024, 4096, 1e-9
 

@@ -89,3 +89,13 @@ def hybrid_recall(spark, sf):
     by_vector = hits.join(docs.select("id", "content"), "id").select("id", "content", "score")
     by_keyword = X.keyword_recall(docs, F.lit(QUERY_WORDS), 10).select("id", "content", "score")
     return X.hybrid_recall(by_vector, by_keyword, 10).select("id", "source", F.round("score", 6).alias("score"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN 'system' WHEN turn % 7 = 5 THEN 'tool' WHEN role = 'user' THEN 'human' ELSE 'ai' END AS kind, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, '# 会话导出: ' || conv_id || chr(10) || chr(10) || '导出时间: 2024-03-05 06:07:08' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+|| string_agg(CASE kind WHEN 'human' THEN '**用户:** ' || text WHEN 'ai' THEN '**助手:** ' || text WHEN 'system' THEN '*[系统]* ' || left(text, 100) || '...' ELSE '*tool:* ' || text END || chr(10) || chr(10), '' ORDER BY turn)
+|| '---' || chr(10) || chr(10) || '共 ' || count(*) || ' 条消息' || chr(10) AS markdown FROM m GROUP BY conv_id""")
+def session_markdown(spark, sf):
+    kind = F.when(F.col("turn") % 7 == 3, "system").when(F.col("turn") % 7 == 5, "tool").when(F.col("role") == "user", "human").otherwise("ai")
+    rows = table(spark, sf, "conversations").withColumn("kind", kind)
+    return X.session_markdown(rows, "conv_id", "turn", "kind", "text", F.lit("2024-03-05 06:07:08").cast("timestamp"))

@@ -75,15 +75,15 @@ def related_entities(spark, sf):
 @query("SELECT l_partkey AS src, l_suppkey AS dst, max(l_discount) AS confidence, count(DISTINCT l_orderkey) AS n_sources, max(length(l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR))) AS n FROM lineitem GROUP BY l_partkey, l_suppkey")
 def relation_merge(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_discount").alias("confidence"), F.col("l_orderkey").alias("source_id"), F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("description"))
-    merged = G.merge_relations(rows, ["src", "dst"])
-    return merged.select("src", "dst", "confidence", F.size("sources").cast("long").alias("n_sources"), F.length("description").cast("long").alias("n"))
+    merged = G.merge_relations(rows, ["src", "dst"], listed=False)
+    return merged.select("src", "dst", "confidence", "n_sources", F.length("description").cast("long").alias("n"))
 
 
 @query("SELECT user_id, string_agg(event_type, '；' ORDER BY first_id) AS description, CAST(sum(n) AS BIGINT) AS n_sources FROM (SELECT user_id, event_type, min(event_id) AS first_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
 def entity_merge_sources(spark, sf):
     """Descriptions that no other contains fold to the distinct ones in the order they came in."""
     rows = table(spark, sf, "events").select("user_id", F.col("event_type").alias("description"), F.col("event_id").alias("source_id"), F.col("event_id").alias("ord"))
-    return G.merge_entities(rows, ["user_id"]).select("user_id", "description", F.size("sources").cast("long").alias("n_sources"))
+    return G.merge_entities(rows, ["user_id"], listed=False).select("user_id", "description", "n_sources")
 
 
 @query("WITH a AS (SELECT DISTINCT upper(event_type) AS name FROM events WHERE value > 90), b AS (SELECT event_type AS name, min(event_id) AS ord FROM events GROUP BY event_type) SELECT name, 'first' AS round FROM a UNION ALL SELECT name, 'more' FROM b WHERE lower(name) NOT IN (SELECT lower(name) FROM a)")

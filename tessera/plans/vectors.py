@@ -196,3 +196,17 @@ def vector_index_topk(spark, sf):
     index = ivf.Index(table(spark, sf, "embeddings"), folder(spark, "ivf"), "vec_id")
     index.fit_probes(_asked(spark, sf), 10)
     return index.search(_asked(spark, sf), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+TREE = "'lib/' || (label % 2) || '/' || label || '/' || (vec_id % 3)"
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, string_split({TREE}, '/') AS p FROM embeddings), q AS (SELECT e AS v FROM v WHERE vec_id = 0),
+a AS (SELECT vec_id, e, array_to_string(p[1:i], '/') AS category FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM v)),
+s AS (SELECT category, vec_id, list_dot_product(e, v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v, v))) AS score FROM a, q)
+SELECT category, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY category ORDER BY s.score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 5""")
+def category_tree_search(spark, sf):
+    """The five best of every folder, with all below it."""
+    tree = F.concat(F.lit("lib/"), (F.col("label") % 2).cast("string"), F.lit("/"), F.col("label").cast("string"), F.lit("/"), (F.col("vec_id") % 3).cast("string"))
+    items = O.with_ancestors(table(spark, sf, "embeddings").withColumn("folder", tree), "folder")
+    return _rounded(O.top_k_within(items, vector_of(spark, sf, 0), 5, ["category"], "vec_id")).select("category", "vec_id", "score", "rank")

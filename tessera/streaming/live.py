@@ -28,6 +28,8 @@ def merge_stream(stream: DataFrame, path: str, state: str, key: list[str], versi
 
     def write(batch: DataFrame, number: int) -> None:
         old = read(batch.sparkSession, f"{path}/{number - 1}") if number else None
+        if number and old is None:
+            raise FileNotFoundError(f"generation {number - 1} of {path} is gone; only the first batch has none before it")
         new = batch if old is None else upsert(old, batch, key, version)
         upsert(new.limit(0), new, key, version).write.mode("overwrite").parquet(f"{path}/{number}")
 

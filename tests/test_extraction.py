@@ -182,3 +182,26 @@ def test_triggers_by_row_and_by_join(spark, extra):
     queries = spark.createDataFrame([(1, "please FIND it"), (2, "Look up or find"), (3, "nothing"), (4, None), (5, "zz up")], "id int, text string")
     ways = [sorted(tuple(r) for r in R.first_trigger(F.col("text"), triggers, queries, "id", small).collect()) for small in (100, 0)]
     assert ways[0] == ways[1] and (2, "a") in ways[0] and (5, "d") in ways[0]
+
+
+def test_markdown_of_unclosed_marks_takes_linear_time():
+    import time
+
+    for line in ("[" * 200_000, "[x " * 70_000, "[](" * 70_000, "*" * 200_001, "~~a" * 70_000, "`" + "[" * 200_000 + "](", "_a " * 60_000 + "["):
+        begun = time.time()
+        MD.render(line, MD.PLAIN)
+        assert time.time() - begun < 5, line[:10]
+
+
+def test_sources_are_counted_without_lists(spark):
+    rows = [(1, "a", k % 7, k) for k in range(50)] + [(1, "b", 3, 60), (None, "c", 1, 61)]
+    df = spark.createDataFrame(rows, "name int, description string, source_id int, ord int").withColumn("confidence", F.lit(0.5))
+    assert sorted((r.name or 0, r.n_sources, r.description) for r in G.merge_entities(df, ["name"], listed=False).collect()) == [(0, 1, "c"), (1, 7, "a；b")]
+    assert sorted((r.name or 0, r.n_sources) for r in G.merge_relations(df, ["name"], listed=False).collect()) == [(0, 1), (1, 7)]
+
+
+def test_folders_above(spark):
+    from tessera.operators import vectors as O
+
+    df = spark.createDataFrame([(1, "/a/b//c/"), (2, "a"), (3, ""), (4, None)], "id int, folder string")
+    assert sorted((r.id, r.category) for r in O.with_ancestors(df, "folder").collect()) == [(1, "a"), (1, "a/b"), (1, "a/b/c"), (2, "a")]

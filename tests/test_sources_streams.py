@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.sources import files, payloads
@@ -105,3 +107,15 @@ def test_status_replay(spark):
     rows = [("a", "pending", 1), ("a", "running", 2), ("a", "completed", 3), ("b", "pending", 1), ("b", "completed", 2), ("c", "pending", 1), ("c", "running", 2)]
     got = {r.doc_id: (r.status, r.broken) for r in live.replay_status(spark.createDataFrame(rows, "doc_id string, status string, ts int")).collect()}
     assert got == {"a": ("completed", 0), "b": ("completed", 1), "c": ("failed", 0)}
+
+
+def test_a_lost_generation_is_an_error(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "t", "s"))
+    kind = "id long, x string, v int"
+    run = lambda: live.merge_stream(spark.readStream.schema(kind).parquet(source), out, state, ["id"], "v", live.latest_generation).awaitTermination()
+    spark.createDataFrame([(1, "a", 1)], kind).write.parquet(source)
+    run()
+    (tmp_path / "t" / "0").rename(tmp_path / "gone")
+    spark.createDataFrame([(2, "b", 1)], kind).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="is gone"):
+        run()
