@@ -21,6 +21,12 @@ def top_k(items: DataFrame, query, k: int, id_col: str = "id", vector: str = "em
     return scored.orderBy(F.desc(score), id_col).limit(k)
 
 
+def top_k_of_found(items: DataFrame, found: DataFrame, query, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """The ``k`` best of the rows that a graph search ``found`` (ids), or of all rows if it found none."""
+    rows = items if found.isEmpty() else items.join(found, id_col, "left_semi")
+    return top_k(rows, query, k, id_col, vector)
+
+
 def top_k_within(items: DataFrame, query, k: int, by: list[str], id_col: str = "id", vector: str = "embedding", score: str = "score") -> DataFrame:
     """The ``k`` best rows of each collection. The rank filter becomes a group limit before the shuffle."""
     scored = items.withColumn(score, V.cosine(F.col(vector), V.literal(query))).drop(vector)

@@ -70,8 +70,7 @@ def hybrid_fallback(spark, sf):
     """Graph candidates if the query has entities, else plain vector search."""
     found = table(spark, sf, "lineitem").where("l_orderkey = -1").select((F.col("l_partkey") % 500).alias("vec_id")).distinct()
     items = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    items = items if found.isEmpty() else items.join(found, "vec_id", "left_semi")
-    return _rounded(O.top_k(items, vector_of(spark, sf), 5, "vec_id"))
+    return _rounded(O.top_k_of_found(items, found, vector_of(spark, sf), 5, "vec_id"))
 
 
 @query(f"{SCORED} SELECT 'chunk' AS kind, * FROM (SELECT vec_id, round(score, 6) AS score FROM s WHERE label < 4 ORDER BY s.score DESC, vec_id LIMIT 10) UNION ALL SELECT 'entity', * FROM (SELECT vec_id, round(score, 6) FROM s WHERE label BETWEEN 4 AND 6 ORDER BY s.score DESC, vec_id LIMIT 30) UNION ALL SELECT 'relation', * FROM (SELECT vec_id, round(score, 6) FROM s WHERE label > 6 ORDER BY s.score DESC, vec_id LIMIT 30)")

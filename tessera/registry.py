@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import assistants, base, context, extraction, graph, hits, library, rules, sessions, stored, text, vectors
+from .plans import assistants, base, context, extraction, graph, hits, library, parts, rules, sessions, stored, text, vectors
 
-AREAS = (text, vectors, extraction, graph, hits, context, sessions, rules, assistants, library, stored)
+AREAS = (text, vectors, extraction, graph, hits, context, sessions, rules, assistants, library, stored, parts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -94,9 +94,9 @@ def read_documents(spark: SparkSession, root: str, extensions: tuple[str, ...] =
     return rows.select("path", "extension", "text", F.when(F.col("text").isNull(), F.concat(F.lit("unreadable: "), F.col("extension"))).alias("reason"))
 
 
-def head_lines(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
-    """(line, text) of the first lines of a file."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.split("value", "\n"), 1, most)).alias("line", "text"))
+def head_lines(spark: SparkSession, path: str, most: int = 1000, keep: list[str] = ()) -> DataFrame:
+    """(*keep, line, text) of the first lines of a file, or of each file of a folder; ``keep`` names partition columns."""
+    return spark.read.text(path, wholetext=True).select(*keep, F.posexplode(F.slice(F.split("value", "\n"), 1, most)).alias("line", "text"))
 
 
 def read_dictionaries(spark: SparkSession, root: str) -> DataFrame:

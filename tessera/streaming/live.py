@@ -12,12 +12,12 @@ from ..operators import chunking
 from ..operators.sessions import upsert
 
 
-def index_directory(spark: SparkSession, source: str, schema: str, out: str, state: str, size: int = 2000, overlap: int = 200):
+def index_directory(spark: SparkSession, source: str, schema: str, out: str, state: str, size: int = 2000, overlap: int = 200, kind: str = "paragraphs"):
     """Chunks every new Parquet file of ``source`` into ``out``, once; the checkpoint in ``state`` knows what is done. Runs until nothing is left."""
     stream = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = chunking.chunk_documents(batch, size=size, overlap=overlap)
+        rows = chunking.chunk_documents(batch, size=size, overlap=overlap, kind=kind)
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that runs again replaces itself
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
