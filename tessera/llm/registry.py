@@ -30,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
+        "op4_decontaminate": decontaminate.SQL,
+        "op7_repeats": repeats.SQL,
         "op11_source_divergence": source_divergence.SQL,
         "op12_warc": warc.SQL,
         "op13_spelling": spelling.SQL,

@@ -367,3 +367,27 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir))
+
+
+SQL = """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+    SELECT r, c, substr(h, 2000 * c + 1, 2398) AS h FROM (SELECT r, h, unnest(range(0, length(h) // 2000 + 1)) AS c FROM d)
+), w AS (
+    SELECT r, 1000 * c + i AS i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT r, c, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM pieces)
+), again AS (
+    SELECT r, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)
+), runs AS (
+    SELECT r, min(i) AS low, max(i) + 200 AS high FROM (
+        SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 200)::INT AS fresh FROM again)
+    ) GROUP BY r, run
+), parts AS (
+    SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM runs
+), cut AS (
+    SELECT r, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS kept
+    FROM parts JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
