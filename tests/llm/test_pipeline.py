@@ -43,3 +43,24 @@ def test_entry_registers_all(spark):
     assert {n.split("_")[0] for n in names} >= {"pipeline", *(f"op{k}" for k in range(1, 11))}
     assert set(entry.oracle_sql()) <= names
     assert "pyspark" in sys.modules
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    long = "some plain words of a long text " * 20_000
+    rows = [(1, None), (2, ""), (3, "Tie words here"), (3, "tie words here"), (4, long), (None, long), (5, "other words entirely, " * 9), (5, "other words entirely, " * 9), (None, "lone text")]
+    kind = "doc_id long, text string, RID int, fp string, score string, ids string, decoded int, text_key long, hash string"
+    docs = spark.createDataFrame([(*r, 1, "f", "s", "i", 2, 3, "h") for r in rows], kind)
+    exact = cp.exact_stage(spark, docs, SF)
+    assert exact.columns == docs.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in exact.collect()), key=str) == sorted([(2, ""), (3, "tie words here"), (4, long), (5, rows[6][1]), (None, "lone text")], key=str)
+    near = cp.near_stage(spark, docs, SF)
+    assert near.columns == docs.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in near.collect()), key=str) == sorted([(1, ""), (3, "tie words here"), (4, long), (5, rows[6][1]), (None, "lone text")], key=str)
+    clean = cp.benchmark_stage(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    good = cp.quality_stage(spark, docs, SF)
+    assert good.columns == docs.columns
+    tokens = cp.token_stage(spark, docs, SF)
+    assert tokens.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    assert sorted((str(r.doc_id), list(r.ids)) for r in tokens.collect()) == sorted((str(i), model.encode(t or "")) for i, t in rows)
