@@ -53,7 +53,7 @@ def attachments_by_kind(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(parts["images"]).alias("images"), F.size(parts["files"]).alias("files"))
 
 
-@query(f"WITH {HITS} SELECT query_id, engine_rank, url, score FROM hits UNION ALL SELECT query_id, 0, url, 2e0 FROM hits WHERE seq % 10 = 0 AND snippet <> ''")
+@query(f"WITH {HITS} SELECT query_id, CAST(engine_rank AS INT) AS engine_rank, url, score FROM hits UNION ALL SELECT query_id, 0, url, 2e0 FROM hits WHERE seq % 10 = 0 AND snippet <> ''")
 def answers_first(spark, sf):
     rows = hits(spark, sf).select("query_id", "seq", "engine_rank", "title", "url", "snippet", "score")
     answers = rows.where("seq % 10 = 0").select("query_id", "title", "url", "snippet")
