@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import segments
-from .common import BATCH_CHARS, documents, save, slices
+from .common import CHUNK_CHARS, documents, save, slices
 
 LEAST_DOCS, TOP, CHUNK = 10, 10, 1024
 #: Slices of pointers that are sorted at once instead of parted.
@@ -153,7 +153,7 @@ def shard_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 0, BATCH_CHARS):
+            for piece in slices(batch, 0, CHUNK_CHARS):
                 lang, source = (piece.column(i).dictionary_encode() for i in (1, 2))
                 codes = np.asarray(lang.indices).astype("i8") * len(source.dictionary) + np.asarray(source.indices)
                 known, group = np.unique(codes, return_inverse=True)
