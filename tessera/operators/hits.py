@@ -41,15 +41,18 @@ def first_by(hits: DataFrame, key: Column, by: list[str], order: str = "seq") ->
 TOGETHER = 20_000
 
 
-def greedy(hits: DataFrame, by: str = "query_id", order: str = "seq", min_score: float = 0.0, together: int = TOGETHER) -> DataFrame:
-    """Hits in order, without those whose URL or title an accepted hit has. Rejected hits reject nobody.
+def greedy(hits: DataFrame, by: str = "query_id", order: str = "seq", min_score: float | None = None, together: int = TOGETHER) -> DataFrame:
+    """Hits in order, without those whose URL or title an accepted hit has. Rejected hits reject nobody. With ``min_score`` only
+    hits of at least that score take part; without it all do, whatever their score.
 
     Acceptance depends on what was accepted before, but only on hits that are joined by URLs and titles,
     one to the next. So hits fall into components (found in logarithmic rounds), and a task decides the first
     ``together`` of each component in their order; that settles all components up to this size. Of larger ones,
     hits that are accepted reject others, and the rest falls into components anew.
     """
-    rows = hits.where(effective_score(F.col("score")) >= min_score).where(F.col(by).isNotNull())
+    rows = hits.where(F.col(by).isNotNull())
+    if min_score is not None:
+        rows = rows.where(effective_score(F.col("score")) >= min_score)
     rows = rows.withColumns({"u": normalize_url(F.coalesce("url", F.lit(""))), "t": normalize_title(F.coalesce("title", F.lit("")))})
     left = _written(rows.groupBy(by, "u", "t").agg(F.min(order).alias(order)))
     kinds, accepted = {c: left.schema[c].dataType.simpleString() for c in left.columns}, []

@@ -112,6 +112,13 @@ def test_greedy_in_rounds(spark):
     assert H.greedy(df.where("false")).count() == 0
 
 
+def test_greedy_keeps_hits_of_negative_score(spark):
+    rows = [(0, i, f"http://a.b/{i % 3}", f"title {i}", 1 - 0.4 * i) for i in range(6)]  # below 0 from the fourth on
+    df = spark.createDataFrame([*rows, (0, 6, "http://a.b/6", "title 6", -2.0)], "query_id long, seq long, url string, title string, score double")
+    assert {r.seq for r in H.greedy(df).collect()} == {0, 1, 2, 6}
+    assert {r.seq for r in H.greedy(df, min_score=0.0).collect()} == {0, 1, 2}
+
+
 def test_a_long_chain_of_hits(spark, monkeypatch):
     from tessera.operators import graph
 
