@@ -193,6 +193,15 @@ def test_markdown_of_unclosed_marks_takes_linear_time():
         assert time.time() - begun < 5, line[:10]
 
 
+def test_markdown_without_marks_is_taken_at_once():
+    import time
+
+    text = "# plain words, and more of them " * 200_000 + "**end**"
+    begun = time.process_time()
+    assert MD.render(text, MD.PLAIN) == text.removeprefix("# ").replace("**", "")
+    assert time.process_time() - begun < 0.5
+
+
 def test_sources_are_counted_without_lists(spark):
     rows = [(1, "a", k % 7, k) for k in range(50)] + [(1, "b", 3, 60), (None, "c", 1, 61)]
     df = spark.createDataFrame(rows, "name int, description string, source_id int, ord int").withColumn("confidence", F.lit(0.5))
