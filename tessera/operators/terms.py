@@ -1,8 +1,9 @@
 """Dictionary terms in texts, whatever the size of the dictionary: an index of term fronts on the shared folder.
 
 A term is known by its front, its first 8, 4, 2 or 1 characters, whichever it has. Tasks write the dictionary as index
-files of about ``FILE_TERMS`` rows, by front, so one front is in one file. A worker maps a file
-read-only and keeps it for later tasks. It hashes the windows of all characters of a batch in array
+files of about ``FILE_TERMS`` rows, by front, so one front is in one file, and in the order of the hashes of the fronts. A
+worker maps a file read-only and keeps it for later tasks; rows and hashes stay in the file, beside a bitmap of 4 to 8 bytes
+a row. It hashes the windows of all characters of a batch in array
 passes, drops those no front can have by a bitmap, looks the rest up, and compares characters with the
 terms of that front. So no row is made for a character, nothing is gathered or broadcast, and the
 index of a worker has a bounded size; a dictionary of several files is met file by file.
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 FRONTS = (8, 4, 2, 1)
 #: Rows of an index file, on average, and files that a worker keeps.
 FILE_TERMS, KEPT = 2_000_000, 4
+#: Rows that are worked on at once when an index is written or loaded.
+ROWS = 50_000
 #: Characters of text that are searched at once.
 CHARS = 1_000_000
 _FACTORS = {2: 0x9E3779B97F4A7C15, 4: 0xC2B2AE3D27D4EB4F, 8: 0x165667B19E3779F9}
@@ -68,70 +71,78 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def front_keys(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(width, hash) of the fronts of terms, none of them empty."""
-    codes, at = _codes(terms)
-    width, keys = front_width(np.diff(at)), np.zeros(len(terms), "u8")
-    for w, h in fronts(codes).items():
-        own = width == w
-        keys[own] = h[at[:-1][own]]
+    """(width, hash) of the fronts of terms, none of them empty; ``ROWS`` at a time."""
+    width, keys = np.zeros(len(terms), "u1"), np.zeros(len(terms), "u8")
+    for low in range(0, len(terms), ROWS):
+        codes, at = _codes(terms.slice(low, ROWS))
+        own = width[low : low + ROWS] = front_width(np.diff(at))
+        for w, h in fronts(codes).items():
+            keys[low + np.flatnonzero(own == w)] = h[at[:-1][own == w]]
     return width, keys
 
 
 class Terms:
-    """One index file: rows (term, type) in the order of their fronts."""
+    """One index file: rows (term, type, width, key) by width and key of their fronts. They stay in the mapped file; only a bitmap of a few bits a row is made for each width."""
 
     def __init__(self, path: str):
         system, where = _system(path)
         source = pa.memory_map(where) if system.type_name == "local" else system.open_input_file(where)
-        t = pa.ipc.open_file(source).read_all().combine_chunks()
-        self.term, self.type = (t.column(i).combine_chunks() if t.num_rows else pa.array([], pa.string()) for i in (0, 1))
-        self.codes, self.at = _codes(self.term)
-        self.sizes = np.diff(self.at)
-        width, keys = front_keys(self.term)
+        t = pa.ipc.open_file(source).get_batch(0)  # written as one batch, so nothing is copied
+        self.term, self.type = t.column(0), t.column(1)
+        width, keys = (t.column(i).to_numpy(zero_copy_only=True) for i in (2, 3))
         self.by_width = {}
         for w in FRONTS:
-            rows = np.flatnonzero(width == w)
-            if len(rows):
-                order = rows[np.argsort(keys[rows], kind="stable")]
-                own = keys[order]
-                shift = np.uint64(64 - max(10, min(28, int(len(own)).bit_length() + 5)))
-                bitmap = np.zeros(1 << int(64 - shift), bool)
-                bitmap[own * np.uint64(_FACTORS[2]) >> shift] = True
-                self.by_width[w] = (order, own, bitmap, shift)
-
-    def occurrences(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, row, start) of all occurrences in texts of the characters ``codes``, which start at ``at``; sorted by text, row and start."""
-        places, rows = [], []
+            low, high = np.searchsorted(width, w, "left"), np.searchsorted(width, w, "right")
+            if high > low:
+                own = keys[low:high]
+                shift = np.uint64(64 - max(10, min(30, int(len(own)).bit_length() + 5)))
+                bitmap = np.zeros(1 << int(np.uint64(61) - shift), "u1")
+                for i in range(0, len(own), ROWS):
+                    bit = own[i : i + ROWS] * np.uint64(_FACTORS[2]) >> shift
+                    np.bitwise_or.at(bitmap, bit >> np.uint64(3), np.uint8(1) << (bit & np.uint64(7)).astype("u1"))
+                self.by_width[w] = (int(low), own, bitmap, shift)
+
+    def occurrences(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, row, start, size) of all occurrences in texts of the characters ``codes``, which start at ``at``; sorted by text, row and start."""
+        found = []
         hashes = fronts(codes)
-        for w, (order, keys, bitmap, shift) in self.by_width.items():
-            h = hashes[w]
-            maybe = np.flatnonzero(bitmap[h * np.uint64(_FACTORS[2]) >> shift])
+        for w, (first, keys, bitmap, shift) in self.by_width.items():
+            h = hashes.pop(w)
+            bit = h * np.uint64(_FACTORS[2])
+            bit >>= shift
+            maybe = np.flatnonzero(bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype("u1") & np.uint8(1))
+            del bit
             low, high = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
             some = high > low
             maybe, low, n = maybe[some], low[some], (high - low)[some]
             place = np.repeat(maybe, n)
-            row = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            row = first + np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own, which = np.unique(row, return_inverse=True)
+            letters, begin = _codes(self.term.take(pa.array(own)))  # of the terms met here alone
+            size = np.diff(begin)[which]
             text = np.searchsorted(at, place, "right") - 1
-            fits = place + self.sizes[row] <= at[text + 1]
-            place, row = place[fits], row[fits]
+            fits = place + size <= at[text + 1]
+            place, row, size, begin = place[fits], row[fits], size[fits], begin[which[fits]]
             k, left = 0, np.arange(len(place))
             good = np.ones(len(place), bool)
             while len(left):  # a character at a time, of those that agree so far
-                good[left[codes[place[left] + k] != self.codes[self.at[row[left]] + k]]] = False
+                good[left[codes[place[left] + k] != letters[begin[left] + k]]] = False
                 k += 1
-                left = left[good[left] & (self.sizes[row[left]] > k)]
-            places.append(place[good])
-            rows.append(row[good])
-        place, row = (np.concatenate([np.zeros(0, "i8"), *x]) for x in (places, rows))
+                left = left[good[left] & (size[left] > k)]
+            found.append((place[good], row[good], size[good]))
+        place, row, size = (np.concatenate([np.zeros(0, "i8"), *x]) for x in (zip(*found) if found else ((), (), ())))
         text = np.searchsorted(at, place, "right") - 1
         order = np.lexsort((place, row, text))
-        place, row, text = place[order], row[order], text[order]
-        return self._apart(text, row, place - at[text])
-
-    def _apart(self, text: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Without those that overlap one of the same term before them that stands."""
+        place, row, size, text = place[order], row[order], size[order], text[order]
+        start = place - at[text]
+        keep = self._apart(text, row, start, size)
+        return text[keep], row[keep], start[keep], size[keep]
+
+    @staticmethod
+    def _apart(text: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which ones overlap none of the same term before them that stands."""
         same = np.r_[False, (text[1:] == text[:-1]) & (row[1:] == row[:-1])] if len(text) else np.zeros(0, bool)
-        close = same & np.r_[False, start[1:] < start[:-1] + self.sizes[row[:-1]]] if len(text) else same
+        close = same & np.r_[False, start[1:] < start[:-1] + size[:-1]] if len(text) else same
         keep = np.ones(len(text), bool)
         free = 0
         begun = -1
@@ -141,8 +152,8 @@ class Terms:
             begun = i
             keep[i] = start[i] >= free
             if keep[i]:
-                free = int(start[i] + self.sizes[row[i]])
-        return text[keep], row[keep], start[keep]
+                free = int(start[i] + size[i])
+        return keep
 
 
 def load(path: str) -> Terms:
@@ -163,13 +174,20 @@ def write_index(dictionary: DataFrame, path: str, file_terms: int = FILE_TERMS)
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            term, kind = (t.column(i).combine_chunks() for i in (0, 1))
+            width, keys = front_keys(term)
+            order = np.lexsort((keys, width))
+            at_rows = pa.array(order)
+            cols = [term.take(at_rows), kind.take(at_rows), pa.array(width[order]), pa.array(keys[order])]
+            rows_ = pa.RecordBatch.from_arrays(cols, names=["term", "type", "width", "key"])
             name = f"{path}/terms-{uuid.uuid4().hex}.arrow"
             fs_, at = _system(name)
-            with fs_.open_output_stream(at) as out, pa.ipc.new_file(out, held[0].schema) as f:
-                f.write_table(pa.Table.from_batches(held))
+            with fs_.open_output_stream(at) as out, pa.ipc.new_file(out, rows_.schema) as f:
+                f.write_batch(rows_)
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
 
-    dealt = rows.repartition(files, F.left("term", F.lit(FRONTS[0]))).sortWithinPartitions("term", "type")
+    dealt = rows.repartition(files, F.left("term", F.lit(FRONTS[0])))
     return sorted(r.file for r in dealt.mapInArrow(write, "file string").collect())  # a row a file
 
 
@@ -225,12 +243,12 @@ def find(texts: DataFrame, files: list[str], key: str, text: str, once: bool = F
 
 def _found(terms: Terms, codes: np.ndarray, at: np.ndarray, once: bool) -> tuple:
     """(term, type, text, start, end) of the occurrences of one index file."""
-    text, row, start = terms.occurrences(codes, at)
+    text, row, start, size = terms.occurrences(codes, at)
     if once and len(row):
         first = np.r_[True, (text[1:] != text[:-1]) | (row[1:] != row[:-1])]
-        text, row, start = text[first], row[first], start[first]
+        text, row, start, size = text[first], row[first], start[first], size[first]
     rows = pa.array(row)
-    return terms.term.take(rows), terms.type.take(rows), text, start, start + terms.sizes[row]
+    return terms.term.take(rows), terms.type.take(rows), text, start, start + size
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -112,6 +112,22 @@ def test_greedy_in_rounds(spark):
     assert H.greedy(df.where("false")).count() == 0
 
 
+def test_an_index_stays_in_its_file(spark, tmp_path):
+    import tracemalloc
+
+    from tessera.operators import terms
+
+    n = 200_000
+    words = spark.range(n).selectExpr("concat('term', hex(id * 7919)) AS term", "'t' AS type")
+    files = terms.write_index(words, str(tmp_path / "index"))
+    tracemalloc.start()
+    held = terms.Terms(files[0])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(files) == 1 and len(held.term) == n
+    assert most < 40 * n  # bytes; the codes, hashes and bitmap of every row took over 300 each
+
+
 def test_greedy_keeps_hits_of_negative_score(spark):
     rows = [(0, i, f"http://a.b/{i % 3}", f"title {i}", 1 - 0.4 * i) for i in range(6)]  # below 0 from the fourth on
     df = spark.createDataFrame([*rows, (0, 6, "http://a.b/6", "title 6", -2.0)], "query_id long, seq long, url string, title string, score double")
