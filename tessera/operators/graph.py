@@ -70,6 +70,28 @@ def reach(mentions: DataFrame, entities: DataFrame, chunk: str, name: str, order
     return seen
 
 
+#: Mentions that a task pairs, on average.
+TASK_MENTIONS = 100_000
+
+
+def cooccurrence_weights(mentions: DataFrame, chunk: str, name: str, order: str | list[str], cap: int = 20, task_mentions: int = TASK_MENTIONS) -> DataFrame:
+    """(src, dst, n): ``edge_weights`` of ``cooccurrence``, in tasks of bounded size.
+
+    The number of tasks follows that of the mentions, not that of the cores. The chunks of one part are in one task; it counts the
+    pairs of the part, and only these counts travel, so a pair of very many chunks is a row for each part.
+    """
+    n = max(1, -(-mentions.count() // task_mentions))
+    order = [order] if isinstance(order, str) else list(order)
+    rank = F.row_number().over(W.partitionBy(chunk).orderBy(*order, name))
+    first = mentions.withColumn("_rank", rank).where(F.col("_rank") <= cap)
+    dealt = first.select(F.pmod(F.xxhash64(chunk), F.lit(8 * n)).alias("_part"), chunk, "_rank", name).repartition(n, "_part")
+    own = dealt.groupBy("_part", chunk).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", name))), lambda x: x[name]).alias("own"))
+    heads = own.select("_part", "own", F.posexplode("own").alias("i", "src"))
+    pairs = heads.select("_part", "src", F.explode(F.expr("slice(own, i + 2, size(own))")).alias("dst"))
+    counts = pairs.groupBy("_part", "src", "dst").agg(F.count("*").alias("n"))
+    return counts.select("src", "dst", "n").repartition(n, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
 def edge_weights(edges: DataFrame) -> DataFrame:
     """(src, dst, n): chunks a pair is in."""
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))

@@ -26,7 +26,7 @@ def names(spark, *values):
 
 @query(f"WITH {PAIRS} SELECT src, dst, n FROM e")
 def cooccurrence_edges(spark, sf):
-    return G.edge_weights(G.cooccurrence(lines(spark, sf), **AT))
+    return G.cooccurrence_weights(lines(spark, sf), **AT)
 
 
 @query(f"WITH {BOTH} SELECT src, dst, n FROM s WHERE src IN (1, 7)")

@@ -156,7 +156,7 @@ def cooccurrence_strongest(spark, sf):
     """Edges among the four surest parts of an order, the longer name first among equals."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").cast("string").alias("name"), F.col("l_discount").alias("confidence"))
     ranked, order = G.strongest_first(rows)
-    return G.edge_weights(G.cooccurrence(ranked, "chunk", "name", order, cap=4))
+    return G.cooccurrence_weights(ranked, "chunk", "name", order, cap=4)
 
 
 @query("SELECT o, term, CAST(rank AS INT) AS rank FROM (SELECT l_orderkey AS o, CAST(l_partkey AS VARCHAR) AS term, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, length(CAST(l_partkey AS VARCHAR)) DESC, CAST(l_partkey AS VARCHAR)) AS rank FROM lineitem) WHERE rank <= 3")

@@ -209,6 +209,16 @@ def test_sources_are_counted_without_lists(spark):
     assert sorted((r.name or 0, r.n_sources) for r in G.merge_relations(df, ["name"], listed=False).collect()) == [(0, 1), (1, 7)]
 
 
+def test_pairs_in_many_tasks(spark):
+    rows = [(c, (c * 7 + i * i) % 23, i) for c in range(300) for i in range(5)] + [(c, n, -1) for c in range(300, 600) for n in (1, 2)] + [(999, n, n) for n in range(60)]
+    df = spark.createDataFrame(rows, "chunk long, name long, ord long")
+    want = {tuple(r) for r in G.edge_weights(G.cooccurrence(df, "chunk", "name", "ord", 20)).collect()}
+    for task_mentions, tasks in ((10**6, 1), (100, 22)):
+        got = G.cooccurrence_weights(df, "chunk", "name", "ord", 20, task_mentions)
+        assert {tuple(r) for r in got.collect()} == want and got.rdd.getNumPartitions() == tasks
+    assert G.cooccurrence_weights(df.where("false"), "chunk", "name", "ord").collect() == []
+
+
 def test_folders_above(spark):
     from tessera.operators import vectors as O
 
