@@ -30,6 +30,8 @@ from .vectors import top_k_many
 SAMPLE, ROUNDS, LISTS, PART_ROWS, BLOCK_QUERIES = 20_000, 12, 4096, 8192, 1024
 #: Queries that recall is measured on, and the share of true neighbours aimed at.
 ASKED, RECALL = 100, 0.95
+#: Scores that are held at once (8 MB).
+SCORES = 1_000_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,15 +39,23 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    """Runs of rows whose scores with ``columns`` others are about ``SCORES`` numbers."""
+    step = max(1, SCORES // max(1, columns))
+    return (slice(low, low + step) for low in range(0, rows, step))
+
+
 def fit_centres(vectors: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
     """Directions that the vectors gather around; empty ones are begun anew at the vectors least like their own."""
     x, rng = unit(vectors), np.random.default_rng(seed)
     if not len(x):
         return x
     centres = x[rng.choice(len(x), min(lists, len(x)), replace=False)].copy()
+    own, best = np.zeros(len(x), "i8"), np.zeros(len(x))
     for _ in range(ROUNDS):
-        scores = x @ centres.T
-        own, best = scores.argmax(1), scores.max(1)
+        for some in _slices(len(x), len(centres)):
+            scores = x[some] @ centres.T
+            own[some], best[some] = scores.argmax(1), scores.max(1)
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
         empty = np.flatnonzero(np.bincount(own, minlength=len(centres)) == 0)
@@ -82,9 +92,9 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low in range(0, len(batch), 2048):
-                    piece = batch.slice(low, 2048)
-                    x = np.array(piece.column(1).to_pylist(), "f8").reshape(len(piece), -1)
+                for some in _slices(len(batch), max(512, len(centres), 64 * probes)):  # a vector goes out for each probe
+                    piece = batch.slice(some.start, some.stop - some.start)
+                    x = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(piece), -1)
                     scores = unit(x) @ centres.T if len(centres) else np.zeros((len(piece), 1))
                     near = scores.argmax(1)[:, None] if probes == 1 else np.argpartition(-scores, min(probes, scores.shape[1]) - 1, axis=1)[:, :probes]
                     at = pa.array(np.repeat(np.arange(len(piece)), near.shape[1]))
@@ -106,14 +116,17 @@ class Index:
             if not len(q) or not len(r):
                 return pd.DataFrame({"query_id": q["query_id"][:0], "id": r["id"][:0], "score": np.zeros(0)})
             r = r.sort_values("id", kind="stable")
-            scores = unit(np.array(q["query"].tolist(), "f8")) @ unit(np.array(r["vector"].tolist(), "f8")).T
-            least = -np.partition(-scores, min(k, len(r)) - 1, axis=1)[:, [min(k, len(r)) - 1]]
-            i, j = np.nonzero(scores >= least - 1e-12)
-            order = np.lexsort((j, -scores[i, j], i))  # of equal ones the first ids
-            i, j = i[order], j[order]
-            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-            i, j = i[keep], j[keep]
-            return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "id": r["id"].to_numpy()[j], "score": scores[i, j]})
+            items, asks, ids, out = unit(np.array(r["vector"].tolist(), "f8")), q["query_id"].to_numpy(), r["id"].to_numpy(), []
+            for some in _slices(len(q), len(r)):
+                scores = unit(np.array(q["query"][some].tolist(), "f8")) @ items.T
+                least = np.partition(scores, len(r) - min(k, len(r)), axis=1)[:, [len(r) - min(k, len(r))]]
+                i, j = np.nonzero(scores >= least - 1e-12)
+                score = np.round(scores[i, j], 12)  # equal vectors may differ in the last bits
+                order = np.lexsort((j, -score, i))  # of equal ones the first ids
+                i, j, score = i[order], j[order], score[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append(pd.DataFrame({"query_id": asks[some][i[keep]], "id": ids[j[keep]], "score": score[keep]}))
+            return pd.concat(out)
 
         key = ["list", "part", "block"]
         found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, f"query_id {q_type}, id {id_type}, score double")

@@ -40,6 +40,18 @@ def test_every_row_is_indexed_and_recall_is_measured(spark):
     assert whole == want
 
 
+def test_scores_are_held_in_slices():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(6000, 4))
+    tracemalloc.start()
+    centres = ivf.fit_centres(vectors, 2000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(centres) == 2000 and most < 40e6  # all scores at once are 96 MB
+
+
 def test_odd_vectors(spark):
     vectors = [[1, 0], [0, 1], [0, 0], None, [1, 0], [1, 1]]
     index = ivf.Index(frame(spark, vectors), folder(spark, "ivf"))
