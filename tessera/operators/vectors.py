@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from .sessions import _written
@@ -46,53 +49,152 @@ def with_ancestors(items: DataFrame, folder: str, category: str = "category") ->
     return items.withColumn(category, F.explode(F.when(F.size(parts) > 0, above)))
 
 
-#: Queries and rows of one block of scores (at most 32 MB), and how far below the k-th score a rounding error may put an equal one.
-BLOCK_QUERIES, BLOCK_ROWS, SLACK = 1024, 4096, 1e-9
+#: Queries of a block, shares that the rows are dealt to for each block, and rows that meet a block at once.
+BLOCK_QUERIES, SHARES, BLOCK_ROWS = 16_384, 16, 4096
+#: Scores that are held at once (16 MB), and how far below the k-th score a rounding error may put an equal one, as a share of both lengths.
+SCORES, SLACK = 2_000_000, 1e-9
 
 
-def _dealt(rows: DataFrame, id_col: str, block: str, size: int) -> tuple[DataFrame, int]:
-    n = max(1, math.ceil(rows.count() / size))
-    return rows.withColumn(block, F.pmod(F.xxhash64(id_col), F.lit(n))), n
+def _numbers(vectors: pa.Array) -> np.ndarray:
+    lengths = pc.list_value_length(vectors)
+    dim = lengths[0].as_py()
+    if pc.min(lengths).as_py() != pc.max(lengths).as_py():
+        raise ValueError("vectors of different lengths")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(vectors), dim)
+
+
+class _Best:
+    """The queries of a block, and for each the ``k`` best among the rows of one collection that have passed. Rows come in the order of their ids.
+
+    Scores are added up in the order in which ``functions.vectors`` adds them, so they are the same doubles; a matrix
+    product only tells which rows need that.
+    """
+
+    def __init__(self, names: pa.Array, vectors: np.ndarray, k: int, product: bool, together: int):
+        self.names, self.k, self.product = names, k, product
+        self.step = max(1, min(together, SCORES // len(names)))
+        self.columns, self.length, self.near = self._prepared(vectors)
+        self.clear()
+
+    def _prepared(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        columns, total = np.ascontiguousarray(vectors.T), np.zeros(len(vectors))
+        for c in columns:
+            total += c * c
+        length = np.sqrt(total)
+        if self.product:
+            return columns, length, vectors
+        near = np.divide(vectors, length[:, None], out=np.zeros_like(vectors), where=length[:, None] > 0)
+        near[~np.isfinite(length)] = np.nan  # only the exact score can tell
+        return columns, length, near
+
+    def clear(self) -> None:
+        self.least = np.full(len(self.names), -np.inf)  # the k-th score of a query so far
+        self.found, self.pending, self.passed = [], 0, 0
+
+    def meet(self, ids: pa.Array, vectors: np.ndarray) -> None:
+        for low in range(0, len(ids), self.step):
+            self._slice(ids.slice(low, self.step), *self._prepared(vectors[low : low + self.step]))
+
+    def _slice(self, ids: pa.Array, columns: np.ndarray, length: np.ndarray, near: np.ndarray) -> None:
+        scores, least, slack = self.near @ near.T, self.least, SLACK
+        if self.product:
+            slack = np.nan_to_num(SLACK * self.length * length.max(), nan=0, posinf=0)
+        if len(ids) > self.k and np.isneginf(least).any():
+            at, unknown = len(ids) - self.k, np.isnan(scores)
+            sure = np.where(unknown, -np.inf, scores) if unknown.any() else scores
+            least = np.maximum(least, np.partition(sure, at, axis=1)[:, at])
+        i, j = np.nonzero(~(scores < (least - slack)[:, None]))
+        exact = np.zeros(len(i))
+        for q, r in zip(self.columns, columns, strict=True):
+            exact += q[i] * r[j]
+        if not self.product:
+            both = self.length[i] * length[j]
+            exact = np.divide(exact, both, out=np.zeros_like(exact), where=both != 0)
+        self.found.append((i, self.passed + j, exact, ids.take(pa.array(j))))
+        self.passed += len(ids)
+        self.pending += len(i)
+        if self.pending >= len(self.names) * self.k:
+            self._settle()
+
+    def _settle(self) -> None:
+        i, row, score = (np.concatenate([f[c] for f in self.found]) for c in range(3))
+        ids = pa.concat_arrays([f[3] for f in self.found])
+        height = np.where(np.isnan(score), np.inf, np.minimum(score, np.finfo("f8").max))  # as Spark orders them
+        order = np.lexsort((row, -height, i))
+        order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < self.k]
+        i = i[order]
+        self.found, self.pending = [(i, row[order], score[order], ids.take(pa.array(order)))], 0
+        n = np.bincount(i, minlength=len(self.names))
+        full = n == self.k
+        self.least[full] = height[order][np.cumsum(n)[full] - 1]
+
+    def best(self, by: list[pa.Array]) -> list[pa.Array]:
+        """Columns (query, id, *by, score) of what was found; ``by``: the collection, an array of one value each."""
+        self._settle()
+        i, _, score, ids = self.found[0]
+        self.clear()
+        return [self.names.take(pa.array(i)), ids, *(v.take(pa.array(np.zeros(len(i), "i8"))) for v in by), pa.array(score)]
+
+
+def _passing(k: int, by: list[str], product: bool, together: int, names: list[str]):
+    """Rows of (_block, _kind, query_id, _vector, id, *by), ordered by block, kind, collection and id: the queries of a block are held, its rows pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asked, held, last = None, [], None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("_block", "_kind", *by)), strict=True))
+            for now, run in itertools.groupby(range(len(keys)), keys.__getitem__):
+                at = list(run)
+                piece = batch.slice(at[0], len(at))
+                if held and now != key:
+                    yield pa.RecordBatch.from_arrays(held.best(last), names=names)
+                if key is None or now[0] != key[0]:
+                    asked, held = [], None
+                key = now
+                vectors = _numbers(piece.column("_vector"))
+                if now[1] == 0:
+                    asked.append((piece.column("query_id"), vectors))
+                elif asked:
+                    held = held or _Best(pa.concat_arrays([a for a, _ in asked]), np.concatenate([v for _, v in asked]), k, product, together)
+                    held.meet(piece.column(names[1]), vectors)
+                    last = [piece.column(c).slice(0, 1) for c in by]
+        if held:
+            yield pa.RecordBatch.from_arrays(held.best(last), names=names)
+
+    return run
 
 
 def top_k_many(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", by: list[str] = (), score: str = "score", product: bool = False) -> DataFrame:
     """(query_id, id, *by, score, rank): for each row of ``queries`` (query_id, query) its ``k`` best rows, of each ``by``; ties by id.
 
-    Blocks of queries meet blocks of rows. A block pair keeps what may be among the k best of its rows,
-    then the exact scores are ranked. Of equal vectors only the k first ids can count. ``product``: by inner product.
+    Each block of queries meets the rows in ``SHARES`` shares. A task holds one block and lets its share pass; only
+    the ``k`` best of a share leave it, with their exact scores. So the rows travel once for every ``BLOCK_QUERIES``
+    queries, the queries and what is found ``SHARES`` times, however many rows there are. Of equal vectors only the k first ids
+    can count. Null vectors, and those with a null in them, have no score and are left out. ``product``: by inner product.
     """
+    by = list(by)
+    wide = {items.schema[vector].dataType.simpleString(), queries.schema["query"].dataType.simpleString()} != {"array<float>"}
+
+    def whole(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.where(~F.exists(name, F.isnull))
+        return rows.withColumn(name, V.doubles(F.col(name))) if wide else rows
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked, rows = whole(queries.select("query_id", "query"), "query"), whole(items.select(id_col, *by, vector), vector)
+    blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
     order = F.row_number().over(W.partitionBy(*by, vector).orderBy(id_col))
-    rows = items.select(id_col, *by, vector).where(F.col(vector).isNotNull()).withColumn("_copy", order).where(F.col("_copy") <= k).drop("_copy")
-    left, n_left = _dealt(queries.select("query_id", "query").where("query IS NOT NULL"), "query_id", "_q", BLOCK_QUERIES)
-    right, n_right = _dealt(rows, id_col, "_i", BLOCK_ROWS)
-    left = left.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
-    right = right.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
-    kinds = {f.name: f.dataType.simpleString() for f in [*items.schema, *queries.schema]}
-    group, cos = list(by), not product
-
-    def best(q: pd.DataFrame, r: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        out = []
-        if len(q) and len(r):
-            a, b = (np.stack([np.asarray(v, "f8") for v in c]) for c in (q["query"], r[vector]))
-            if cos:
-                for m in (a, b):
-                    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-                    np.divide(m, length, out=m, where=length > 0)
-            for _, part in r.groupby(group, dropna=False) if group else [(None, r)]:
-                own = r.index.get_indexer(part.index)
-                scores = a @ b[own].T
-                if len(own) > k:
-                    least = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k]
-                    i, j = np.nonzero(scores >= (least - SLACK * np.maximum(1, np.abs(least)))[:, None])
-                else:
-                    i, j = np.divmod(np.arange(scores.size), len(own))
-                out.append(pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "_id": part[id_col].to_numpy()[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "_id": pd.Series(dtype="int64")})
-
-    pairs = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(best, f"query_id {kinds['query_id']}, _id {kinds[id_col]}")
-    pairs = pairs.withColumnRenamed("_id", id_col).join(rows, id_col).join(queries.select("query_id", "query"), "query_id")
-    exact = (V.dot if product else V.cosine)(F.col(vector), F.col("query"))
-    scored = pairs.withColumn(score, exact).drop(vector, "query")
+    rows = rows.withColumn("_copy", order).where(F.col("_copy") <= k)
+    left = asked.withColumn("_share", each(SHARES)).withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    right = rows.withColumn("_q", each(blocks)).withColumn("_share", F.pmod(F.xxhash64(id_col), F.lit(SHARES)))
+    block = (F.col("_q") * SHARES + F.col("_share")).cast("int").alias("_block")
+    left = left.select(block, F.lit(0).alias("_kind"), "query_id", F.col("query").alias("_vector"))
+    right = right.select(block, F.lit(1).alias("_kind"), F.col(vector).alias("_vector"), id_col, *by)
+    dealt = left.unionByName(right, allowMissingColumns=True).repartitionById(blocks * SHARES, "_block").sortWithinPartitions("_block", "_kind", *by, id_col)
+    fields = [queries.schema["query_id"], *(items.schema[c] for c in (id_col, *by)), T.StructField(score, T.DoubleType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    scored = dealt.mapInArrow(_passing(k, by, product, BLOCK_ROWS, schema.names), schema)
     rank = F.row_number().over(W.partitionBy("query_id", *by).orderBy(F.desc(score), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

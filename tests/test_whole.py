@@ -96,6 +96,65 @@ def test_many_queries_against_brute_force(spark, monkeypatch, by):
     assert got == want
 
 
+def shuffled(spark, since=-1):
+    """The last stage so far, and the rows that the stages after ``since`` gave to a shuffle."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    held = [stages.apply(i) for i in range(stages.size())]
+    return max((s.stageId() for s in held), default=-1), sum(s.shuffleWriteRecords() for s in held if s.stageId() > since)
+
+
+def test_many_queries_shuffle_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_ROWS", 50)
+    rng = random.Random(5)
+    moved = []
+    for n in (1000, 4000):
+        rows = [(i, i % 10, [rng.gauss(0, 1) for _ in range(8)]) for i in range(n)]
+        items = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+        asked = items.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+        since, _ = shuffled(spark)
+        assert len(O.top_k_many(items, asked, 5, "vec_id", by=["label"]).collect()) == n // 20 * 10 * 5
+        moved.append(shuffled(spark, since)[1])
+    assert moved[1] < 5 * moved[0]  # not with what each pair of blocks keeps, which grows as rows times queries
+
+
+@pytest.mark.parametrize("product", [False, True])
+def test_many_queries_of_odd_vectors(spark, monkeypatch, product):
+    """Equal vectors, opposite and zero ones, lengths far apart, missing collections and names as text."""
+    monkeypatch.setattr(O, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(O, "BLOCK_ROWS", 20)
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        v = [rng.choice((1e-6, 1.0, 1e6)) * rng.choice((-1, 1)) * x for x in (rng.random(), rng.random(), rng.random())]
+        v = [0.0] * 3 if i % 17 == 0 else [1.0, -2.0, 0.5] if i % 5 == 0 else None if i % 19 == 0 else [1.0, None, 2.0] if i % 23 == 0 else v
+        rows.append((f"v{i:03}", None if i % 7 == 0 else ("a", "b")[i % 2], v))
+    items = spark.createDataFrame(rows, "name string, kind string, embedding array<double>")
+    monkeypatch.setattr(type(items), "repartitionById", lambda rows, n, at: rows.repartition(3, at))  # several blocks in a task
+    asked = items.where("substr(name, 3) % 4 = 0").selectExpr("name AS query_id", "embedding AS query")
+    whole = [(n, kind, v) for n, kind, v in rows if v and None not in v]
+
+    def worth(a, b):
+        dot = total(x * y for x, y in zip(a, b, strict=True))
+        both = math.sqrt(total(x * x for x in a)) * math.sqrt(total(x * x for x in b))
+        return dot if product else dot / both if both else 0.0
+
+    def total(numbers):
+        s = 0.0
+        for x in numbers:  # one after the other, as Spark adds them
+            s += x
+        return s
+
+    want = set()
+    for q, _, v in whole:
+        for kind in (None, "a", "b"):
+            best = sorted((-worth(e, v), n) for n, own, e in whole if own == kind)[:4]
+            want |= {(q, n, kind, -s, rank) for rank, (s, n) in enumerate(best, 1)} if int(q[2:]) % 4 == 0 else set()
+    got = [tuple(r) for r in O.top_k_many(items, asked, 4, "name", by=["kind"], product=product).collect()]
+    assert len(got) == len(want)
+    assert set(got) == want
+
+
 def test_greedy_in_rounds(spark):
     rng = random.Random(3)
     rows = [(i % 2, i, f"http://a.b/{rng.randrange(60)}", f"title {rng.randrange(60)}", 1.0) for i in range(400)]
